@@ -105,9 +105,9 @@ def _ranked_quantiles(df, keys, value, probs, names, mean, few_groups):
         statistic(F.floor("_pos")).alias("_a"),
         statistic(F.ceil("_pos")).alias("_b"),
     )
-    share = F.col("_pos") - F.floor("_pos")
+    below, above = F.floor("_pos"), F.ceil("_pos")
     exact = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
-        (1 - share) * F.col("_a") + share * F.col("_b")
+        (above - F.col("_pos")) * F.col("_a") + (F.col("_pos") - below) * F.col("_b")
     )
     checked = F.when(
         F.col("_a").isNull() | F.col("_b").isNull(),
