@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,59 +130,76 @@ def channels_of(source: str) -> list[ChannelSpec]:
 def _years(spec: ChannelSpec, configured: Column) -> Column:
     """Report years of a channel, from the data range and the configured years."""
     first, last = F.ceil("_first").cast("int"), F.floor("_last").cast("int")
-    none = F.array().cast("array<double>")
 
-    def doubles(start: Column, stop: Column) -> Column:
-        return F.when(start <= stop, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
+    def run_of_years(start: Column, stop: Column) -> Column:
+        whole = F.when(start <= stop, F.sequence(start, stop))
+        return F.coalesce(whole, F.array().cast("array<int>")).cast("array<double>")
 
     if spec.years == "whole":
-        own = F.transform(doubles(first, last), lambda y: y.cast("double"))
+        own = run_of_years(first, last)
     elif spec.years == "whole_but_last":
-        own = F.transform(doubles(first, last - 1), lambda y: y.cast("double"))
+        own = run_of_years(first, last - 1)
     elif spec.years == "half":
-        own = F.transform(doubles(F.lit(2000), last - 1), lambda y: y + F.lit(0.5).cast("double"))
+        own = F.transform(run_of_years(F.lit(2000), last - 1), lambda y: y + F.lit(0.5))
     elif spec.years == "configured":
-        own = none
+        own = F.array().cast("array<double>")
     else:
         raise ValueError(f"{spec.name}: unknown years {spec.years!r}")
     return F.array_union(own, configured)
 
 
 def channel_grid(
-    df: DataFrame, spec: ChannelSpec, config: str, run_keys: Sequence[str] = RUN_KEYS,
+    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] = RUN_KEYS,
     nodes: DataFrame | None = None,
 ) -> DataFrame:
-    """Every cell a channel has to report, per run.
+    """Every cell the channels have to report, per run.
 
-    Years and places come from the run's own data (one small aggregate), bins and
+    Years and places come from the run's own data by one small aggregate, bins and
     sexes from the configuration. ``nodes`` names another frame to take the places
-    from. The list of places is a dimension: one entry per node of the model.
+    from. A run's places are the nodes of the model, a fixed short list.
     """
     run_keys = list(run_keys)
-    seen = df.groupBy(*run_keys).agg(F.min("year").alias("_first"), F.max("year").alias("_last"))
-    places = (nodes if nodes is not None else df).select(*run_keys, "node_id").distinct()
-    wanted = F.try_element_at(channel_cells(config), F.lit(spec.name))
-    cells = (
-        seen.withColumn("_c", wanted)
-        .where("_c IS NOT NULL")
-        .withColumn("year", F.explode(_years(spec, F.col("_c.Year"))))
-        .withColumn("_bin", F.explode("_c.AgeBin"))
-        .withColumn("_name", F.explode("_c.Gender"))
-        .select(
-            *run_keys,
+    places = F.collect_set("node_id").alias("_nodes")
+    bounds = [F.min("year").alias("_first"), F.max("year").alias("_last")]
+    if nodes is None:
+        seen = df.groupBy(*run_keys).agg(*bounds, places)
+    else:
+        seen = df.groupBy(*run_keys).agg(*bounds).join(nodes.groupBy(*run_keys).agg(places), run_keys)
+    seen = seen.withColumn("_config", channel_cells(config))
+
+    def entry(spec: ChannelSpec) -> Column:
+        own = F.try_element_at("_config", F.lit(spec.name))
+        every = F.array(F.lit(ALL_NODES))
+        listed = {
+            "each": F.col("_nodes"), "all": every, "both": F.concat("_nodes", every)
+        }[spec.by_node]
+        cells = F.struct(
             F.lit(spec.name).alias("channel"),
-            "year",
-            gender_code_from_name(F.col("_name")).alias("gender_code"),
-            F.get("_bin", F.lit(0)).alias("age_lower"),
-            F.get("_bin", F.lit(1)).alias("age_upper"),
+            _years(spec, own["Year"]).alias("years"),
+            own["AgeBin"].alias("bins"),
+            own["Gender"].alias("names"),
+            listed.alias("nodes"),
         )
+        return F.when(own.isNotNull(), cells)
+
+    per_channel = seen.select(
+        *run_keys, F.explode(F.array_compact(F.array(*[entry(s) for s in specs]))).alias("_e")
+    )
+    exploded = (
+        per_channel.withColumn("year", F.explode("_e.years"))
+        .withColumn("_bin", F.explode("_e.bins"))
+        .withColumn("_name", F.explode("_e.names"))
+        .withColumn("node_id", F.explode("_e.nodes"))
+    )
+    return exploded.select(
+        *run_keys,
+        F.col("_e.channel").alias("channel"),
+        "year",
+        gender_code_from_name(F.col("_name")).alias("gender_code"),
+        F.get("_bin", F.lit(0)).alias("age_lower"),
+        F.get("_bin", F.lit(1)).alias("age_upper"),
+        "node_id",
     )
-    parts = []
-    if spec.by_node in ("each", "both"):
-        parts.append(cells.join(places, run_keys))
-    if spec.by_node in ("all", "both"):
-        parts.append(cells.withColumn("node_id", F.lit(ALL_NODES)))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def annualise_infections(
@@ -221,90 +240,110 @@ def infection_sources(df: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> Data
     )
 
 
-def missing_columns(df: DataFrame, spec: ChannelSpec) -> list[str]:
-    return [c for c in spec.counts if c not in df.columns]
+def computable(df: DataFrame, specs: Sequence[ChannelSpec]) -> list[ChannelSpec]:
+    """The channels whose count columns are all there; the others are skipped."""
+    return [s for s in specs if set(s.counts) <= set(df.columns)]
+
+
+def _by_channel(specs: Sequence[ChannelSpec], build, otherwise: Column) -> Column:
+    chain = otherwise
+    for spec in specs:
+        made = build(spec)
+        if made is not None:
+            chain = F.when(F.col("channel") == spec.name, made).otherwise(chain)
+    return chain
+
+
+CELL = ("channel", "year", "node_id", "gender_code", "age_lower", "age_upper")
 
 
 def channel_sums(
-    df: DataFrame, spec: ChannelSpec, grid: DataFrame, run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, specs: Sequence[ChannelSpec], grid: DataFrame, run_keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
     """Sums of the rows in each grid cell, with the number of rows found.
 
-    Rows are first summed to strata, then met with the grid on run and year; age,
-    sex and place decide within that match, where a cell for both sexes or for all
-    places takes any row.
+    Rows are first summed to strata, then met with the grid of all channels on run
+    and year; age, sex, place and the channel's own condition decide within that
+    match, where a cell for both sexes or for all places takes any row.
     """
-    rows = df.where(spec.where) if spec.where else df
+    counts = sorted({c for s in specs for c in s.counts})
+    tested = set().union(*[set(re.findall(r"[A-Za-z_]\w*", s.where or "")) for s in specs])
+    extra = [c for c in df.columns if c in tested]
     keys = [*run_keys, "_year"]
     strata = (
-        rows.withColumn("_year", year_key(F.col("year")))
-        .groupBy(*keys, "node_id", "gender_code", "age_lower")
-        .agg(*[F.sum(c).alias(c) for c in spec.counts], F.count(F.lit(1)).alias("_n"))
+        df.withColumn("_year", year_key(F.col("year")))
+        .groupBy(*keys, "node_id", "gender_code", "age_lower", *extra)
+        .agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("_n"))
+        .withColumnsRenamed({"node_id": "_node", "gender_code": "_gender", "age_lower": "_age"})
     )
-    cell = ["channel", "year", "node_id", "gender_code", "age_lower", "age_upper"]
-    grid = grid.withColumn("_year", year_key(F.col("year")))
+    cells = grid.withColumn("_year", year_key(F.col("year")))
+    selected = _by_channel(specs, lambda s: F.expr(s.where) if s.where else None, F.lit(True))
     inside = (
-        (F.col("d.age_lower") >= F.col("g.age_lower"))
-        & (F.col("d.age_lower") < F.col("g.age_upper"))
-        & ((F.col("g.gender_code") == BOTH) | (F.col("d.gender_code") == F.col("g.gender_code")))
-        & ((F.col("g.node_id") == ALL_NODES) | (F.col("d.node_id") == F.col("g.node_id")))
+        (F.col("_age") >= F.col("age_lower"))
+        & (F.col("_age") < F.col("age_upper"))
+        & ((F.col("gender_code") == BOTH) | (F.col("_gender") == F.col("gender_code")))
+        & ((F.col("node_id") == ALL_NODES) | (F.col("_node") == F.col("node_id")))
+        & selected
     )
-    same = [F.col(f"d.{k}") == F.col(f"g.{k}") for k in keys]
-    on = same[0]
-    for condition in [*same[1:], inside]:
-        on = on & condition
-    found = (
-        strata.alias("d").join(grid.alias("g"), on)
-        .groupBy(*[F.col(f"g.{k}").alias(k) for k in [*run_keys, *cell]])
-        .agg(*[F.sum(f"d.{c}").alias(c) for c in spec.counts], F.sum("_n").alias("_n"))
+    same = reduce(lambda c, k: c & (F.col(f"d.{k}") == F.col(f"g.{k}")), keys, F.lit(True))
+    return (
+        strata.alias("d").join(cells.alias("g"), same & inside)
+        .groupBy(*[F.col(f"g.{k}").alias(k) for k in run_keys], *CELL)
+        .agg(*[F.sum(c).alias(c) for c in counts], F.sum("_n").alias("_n"))
     )
-    return found
 
 
-def channel_result(
-    df: DataFrame, spec: ChannelSpec, config: str, run_keys: Sequence[str] = RUN_KEYS,
+def channel_results(
+    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] = RUN_KEYS,
     grid: DataFrame | None = None, strict: bool = False,
 ) -> DataFrame:
-    """``Year, Node, Gender, AgeBin, Result`` per run.
+    """``channel, Year, Node, Gender, AgeBin, Result`` per run, all channels in one pass.
 
     A channel that need not be complete reports zero for an empty cell. One that
-    must be complete leaves it out, or fails on it with ``strict``. Where a count
-    column is absent the result is empty.
+    must be complete leaves it out, or fails on it with ``strict``. A channel whose
+    count columns are absent is left out.
     """
     run_keys = list(run_keys)
-    if missing_columns(df, spec):
-        keys = [f for f in df.schema if f.name in run_keys]
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
-        spark = df.sparkSession
-        return spark.createDataFrame([], f"{fields}, {RESULT_SCHEMA}" if fields else RESULT_SCHEMA)
-    grid = channel_grid(df, spec, config, run_keys) if grid is None else grid
-    sums = channel_sums(df, spec, grid, run_keys)
-    if strict or not spec.complete:
-        cell = ["channel", "year", "node_id", "gender_code", "age_lower", "age_upper"]
-        sums = grid.join(sums, [*run_keys, *cell], "left")
-        if strict and spec.complete:
-            empty = F.raise_error(F.format_string(f"channel {spec.name} is empty for year %s", "year"))
-            sums = sums.withColumn("_n", F.coalesce(F.col("_n"), empty.cast("bigint")))
-        sums = sums.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in spec.counts})
+    specs = computable(df, specs)
+    if not specs:
+        keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in run_keys)
+        return df.sparkSession.createDataFrame([], f"{keys}, channel string, {RESULT_SCHEMA}")
+    if grid is None:
+        grid = channel_grid(df, specs, config, run_keys)
+    sums = channel_sums(df, specs, grid, run_keys)
+    if strict or not all(s.complete for s in specs):
+        complete = F.col("channel").isin([s.name for s in specs if s.complete])
+        sums = grid.join(sums, [*run_keys, *CELL], "left")
+        empty = F.col("_n").isNull()
+        if strict:
+            message = F.format_string("channel %s is empty for year %s", "channel", "year")
+            failed = F.raise_error(message).cast("boolean")
+            sums = sums.where(F.when(complete & empty, failed).otherwise(F.lit(True)))
+        else:
+            sums = sums.where(~(complete & empty))
+        counts = sorted({c for s in specs for c in s.counts})
+        sums = sums.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in counts})
+    result = _by_channel(specs, lambda s: s.result().cast("double"), F.lit(None).cast("double"))
     return sums.select(
         *run_keys,
+        "channel",
         F.col("year").alias("Year"),
         F.col("node_id").alias("Node"),
         gender_name_from_code(F.col("gender_code")).alias("Gender"),
         age_bin_text(F.col("age_lower"), F.col("age_upper")).alias("AgeBin"),
-        spec.result().cast("double").alias("Result"),
+        result.alias("Result"),
     )
 
 
 def empty_cells(
-    df: DataFrame, spec: ChannelSpec, config: str, run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] = RUN_KEYS
 ) -> DataFrame:
-    """Grid cells without a single row, for channels that must be complete."""
-    grid = channel_grid(df, spec, config, run_keys)
-    cell = [*run_keys, "channel", "year", "node_id", "gender_code", "age_lower", "age_upper"]
-    if not spec.complete:
-        return grid.select(*cell).limit(0)
-    return grid.select(*cell).join(channel_sums(df, spec, grid, run_keys), cell, "left_anti")
+    """Grid cells without a single row, for the channels that must be complete."""
+    checked = [s for s in computable(df, specs) if s.complete]
+    grid = channel_grid(df, checked, config, run_keys)
+    found = channel_sums(df, checked, grid, run_keys)
+    cell = [*run_keys, *CELL]
+    return grid.select(*cell).join(found, cell, "left_anti")
 
 
 def total_of_rows(df: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:

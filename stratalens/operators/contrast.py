@@ -53,22 +53,24 @@ def relative_risk(
 
 
 def averted_by_year(
-    measures: DataFrame, level: str = LEVEL, strict: bool = True, runs_bound: int | None = None
+    measures: DataFrame, by: Sequence[str] = (), level: str = LEVEL, strict: bool = True,
+    runs_bound: int | None = None,
 ) -> DataFrame:
-    """Median and interval of baseline - value per year."""
+    """Median and interval of baseline - value per year; ``by`` separates outputs."""
     saved = -(F.col("value") - F.col("value_base"))
-    return _contrast(measures, ["run_num", "year"], saved, ["year"], level, strict, runs_bound)
+    keys = [*by, "run_num", "year"]
+    return _contrast(measures, keys, saved, [*by, "year"], level, strict, runs_bound)
 
 
 def averted_total(
-    measures: DataFrame, first: float, last: float, level: str = LEVEL, strict: bool = True,
-    runs_bound: int | None = None,
+    measures: DataFrame, first: float, last: float, by: Sequence[str] = (), level: str = LEVEL,
+    strict: bool = True, runs_bound: int | None = None,
 ) -> DataFrame:
     """As by year, for the sum over a closed range of years."""
-    inside = measures.where((F.col("year") >= first) & (F.col("year") <= last))
-    sums = inside.groupBy("run_num", level).agg(F.sum("value").alias("value"))
+    inside = measures.where(F.col("year").between(first, last))
+    sums = inside.groupBy(*by, "run_num", level).agg(F.sum("value").alias("value"))
     saved = -(F.col("value") - F.col("value_base"))
-    return _contrast(sums, ["run_num"], saved, [], level, strict, runs_bound)
+    return _contrast(sums, [*by, "run_num"], saved, list(by), level, strict, runs_bound)
 
 
 def coverage_reached(summary: DataFrame, year: float) -> DataFrame:

@@ -7,9 +7,9 @@ single pass over the strata.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +70,11 @@ class MeasureSpec:
             return F.expr(self.dims[name]).cast(type_)
         return F.lit(self.labels.get(name, DEFAULTS[name])).cast(type_)
 
+    def names(self) -> set[str]:
+        """Every identifier the measure mentions, columns among them."""
+        texts = [*self.dims.values(), self.num, self.den or "", self.where or ""]
+        return set(re.findall(r"[A-Za-z_]\w*", " ".join(texts)))
+
     def sums(self) -> tuple[Column, Column]:
         den = F.expr(self.den) if self.den else F.lit(None)
         return F.expr(self.num).cast("double"), den.cast("double")
@@ -111,34 +116,51 @@ def evaluate_all(
     it strata that are already summed (``finest_strata``), not raw rows.
     """
     specs = list(specs)
-    dims = [(n, t) for n, t in MEASURE_COLUMNS if n not in ("measure", "value")]
-
-    def tag(spec: MeasureSpec) -> Column:
-        num, den = spec.sums()
-        entry = F.struct(
-            F.lit(spec.output).alias("output"),
-            F.lit(spec.measure).alias("measure"),
-            F.lit(spec.form).alias("_form"),
-            *[spec.dimension(n, t).alias(n) for n, t in dims],
-            num.alias("_num"),
-            den.alias("_den"),
-        )
-        return F.when(F.expr(spec.where), entry) if spec.where else entry
+    every = range(len(specs))
+    types = dict(MEASURE_COLUMNS)
+    grouped = [n for n in DIMENSIONS if any(n in s.dims for s in specs)]
+    hits = [F.when(F.expr(s.where), F.lit(i)) if s.where else F.lit(i) for i, s in enumerate(specs)]
+    tagged = df.withColumn("_id", F.explode(F.array_compact(F.array(*hits))))
+
+    def per_output(texts: Iterable[str | None], build, type_: str) -> Column:
+        """A column that differs by output; outputs that share it share one branch."""
+        owners: dict[object, list[int]] = {}
+        for i, text in enumerate(texts):
+            if text is not None:
+                owners.setdefault(text, []).append(i)
+        if len(owners) == 1 and len(*owners.values()) == len(specs):
+            return build(*owners).cast(type_)
+        chain = F.lit(None).cast(type_)
+        for text, ids in owners.items():
+            chain = F.when(F.col("_id").isin(*ids), build(text).cast(type_)).otherwise(chain)
+        return chain
 
-    tagged = df.select(*run_keys, F.explode(F.array(*[tag(s) for s in specs])).alias("_m"))
-    keys = ["output", "measure", "_form", *[n for n, _ in dims]]
     sums = (
-        tagged.where("_m IS NOT NULL")
-        .select(*run_keys, "_m.*")
-        .groupBy(*run_keys, *keys)
+        tagged.select(
+            *run_keys,
+            "_id",
+            *[per_output([s.dims.get(n) for s in specs], F.expr, types[n]).alias(n) for n in grouped],
+            per_output([s.num for s in specs], F.expr, "double").alias("_num"),
+            per_output([s.den for s in specs], F.expr, "double").alias("_den"),
+        )
+        .groupBy(*run_keys, "_id", *grouped)
         .agg(F.sum("_num").alias("_num"), F.sum("_den").alias("_den"))
     )
-    forms = sorted({s.form for s in specs})
-    value = reduce(
-        lambda chain, f: F.when(
-            F.col("_form") == f, FORMS[f](F.col("_num"), F.col("_den"))
-        ).otherwise(chain),
-        forms,
-        F.lit(None).cast("double"),
+
+    def dimension(name: str) -> Column:
+        if name == "measure":
+            return per_output([s.measure for s in specs], F.lit, "string")
+        labels = [None if name in s.dims else s.labels.get(name, DEFAULTS[name]) for s in specs]
+        fixed = per_output(labels, F.lit, types[name])
+        own = [i for i in every if name in specs[i].dims]
+        return F.when(F.col("_id").isin(*own), F.col(name)).otherwise(fixed) if own else fixed
+
+    value = per_output(
+        [s.form for s in specs], lambda f: FORMS[f](F.col("_num"), F.col("_den")), "double"
+    )
+    return sums.select(
+        *run_keys,
+        per_output([s.output for s in specs], F.lit, "string").alias("output"),
+        *[dimension(n).alias(n) for n in DIMENSIONS],
+        value.alias("value"),
     )
-    return sums.select(*run_keys, "output", *DIMENSIONS, value.alias("value"))

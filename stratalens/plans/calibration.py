@@ -25,10 +25,12 @@ def measure_suite(
     df: DataFrame, specs: Sequence[MeasureSpec], counts: Sequence[str],
     run_keys: Sequence[str] = RUN_KEYS, strata: Sequence[str] = STRATA,
 ) -> DataFrame:
-    """All outputs of a report, by run: rows are summed to strata once, then every
-    output is taken from the strata in a single further aggregation."""
-    present = [c for c in strata if c in df.columns]
-    return evaluate_all(finest_strata(df, [*run_keys, *present], list(counts)), specs, run_keys)
+    """All outputs of a report, by run: rows are summed once to the strata that the
+    outputs mention, then every output is taken from those in one more aggregation."""
+    named = set().union(*[s.names() for s in specs])
+    kept = [c for c in strata if c in df.columns and c in named]
+    sums = [c for c in counts if c in named]
+    return evaluate_all(finest_strata(df, [*run_keys, *kept], sums), specs, run_keys)
 
 
 def summarise_suite(

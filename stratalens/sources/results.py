@@ -41,6 +41,15 @@ def load_results(
     return df
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written to the shared folder and read back: later steps that use it
+    several times do not compute it again, also after executors are lost."""
+    spark = df.sparkSession
+    path = shared_folder(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def save_csv(df: DataFrame, path: str) -> str:
     df.write.mode("errorifexists").option("header", True).csv(path)
     return path

@@ -462,6 +462,8 @@ ORACLE["channel_discordance"] = with_(
         result("PrevDiscordFemalePositive", _DISC, cells("x", grid("PrevDiscordFemalePositive"), "ch", _MAR, "hiv = 0")),
     ]), REPORT, CH)
 _EMPTY = "SELECT scenario, run_num, channel, year, node_id, gender_code, age_lower, age_upper, 'none' AS skipped FROM ({}) WHERE n = 0"
+ORACLE["channel_all"] = "WITH a AS ({}) SELECT * FROM a".format(
+    union(ORACLE[k] for k in ("channel_prevalence", "channel_population", "channel_on_art", "channel_art_coverage", "channel_discordance")))
 ORACLE["channel_completeness"] = with_(
     union([
         _EMPTY.format(cells("x", G_POP, "ch", ["population"], join="LEFT JOIN")),

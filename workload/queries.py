@@ -500,17 +500,15 @@ def relative_risk_period(spark, sf):
 
 @query("averted_by_year")
 def averted_by_year(spark, sf):
-    whole = contrast.averted_by_year(_sweep(spark, sf, "new_inf"), strict=False, runs_bound=RUNS)
-    women = contrast.averted_by_year(_sweep(spark, sf, "new_inf_echo"), strict=False, runs_bound=RUNS)
-    both = whole.withColumn("output", F.lit("new_inf")).unionByName(women.withColumn("output", F.lit("new_inf_echo")))
-    return bands(both.where("year >= 1996"))
+    rows = _sweep(spark, sf, "new_inf", "new_inf_echo")
+    found = contrast.averted_by_year(rows, ("output",), strict=False, runs_bound=RUNS)
+    return bands(found.where("year >= 1996"))
 
 
 @query("averted_total")
 def averted_total(spark, sf):
-    whole = contrast.averted_total(_sweep(spark, sf, "new_inf"), 1997, 2000, strict=False, runs_bound=RUNS)
-    women = contrast.averted_total(_sweep(spark, sf, "new_inf_echo"), 1997, 2000, strict=False, runs_bound=RUNS)
-    return bands(whole.withColumn("output", F.lit("new_inf")).unionByName(women.withColumn("output", F.lit("new_inf_echo"))))
+    rows = _sweep(spark, sf, "new_inf", "new_inf_echo")
+    return bands(contrast.averted_total(rows, 1997, 2000, ("output",), strict=False, runs_bound=RUNS))
 
 
 @query("coverage_check")
@@ -556,29 +554,21 @@ def _channel_rows(spark, sf):
     )
 
 
-def _channel(spark, sf, name):
-    return channels.channel_result(_channel_rows(spark, sf), channels.CHANNELS[name], CHANNEL_CONFIG)
+def _specs(*names):
+    return [channels.CHANNELS[n] for n in names]
 
 
 @query("channel_grid")
 def channel_grid(spark, sf):
-    rows = _channel_rows(spark, sf)
-    wanted = ("Prevalence", "OnART", "PrevDiscordMalePositive", "Incidence")
-    grids = [channels.channel_grid(rows, channels.CHANNELS[n], CHANNEL_CONFIG) for n in wanted]
-    whole = grids[0]
-    for grid in grids[1:]:
-        whole = whole.unionByName(grid)
-    return whole.withColumn("year", F.round("year", 3))
+    wanted = _specs("Prevalence", "OnART", "PrevDiscordMalePositive", "Incidence")
+    grid = channels.channel_grid(_channel_rows(spark, sf), wanted, CHANNEL_CONFIG)
+    return grid.withColumn("year", F.round("year", 3))
 
 
 def _channel_query(key: str, *names: str) -> None:
     @query(key)
     def run(spark, sf):
-        whole = None
-        for name in names:
-            part = _channel(spark, sf, name).withColumn("channel", F.lit(name))
-            whole = part if whole is None else whole.unionByName(part)
-        return whole
+        return channels.channel_results(_channel_rows(spark, sf), _specs(*names), CHANNEL_CONFIG)
 
 
 _channel_query("channel_prevalence", "Prevalence")
@@ -586,19 +576,20 @@ _channel_query("channel_population", "Population")
 _channel_query("channel_on_art", "OnART")
 _channel_query("channel_discordance", "PrevDiscordMalePositive", "PrevDiscordFemalePositive")
 _channel_query("channel_art_coverage", "ARTCoverage")
+_channel_query(
+    "channel_all", "Prevalence", "Population", "OnART", "ARTCoverage", "PrevDiscordMalePositive",
+    "PrevDiscordFemalePositive",
+)
 
 
 @query("channel_completeness")
 def channel_completeness(spark, sf):
     rows = _channel_rows(spark, sf)
-    found = [
-        channels.empty_cells(rows, channels.CHANNELS[n], CHANNEL_CONFIG)
-        for n in ("Population", "OnART", "PrevDiscordMalePositive")
-    ]
-    whole = found[0].unionByName(found[1]).unionByName(found[2])
+    wanted = _specs("Population", "OnART", "PrevDiscordMalePositive")
+    found = channels.empty_cells(rows, wanted, CHANNEL_CONFIG)
     # A channel without its columns gives no rows.
-    blank = channels.channel_result(rows.drop("on_art"), channels.CHANNELS["OnART"], CHANNEL_CONFIG)
-    return whole.withColumn("skipped", F.lit("none")).unionByName(
+    blank = channels.channel_results(rows.drop("on_art"), _specs("OnART"), CHANNEL_CONFIG)
+    return found.withColumn("skipped", F.lit("none")).unionByName(
         blank.select("scenario", "run_num", F.lit("OnART").alias("skipped")), allowMissingColumns=True
     )
 
@@ -617,17 +608,19 @@ def channel_unsupported(spark, sf):
 @query("incidence_annualized")
 def incidence_annualized(spark, sf):
     rows = _channel_rows(spark, sf)
-    spec = channels.CHANNELS["Incidence"]
-    grid = channels.channel_grid(rows, spec, CHANNEL_CONFIG)
-    return channels.channel_result(channels.annualise_infections(rows), spec, CHANNEL_CONFIG, grid=grid)
+    specs = _specs("Incidence")
+    grid = channels.channel_grid(rows, specs, CHANNEL_CONFIG)
+    yearly = channels.annualise_infections(rows)
+    return channels.channel_results(yearly, specs, CHANNEL_CONFIG, grid=grid).drop("channel")
 
 
 @query("external_infection_rate")
 def external_infection_rate(spark, sf):
     rows = views.relationships(spark, sf)
-    spec = channels.CHANNELS["ExternalStableDiscordantConversionRate"]
-    grid = channels.channel_grid(rows, spec, CHANNEL_CONFIG, nodes=rows)
-    return channels.channel_result(channels.infection_sources(rows), spec, CHANNEL_CONFIG, grid=grid)
+    specs = _specs("ExternalStableDiscordantConversionRate")
+    grid = channels.channel_grid(rows, specs, CHANNEL_CONFIG)
+    sources = channels.infection_sources(rows)
+    return channels.channel_results(sources, specs, CHANNEL_CONFIG, grid=grid).drop("channel")
 
 
 # --- survey side -------------------------------------------------------------
@@ -704,9 +697,9 @@ def gender_split_coverage(spark, sf):
 
 def _surveys(spark, sf) -> dict[str, DataFrame]:
     """Survey tables for the overlays, with province and both-sex rows."""
-    counties = _observed_detail(spark, sf)
+    counties = results.stored(_observed_detail(spark, sf), "survey-counts")
     population = survey.add_marginals(counties, 1999)
-    share = _observed_share(spark, sf)
+    share = results.stored(_observed_share(spark, sf), "survey-shares")
     province = share.withColumn("county", F.lit("All"))
     both = province.withColumn("gender", F.lit("Both"))
     share = share.unionByName(province.where("year < 1998")).unionByName(both.where("year < 1998"))
@@ -754,7 +747,7 @@ def validation_check(spark, sf):
 
 def _fit_inputs(spark, sf):
     """Province prevalence of run 0 as survey, all runs as model."""
-    rows = _measure(spark, sf, "prev_gender")
+    rows = results.stored(_measure(spark, sf, "prev_gender"), "by-run")
     points = rows.where("run_num = 0 AND scenario = 'PrEP-60' AND year = floor(year)").select(*fit.JOIN_KEYS, "value")
     late = points.where("year = 2000").withColumn("year", F.col("year") + 100)
     return points.unionByName(late), rows.where("scenario = 'PrEP-0'")

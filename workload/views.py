@@ -45,11 +45,13 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
         "year": (F.year("o_orderdate") + quarter * F.lit(0.25)).cast("double"),
     }
     quantity = F.col("l_quantity")
+    # Counts are not negative, so this rounds half up without leaving doubles.
+    whole = lambda x: F.floor(x + F.lit(0.5))
     counts = {
         "population": quantity,
-        "infected": F.round(quantity * F.col("l_discount") * 10),
-        "newly_infected": F.round(quantity * F.col("l_tax")),
-        "on_art": F.round(quantity * F.col("l_discount") * 4),
+        "infected": whole(quantity * F.col("l_discount") * 10),
+        "newly_infected": whole(quantity * F.col("l_tax")),
+        "on_art": whole(quantity * F.col("l_discount") * 4),
         "has_prep": F.when(F.col("l_tax") > 0.04, 1).otherwise(0),
     }
     return joined.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(
