@@ -42,10 +42,10 @@ def duration_histogram(
     bins = inside.groupBy(
         *facet, F.floor(F.col("duration") / F.lit(width) + F.lit(0.5)).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
-    total = bins.agg(F.sum("n").alias("total"))
-    return bins.join(F.broadcast(total)).select(
+    total = bins.agg(F.sum("n")).scalar()
+    return bins.select(
         *facet, "bin", (F.col("bin") * F.lit(width)).alias("centre"), "n",
-        (F.col("n") / F.col("total")).alias("share"),
+        (F.col("n") / total).alias("share"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.binomial import binomial_bounds
@@ -140,25 +140,17 @@ def split_coverage_by_sex(
 ) -> DataFrame:
     """Coverage of men and of women from a coverage of both.
 
-    ``prevalence`` and ``coverage`` are the reference rows, one per sex. Each gives
-    one row of constants by a plain aggregate.
+    ``prevalence`` and ``coverage`` are the reference rows, one per sex; their values
+    enter as scalars.
     """
 
-    def per_sex(df: DataFrame, prefix: str) -> DataFrame:
-        return df.agg(
-            *[
-                F.max(F.when(F.col("gender") == sex, F.col("value"))).alias(f"{prefix}_{sex.lower()}")
-                for sex in ("Men", "Women")
-            ]
-        )
+    def of(df: DataFrame, sex: str) -> Column:
+        return df.agg(F.max(F.when(F.col("gender") == sex, F.col("value")))).scalar()
 
-    constants = per_sex(prevalence, "p").join(F.broadcast(per_sex(coverage, "c")))
-    relative = ratio(F.col("c_women"), F.col("c_men"))
-    multiplier = ratio(
-        F.col("p_men") + F.col("p_women") * relative, F.col("p_men") + F.col("p_women")
-    )
-    constants = constants.select(multiplier.alias("_m"))
-    return combined.join(F.broadcast(constants)).select(
+    men, women = of(prevalence, "Men"), of(prevalence, "Women")
+    relative = ratio(of(coverage, "Women"), of(coverage, "Men"))
+    multiplier = ratio(men + women * relative, men + women)
+    return combined.withColumn("_m", multiplier).select(
         "year",
         ratio(F.col("value"), F.col("_m")).alias("art_prev_men"),
         (F.col("value") * F.col("_m")).alias("art_prev_women"),

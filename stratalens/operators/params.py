@@ -183,15 +183,15 @@ def override_config(base: DataFrame, overrides: DataFrame) -> DataFrame:
     """Each set's configuration: its own value where it has one, else the base value.
 
     ``base`` has ``(key, value)``, ``overrides`` has ``(parameterization_id, key,
-    value)``. A key that only a set has is added, as an update would.
+    value)``. A key that only a set has is added, as an update would. A
+    configuration is one document of a few hundred keys, so a set's keys are held
+    as one map, and the base document reaches the tasks as a single value.
     """
-    sets = overrides.select(ID).distinct()
-    # The base configuration is one document: a few hundred keys, whatever the number of sets.
-    every = sets.join(F.broadcast(base.withColumnRenamed("value", "base_value")))
-    return (
-        every.join(overrides, [ID, "key"], "full_outer")
-        .select(ID, "key", F.coalesce("value", "base_value").alias("value"))
-    )
+    document = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    defaults = base.agg(document.alias("base")).scalar()
+    own = overrides.groupBy(ID).agg(document.alias("own")).withColumn("_base", defaults)
+    merged = F.map_zip_with("_base", "own", lambda _, b, o: F.coalesce(o, b))
+    return own.select(ID, F.explode(merged).alias("key", "value"))
 
 
 def hash_fraction(*parts: Column) -> Column:

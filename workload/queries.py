@@ -409,7 +409,8 @@ def intervention_person_time(spark, sf):
     df = views.standard(spark, sf).withColumns(
         {"prep_expired": F.col("newly_infected"), "prep_aborted": F.col("on_art")}
     )
-    return evaluate_all(df, catalog.dormant_measures(INTERVAL))
+    counts = [*COUNTS, "prep_expired", "prep_aborted"]
+    return calibration.measure_suite(df, catalog.dormant_measures(INTERVAL), counts)
 
 
 @query("prep_coverage_strata")
@@ -417,13 +418,14 @@ def prep_coverage_strata(spark, sf):
     df = views.standard(spark, sf)
     year, ages, gender, risk = catalog.YEAR, catalog.AGES, catalog.GENDER, catalog.RISK
     cover = catalog.coverage
-    return evaluate_all(
+    return calibration.measure_suite(
         df,
         [
             cover("prep_age_gender", {**year, **ages, **gender}, None, {}, "percent"),
             cover("prep_age_gender_risk", {**year, **ages, **gender, **risk}, None, {}, "percent"),
             cover("prep_adults_gender_risk", {**year, **gender, **risk}, "age_lower >= 16", catalog.span(16, 100), "percent"),
         ],
+        COUNTS,
     )
 
 
@@ -686,7 +688,10 @@ def binomial_bounds(spark, sf):
 
 @query("gender_split_coverage")
 def gender_split_coverage(spark, sf):
-    base = evaluate_all(views.standard(spark, sf), _calibration_specs()).where("run_num = 0 AND scenario = 'PrEP-0'")
+    one_run = views.standard(spark, sf).where("run_num = 0 AND prep_coverage = 0")
+    wanted = ("art_prev", "prev_gender", "art_prev_gender")
+    specs = [s for s in _calibration_specs() if s.output in wanted]
+    base = calibration.measure_suite(one_run, specs, COUNTS)
     found = survey.split_coverage_by_sex(
         base.where("output = 'art_prev'").select("year", "value"),
         base.where("output = 'prev_gender' AND year = 1998").select("gender", "value"),
