@@ -72,7 +72,8 @@ def scan_reports(
             raise
         if required:
             raise MissingSourceError(str(path)) from err
-        empty = (schema or T.StructType()).add("scenario", "string").add("run_num", "int")
+        keys = [T.StructField("scenario", T.StringType()), T.StructField("run_num", T.IntegerType())]
+        empty = T.StructType([*(schema.fields if schema else ()), *keys])
         return rename_canonical(spark.createDataFrame([], empty))
     return tag_runs(raw, scenario_depth)
 
