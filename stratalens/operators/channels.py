@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -114,8 +114,10 @@ def unsupported_channels(configured: DataFrame, known: Sequence[str] = tuple(CHA
     return configured.select("channel").distinct().where(~F.col("channel").isin(*known))
 
 
-def check_channels(names: Sequence[str]) -> None:
-    missing = sorted(set(names) - set(CHANNELS))
+def check_channels(names: Sequence[str], sources: Collection[str] = (REPORT, RELATIONSHIPS)) -> None:
+    """Fail on a name that no channel of the given sources has."""
+    known = {c.name for c in CHANNELS.values() if c.source in sources}
+    missing = sorted(set(names) - known)
     if missing:
         raise UnsupportedChannelError(f"no definition for channel {missing[0]}")
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from stratalens.functions.recode import file_stem
 
 DEFAULT_CAMPAIGN = "Default_Campaign"
-# A scenario table is typed by hand; a longer one is taken for a mistake.
-MAX_SCENARIOS = 10_000
 
 
 class CampaignError(ValueError):
@@ -53,36 +51,23 @@ def scenario_title(template_set: Column, campaign: Column, scenario: Column) ->
 def expand_runs(samples: DataFrame, resolved: DataFrame, strict: bool = True) -> DataFrame:
     """One row per template set, scenario and sample.
 
-    ``resolved`` is a hand-typed table: its length is checked while it is read and
-    it becomes constants of the plan, so samples are expanded where they are and
-    nothing is shuffled. Columns of the scenario table override equal sample columns.
+    The resolved scenarios, a hand-typed table, reach the tasks as one array value;
+    samples are expanded where they are, so nothing is shuffled however many there
+    are. Columns of the scenario table override equal sample columns. ``strict``
+    fails on a scenario whose campaign cannot be resolved, else it is left out.
     """
-    rows = resolved.limit(MAX_SCENARIOS + 1).collect()
-    if len(rows) > MAX_SCENARIOS:
-        raise ValueError(f"more than {MAX_SCENARIOS} scenarios")
-    wrong = sorted(r["problem"] for r in rows if r["problem"])
-    if wrong and strict:
-        raise CampaignError(wrong[0])
-    usable = [r.asDict() for r in rows if not r["problem"]]
-    extra = [
-        c for c in resolved.columns
-        if c not in ("Scenario", "Campaign", "template_set", "campaign_file", "problem")
-    ]
-
-    def entry(row: dict) -> Column:
-        values = {c: F.lit(row[c]).cast(resolved.schema[c].dataType) for c in extra}
-        title = scenario_title(
-            F.lit(row["template_set"]), F.lit(row["Campaign"]).cast("string"),
-            F.lit(row["Scenario"]).cast("string"),
-        )
-        return F.struct(
-            F.lit(row["template_set"]).alias("template_set"),
-            F.lit(row["campaign_file"]).cast("string").alias("campaign_file"),
-            title.alias("scenario"),
-            *[v.alias(c) for c, v in values.items()],
-        )
-
+    if strict:
+        wrong = resolved.where(F.col("problem").isNotNull()).select("problem").first()
+        if wrong is not None:
+            raise CampaignError(wrong["problem"])
+    used = ("Scenario", "Campaign", "template_set", "campaign_file", "problem")
+    extra = [c for c in resolved.columns if c not in used]
+    title = scenario_title(F.col("template_set"), F.col("Campaign"), F.col("Scenario"))
+    entry = F.struct("template_set", "campaign_file", title.alias("scenario"), *extra)
+    scenarios = resolved.where(F.col("problem").isNull()).agg(F.collect_list(entry)).scalar()
     kept = [c for c in samples.columns if c not in extra]
-    return samples.select(*kept, F.inline(F.array(*[entry(r) for r in usable]))).withColumn(
-        "config_name", F.col("scenario")
+    return (
+        samples.withColumn("_scenarios", scenarios)
+        .select(*kept, F.inline("_scenarios"))
+        .withColumn("config_name", F.col("scenario"))
     )

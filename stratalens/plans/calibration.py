@@ -17,8 +17,13 @@ STRATA = ("year", "county", "gender", "age_lower", "age_upper", "hiv", "circ", "
 
 
 def in_survey_ages(df: DataFrame, observed: DataFrame) -> DataFrame:
-    """Rows whose lower age bound also occurs in the survey."""
-    return df.join(observed.select("age_lower").distinct(), "age_lower", "left_semi")
+    """Rows whose lower age bound also occurs in the survey.
+
+    Ages are whole years, so there are little more than a hundred distinct ones
+    whatever the size of either side: they are sent to the rows, which stay put.
+    """
+    known = observed.select(F.col("age_lower").cast("int")).where("age_lower BETWEEN 0 AND 150")
+    return df.join(F.broadcast(known.distinct()), "age_lower", "left_semi")
 
 
 def measure_suite(

@@ -15,6 +15,10 @@ STRATUM_TYPES = {
     "circ": T.IntegerType(),
     "hiv": T.IntegerType(),
     "risk": T.StringType(),
+    "age": T.IntegerType(),
+    "gender": T.StringType(),
+    "was_marital": T.IntegerType(),
+    "by_marital_partner": T.IntegerType(),
 }
 
 # Header spellings of the run report (lower case, runs of other

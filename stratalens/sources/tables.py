@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalens.functions.recode import list_or_null
 from stratalens.sources.reports import rename_canonical
 from stratalens.sources.schema import OBSERVED_TYPES, SCENARIO_SCHEMA
 
@@ -29,14 +32,18 @@ def read_observed(spark: SparkSession, path: str) -> DataFrame:
     return _typed_csv(spark, path, OBSERVED_TYPES)
 
 
-def read_scenarios(spark: SparkSession, path: str | None) -> DataFrame:
-    """Scenario rows; without a table there is one unnamed scenario."""
+def read_scenarios(
+    spark: SparkSession, path: str | None, lists: Sequence[str] = ()
+) -> DataFrame:
+    """Scenario rows; without a table there is one unnamed scenario. The columns in
+    ``lists`` hold text such as ``[1,2,3]`` and become arrays."""
     if path is None:
         return spark.createDataFrame([(None, None)], SCENARIO_SCHEMA)
     header = _header(spark, path)
     if "Campaign" not in header:
         raise MissingCampaignError(f"column Campaign is missing from {path}")
-    return _typed_csv(spark, path, {}, T.StringType())
+    rows = _typed_csv(spark, path, {}, T.StringType())
+    return rows.withColumns({c: list_or_null(F.col(c)) for c in lists})
 
 
 def read_parameter_sets(spark: SparkSession, path: str) -> DataFrame:

@@ -535,6 +535,24 @@ ORACLE["weighted_prevalence"] = with_(
     f"""SELECT {', '.join(_W.format(c) for c in ('value', 'lower', 'upper'))}
 FROM (SELECT county, value AS p FROM ({marginals()}) WHERE year = 1999 AND gender = 'Both' AND county <> 'All') w
 LEFT JOIN (SELECT * FROM ({SHARE}) WHERE year = 1998) s USING (county)""", REPORT, OBS)
+ORACLE["binomial_bounds"] = """WITH RECURSIVE """ + ",\n".join([
+    REPORT,
+    """obs AS (SELECT year AS "Year", 'County_' || node_id AS "County", CASE WHEN gender_code = 0 THEN 'Male' ELSE 'Female' END AS "Gender",
+ '[' || age_lower || ':' || CASE age_lower WHEN 0 THEN 16 WHEN 16 THEN 36 ELSE 100 END || ')' AS "AgeBin",
+ SUM(infected) / NULLIF(SUM(population), 0) AS value, SUM(population) AS pop, CAST(SUM(infected) AS BIGINT) AS x, CAST(SUM(population) AS BIGINT) AS n
+FROM report WHERE run_num = 0 AND year = floor(year) GROUP BY ALL)""",
+    # Bisection on the binomial tail P(X >= k0), summed term by term.
+    """search AS (SELECT x, n, k0, target, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0 AS step FROM (
+  SELECT DISTINCT x, n, x AS k0, 0.025::DOUBLE AS target FROM obs WHERE x > 0
+  UNION ALL SELECT DISTINCT x, n, x + 1, 0.975::DOUBLE FROM obs WHERE x < n)
+ UNION ALL SELECT x, n, k0, target, CASE WHEN tail < target THEN mid ELSE lo END, CASE WHEN tail < target THEN hi ELSE mid END, step + 1
+ FROM (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(mid) + (n - k) * ln(1 - mid)) FOR k IN range(k0, n + 1)]) AS tail
+  FROM (SELECT *, (lo + hi) / 2 AS mid FROM search WHERE step < 40)))""",
+    "found AS (SELECT x, n, target, (lo + hi) / 2 AS bound FROM search WHERE step = 40)",
+]) + """
+SELECT "Year", "County", "Gender", "AgeBin", value, pop, round(COALESCE(a.bound, 0), 6) AS lower, round(COALESCE(b.bound, 1), 6) AS upper
+FROM obs LEFT JOIN found a ON a.x = obs.x AND a.n = obs.n AND a.target < 0.5
+LEFT JOIN found b ON b.x = obs.x AND b.n = obs.n AND b.target > 0.5"""
 _CAL = calibration(False)
 _R0 = "run_num = 0 AND scenario = 'PrEP-0'"
 ORACLE["gender_split_coverage"] = with_(

@@ -628,15 +628,17 @@ def external_infection_rate(spark, sf):
 # --- survey side -------------------------------------------------------------
 
 
-def _observed_detail(spark, sf):
+def _observed_detail(spark, sf, rows=None):
     """Survey population, standardised."""
-    rows = views.observed(spark, sf).drop("value", "effective_count")
+    rows = views.observed(spark, sf) if rows is None else rows
+    rows = rows.drop("value", "effective_count")
     return survey.standardize_observed(rows, "pop", "Population", two_way=True)
 
 
-def _observed_share(spark, sf, measure="HIV prevalence"):
+def _observed_share(spark, sf, measure="HIV prevalence", rows=None):
     """Survey prevalence with given bounds."""
-    rows = views.observed(spark, sf).withColumns(
+    rows = views.observed(spark, sf) if rows is None else rows
+    rows = rows.withColumns(
         {"lb": F.col("value") * 0.5, "ub": (F.col("value") + 1) / 2}
     )
     return survey.standardize_observed(rows, "value", measure, ("pop", "effective_count"))
@@ -702,9 +704,10 @@ def gender_split_coverage(spark, sf):
 
 def _surveys(spark, sf) -> dict[str, DataFrame]:
     """Survey tables for the overlays, with province and both-sex rows."""
-    counties = results.stored(_observed_detail(spark, sf), "survey-counts")
+    rows = results.stored(views.observed(spark, sf), "survey")
+    counties = _observed_detail(spark, sf, rows)
     population = survey.add_marginals(counties, 1999)
-    share = results.stored(_observed_share(spark, sf), "survey-shares")
+    share = _observed_share(spark, sf, rows=rows)
     province = share.withColumn("county", F.lit("All"))
     both = province.withColumn("gender", F.lit("Both"))
     share = share.unionByName(province.where("year < 1998")).unionByName(both.where("year < 1998"))
