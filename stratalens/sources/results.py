@@ -23,8 +23,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 
 def save_results(df: DataFrame, path: str, by: tuple[str, ...] = ("scenario", "output")) -> str:
-    """Write a named result set. Rows of one partition value may come from any task,
-    so a large output never has to pass through a single writer."""
+    """Write a named result set.
+
+    Rows are first brought together by output, so that tasks do not each leave a
+    small file in every directory; outputs too large for one writer are split and
+    small ones merged by size at run time.
+    """
+    df = df.hint("rebalance", *by)
     df.write.mode("errorifexists").partitionBy(*by).parquet(path)
     return path
 
