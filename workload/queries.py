@@ -96,7 +96,7 @@ def scan_reports(spark, sf):
 
 @query("normalize_headers")
 def normalize_headers(spark, sf):
-    native = views.report(spark, sf).select(
+    native = views.report(spark, sf, grouped=False).select(
         *[F.col(c).alias(n) for c, n in schema.NATIVE_HEADERS.items()]
     )
     mangled = native.withColumnsRenamed(
@@ -164,7 +164,7 @@ def scale_counts(spark, sf):
 
 @query("standardize_report")
 def standardize(spark, sf):
-    return views.standard(spark, sf).select(
+    return views.standard(spark, sf, grouped=True).select(
         "scenario", "run_num", "year", "node_id", "county", "gender", "age_lower", "age_upper", "hiv",
         "risk", "circ", "population",
     )
@@ -184,7 +184,7 @@ def age_bin_upper(spark, sf):
 
 @query("calendar_year")
 def calendar_year(spark, sf):
-    years = views.report(spark, sf).groupBy("year").agg(F.sum("population").alias("population"))
+    years = views.report(spark, sf, grouped=False).groupBy("year").agg(F.sum("population").alias("population"))
     opened = intervals.add_interval(years, INTERVAL, "start")
     closed = intervals.add_interval(years, INTERVAL, "end").select(
         "year", F.col("year_start").alias("closed_start"), F.col("year_floor").alias("closed_floor")
@@ -546,8 +546,8 @@ CHANNEL_CONFIG = """{
 }"""
 
 
-def _channel_rows(spark, sf):
-    return views.report(spark, sf).withColumns(
+def _channel_rows(spark, sf, grouped=False):
+    return views.report(spark, sf, grouped).withColumns(
         {
             "scenario": F.concat(F.lit("PrEP-"), "prep_coverage"),
             "num_marital": F.col("population"),
@@ -599,7 +599,7 @@ def channel_completeness(spark, sf):
 @query("channel_unsupported")
 def channel_unsupported(spark, sf):
     """Channels asked for by the data's own scenarios that have no definition."""
-    per_scenario = views.report(spark, sf).select("prep_coverage").distinct()
+    per_scenario = views.report(spark, sf, grouped=False).select("prep_coverage").distinct()
     asked = per_scenario.select(
         "prep_coverage", F.explode(F.map_keys(channels.channel_cells(CHANNEL_CONFIG))).alias("channel")
     )
@@ -609,7 +609,8 @@ def channel_unsupported(spark, sf):
 
 @query("incidence_annualized")
 def incidence_annualized(spark, sf):
-    rows = _channel_rows(spark, sf)
+    # Each report row takes its whole year's infections, so rows must be report rows.
+    rows = _channel_rows(spark, sf, grouped=True)
     specs = _specs("Incidence")
     grid = channels.channel_grid(rows, specs, CHANNEL_CONFIG)
     yearly = channels.annualise_infections(rows)

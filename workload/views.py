@@ -23,8 +23,12 @@ def _orders_lines(spark, sf, order_columns, line_columns):
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def report(spark: SparkSession, sf: str) -> DataFrame:
-    """A stratified run report: counts per run, place, sex, age, status, risk and quarter."""
+def report(spark: SparkSession, sf: str, grouped: bool = True) -> DataFrame:
+    """A stratified run report: counts per run, place, sex, age, status, risk and quarter.
+
+    Not ``grouped``, a stratum may have many rows. Everything built from sums can
+    start there: its own aggregation then is the first and only one over the rows.
+    """
     joined = _orders_lines(
         spark, sf, ["o_custkey", "o_orderstatus", "o_orderdate"],
         ["l_suppkey", "l_partkey", "l_linestatus", "l_linenumber", "l_returnflag", "l_quantity",
@@ -54,14 +58,15 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
         "on_art": whole(quantity * F.col("l_discount") * 4),
         "has_prep": F.when(F.col("l_tax") > 0.04, 1).otherwise(0),
     }
-    return joined.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(
-        *[F.sum(c).cast("double").alias(n) for n, c in counts.items()]
-    )
+    named = [c.alias(n) for n, c in keys.items()]
+    if not grouped:
+        return joined.select(*named, *[c.cast("double").alias(n) for n, c in counts.items()])
+    return joined.groupBy(*named).agg(*[F.sum(c).cast("double").alias(n) for n, c in counts.items()])
 
 
-def standard(spark: SparkSession, sf: str) -> DataFrame:
+def standard(spark: SparkSession, sf: str, grouped: bool = False) -> DataFrame:
     """The report in measure vocabulary, one scenario per coverage."""
-    rows = report(spark, sf).withColumn("scenario", F.concat(F.lit("PrEP-"), "prep_coverage"))
+    rows = report(spark, sf, grouped).withColumn("scenario", F.concat(F.lit("PrEP-"), "prep_coverage"))
     return standardize_report(rows, "sweep")
 
 
@@ -76,7 +81,7 @@ def standard_by_time(spark: SparkSession, sf: str) -> DataFrame:
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:
     """Run 0 in the part of the survey, in the native survey layout."""
-    rows = report(spark, sf).where("run_num = 0 AND year = floor(year)")
+    rows = report(spark, sf, grouped=False).where("run_num = 0 AND year = floor(year)")
     upper = F.when(F.col("age_lower") == 0, 16).when(F.col("age_lower") == 16, 36).otherwise(100)
     keys = {
         "Year": F.col("year"),
