@@ -61,11 +61,11 @@ def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact_bounds(x: np.ndarray, n: np.ndarray, level: float = 0.95):
-    """Clopper-Pearson bounds; both are NaN where there are no trials."""
+    """Clopper-Pearson bounds; both are NaN without trials and outside 0 <= x <= n."""
     tail = (1.0 - level) / 2.0
     x, n = np.asarray(x, float), np.asarray(n, float)
     lower, upper = np.full(x.shape, np.nan), np.full(x.shape, np.nan)
-    some = n > 0
+    some = (n > 0) & (x >= 0) & (x <= n * (1 + 1e-9))
     lower[some], upper[some] = 0.0, 1.0
     has_low, has_high = some & (x > 0), some & (x < n)
     lower[has_low] = beta_quantile(tail, x[has_low], n[has_low] - x[has_low] + 1)

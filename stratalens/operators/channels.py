@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.intervals import year_key, year_of_end
-from stratalens.functions.ratios import ratio0, sum0
+from stratalens.functions.ratios import ratio0
 from stratalens.functions.recode import (
     age_bin_text,
     gender_code_from_letter,
@@ -346,8 +346,3 @@ def empty_cells(
     found = channel_sums(df, checked, grid, run_keys)
     cell = [*run_keys, *CELL]
     return grid.select(*cell).join(found, cell, "left_anti")
-
-
-def total_of_rows(df: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    """All count columns summed, zero over no rows."""
-    return df.groupBy(*keys).agg(*[sum0(F.col(c)).alias(c) for c in counts])

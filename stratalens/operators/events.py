@@ -35,12 +35,13 @@ def duration_histogram(
 ) -> DataFrame:
     """Share of durations per bin, over all facets together.
 
-    Bins are centred on multiples of ``width``; values outside ``low..high`` are
-    removed before the share is taken. The total is taken over the few bins.
+    Bins are centred on multiples of ``width`` and include their upper edge; values
+    outside ``low..high`` are removed before the share is taken. The total is taken
+    over the few bins.
     """
     inside = durations.where(F.col("duration").between(low, high))
     bins = inside.groupBy(
-        *facet, F.floor(F.col("duration") / F.lit(width) + F.lit(0.5)).alias("bin")
+        *facet, F.ceil(F.col("duration") / F.lit(width) - F.lit(0.5)).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
     total = bins.agg(F.sum("n")).scalar()
     return bins.select(

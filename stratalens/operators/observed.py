@@ -120,8 +120,7 @@ def weighted_total(
 ) -> DataFrame:
     """Population-weighted means over all places, as one row.
 
-    As in the source rule the weight of a place counts once per matching value row,
-    and a place without a value makes the mean missing.
+    The weight of a place counts once per matching value row, and a place without a value makes the mean missing.
     """
     joined = weights.join(values, list(on), "left")
     complete = F.count(F.lit(1))

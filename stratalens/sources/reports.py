@@ -110,7 +110,3 @@ def scale_counts(
         return count / F.lit(scale_factor)
 
     return df.withColumns({c: scaled(c) for c in chosen})
-
-
-def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns).distinct()

@@ -45,7 +45,7 @@ def test_hot_groups_are_few(log):
 
 
 def test_histogram(spark):
-    df = spark.createDataFrame([(0.0,), (15.0,), (15.3,), (30.42,), (45.7,), (390.0,), (391.0,), (-1.0,)], "duration double")
+    df = spark.createDataFrame([(0.0,), (15.21,), (15.3,), (30.42,), (45.7,), (390.0,), (391.0,), (-1.0,)], "duration double")
     got = {r.bin: r.n for r in events.duration_histogram(df).collect()}
     assert got == {0: 2, 1: 2, 2: 1, 13: 1}
     assert sum(r.share for r in events.duration_histogram(df).collect()) == pytest.approx(1.0)

@@ -109,7 +109,8 @@ def test_exact_bounds_against_brute_force():
     low, high = exact_bounds(*np.array(pairs, float).T)
     for (x, n), a, b in zip(pairs, low, high):
         assert (a, b) == pytest.approx(brute_bounds(x, n), abs=1e-9)
-    low, high = exact_bounds([5.0, 0.0], [10.0, 0.0])
+    low, high = exact_bounds([5.0, 0.0, 7.0], [10.0, 0.0, 3.0])
+    assert math.isnan(low[2]) and math.isnan(high[2])
     assert (round(low[0], 6), round(high[0], 6)) == (0.187086, 0.812914)
     assert math.isnan(low[1]) and math.isnan(high[1])
 

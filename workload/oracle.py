@@ -661,7 +661,7 @@ ORACLE["event_durations"] = with_(
 ORACLE["event_durations_hot"] = ORACLE["event_durations"]
 ORACLE["duration_histogram"] = with_(
     """SELECT prep_method, bin, round(bin * 0.25::DOUBLE, 6) AS centre, n, round(n / SUM(n) OVER (), 6) AS share
-FROM (SELECT prep_method, CAST(floor(duration / 0.25::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS bin, COUNT(*) AS n FROM dur
+FROM (SELECT prep_method, CAST(ceil(duration / 0.25::DOUBLE - 0.5::DOUBLE) AS BIGINT) AS bin, COUNT(*) AS n FROM dur
  WHERE duration BETWEEN 0 AND 2 GROUP BY 1, 2)""", DUR)
 ORACLE["id_uniqueness"] = """
 SELECT COUNT(*) AS n, COUNT(DISTINCT user_id) AS n_unique FROM (SELECT DISTINCT event_id % 3 AS node_id, user_id FROM events)"""
