@@ -153,6 +153,39 @@ def train(docs: DataFrame, parts: int = 64) -> Code | None:
     return Code(languages, code, weights, bias, trust)
 
 
+def _told(model: Code | None, texts: list[str], least_lead: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and ambiguity of each text."""
+    lang, score, unsure = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    if model is not None and texts:
+        margin, letters = margins(model, texts)
+        best, p, lead = decode(model, margin)
+        some = np.array(letters)
+        lang = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
+        score[some] = np.clip(p, 0, 1)[some]
+        unsure[some] = lead[some] < least_lead
+    return lang, score, unsure
+
+
+def select_documents(docs: DataFrame, model: Code | None, least_lead: float = 0.2) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told clearly.
+
+    Texts without a letter and ambiguous ones go; without a model all rows with a letter stay. Nothing is shuffled.
+    """
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 300):
+                part = batch.slice(at, 300)
+                if told.value is None:
+                    keep = [any(map(str.isalpha, set(t))) for t in texts_of(part)]
+                else:
+                    keep = ~_told(told.value, texts_of(part), least_lead)[2]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Code | None, least_lead: float = 0.2) -> DataFrame:
     """``(doc_id, lang_pred, score, ambiguous)`` of every row, from the whole text alone.
 
@@ -164,18 +197,10 @@ def identify(docs: DataFrame, model: Code | None, least_lead: float = 0.2) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = told.value
         for batch in batches:
             for at in range(0, batch.num_rows, 300):
                 part = batch.slice(at, 300)
-                lang, score, unsure = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows), np.ones(part.num_rows, bool)
-                if model is not None:
-                    margin, letters = margins(model, texts_of(part))
-                    best, p, lead = decode(model, margin)
-                    some = np.array(letters)
-                    lang = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-                    score[some] = np.clip(p, 0, 1)[some]
-                    unsure[some] = lead[some] < least_lead
+                lang, score, unsure = _told(told.value, texts_of(part), least_lead)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(lang), pa.array(score), pa.array(unsure)],
                     ["doc_id", "lang_pred", "score", "ambiguous"],

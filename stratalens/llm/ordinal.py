@@ -23,6 +23,8 @@ PREFIXES = (3, 4, 5, 6, 8)
 SHARES = (0.002, 0.01, 0.03, 0.1, 0.3)
 #: Documents of each grade that the fit may use, at most.
 SAMPLE = 3000
+#: Tail probability from which on a document is selected.
+LEAST = 0.4
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +173,14 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, sample: int = SAMPLE
     return (np.frombuffer(rows[0].w, np.float32), np.frombuffer(rows[0].cut)) if rows else None
 
 
+def _above(model: tuple[np.ndarray, np.ndarray], texts: list[str]) -> np.ndarray:
+    """Probability of a grade above each threshold: texts x thresholds."""
+    w, cut = model
+    row, ids = features(texts)
+    score = np.bincount(row, w[ids].astype(float), minlength=len(texts))
+    return 1 - _sigmoid(cut[None, :] - score[:, None])
+
+
 def grade_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least_grade: int) -> DataFrame:
     """``(doc_id, expected_grade, tail_probability)`` of every row; the tail begins at ``least_grade``.
 
@@ -187,10 +197,7 @@ def grade_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None
                     none = pa.nulls(part.num_rows, pa.float64())
                     out = [none, none]
                 else:
-                    w, cut = told.value
-                    row, ids = features(texts_of(part))
-                    score = np.bincount(row, w[ids].astype(float), minlength=part.num_rows)
-                    above = 1 - _sigmoid(cut[None, :] - score[:, None])
+                    above = _above(told.value, texts_of(part))
                     out = [pa.array(above.sum(1)), pa.array(above[:, least_grade - 1])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *out], ["doc_id", "expected_grade", "tail_probability"])
 
@@ -198,6 +205,26 @@ def grade_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double")
 
 
+def select_documents(
+    docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least_grade: int, least: float = LEAST
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose tail probability reaches ``least``.
+
+    Rows pass through as they are, without a shuffle; without a model all stay.
+    """
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 300):
+                part = batch.slice(start, 300)
+                if told.value is not None:
+                    part = part.filter(pa.array(_above(told.value, texts_of(part))[:, least_grade - 1] >= least))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Grade 2 for good and clean text, 1 for good but toxic text, 0 for poor text."""
     return labels.select(
@@ -207,6 +234,6 @@ def graded(labels: DataFrame) -> DataFrame:
     )
 
 
-def selected(least: float = 0.4) -> Column:
+def selected(least: float = LEAST) -> Column:
     """A document stays if its tail probability reaches ``least``; unscored ones stay too."""
     return F.coalesce(F.col("tail_probability") >= least, F.lit(True))

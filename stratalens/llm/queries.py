@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat_windows, ecoc, ordinal, piece_table, simhash
+from stratalens.llm import chat_windows, ecoc, grouping_pack, lattice, ordinal, piece_table, simhash
 from stratalens.llm.common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -30,12 +30,20 @@ def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_windows.conversation_digests(chat_windows.chat_windows(turns))
 
 
+def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels")), grades=3)
     return ordinal.grade_documents(docs, model, least_grade=2).withColumn("kept", ordinal.selected())
 
 
+def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping_pack.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,12 +56,14 @@ def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_table.encode_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return piece_table.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_windows": op2_chat_windows,
+    "op3_lattice": op3_lattice,
     "op4_ordinal_quality": op4_ordinal_quality,
+    "op5_linear_grouping": op5_linear_grouping,
     "op8_simhash": op8_simhash,
     "op9_output_codes": op9_output_codes,
     "op10_piece_table": op10_piece_table,
