@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat_windows, ecoc, grouping_pack, hnsw, lattice, ordinal, piece_table, simhash
+from stratalens.llm import chat_windows, ecoc, grouping_pack, hnsw, lattice, ordinal, path_ratios, piece_table, simhash
 from stratalens.llm.common import table
 
 
@@ -21,6 +21,10 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_ratios.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame(
@@ -64,6 +68,7 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_path_ratios": op1_path_ratios,
     "op2_chat_windows": op2_chat_windows,
     "op3_lattice": op3_lattice,
     "op4_ordinal_quality": op4_ordinal_quality,
