@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat_windows, ecoc, grouping_pack, hnsw, lattice, ordinal, path_ratios, piece_table, simhash
+from stratalens.llm import chat_windows, ecoc, grouping_pack, gru_lm, hnsw, lattice, ordinal, path_ratios, piece_table, simhash
 from stratalens.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op6_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_recurrent_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.likelihoods(table(spark, sf_dir, "documents"), _remainder(5) == 1)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ordinal_quality": op4_ordinal_quality,
     "op5_linear_grouping": op5_linear_grouping,
     "op6_small_world": op6_small_world,
+    "op7_recurrent_likelihood": op7_recurrent_likelihood,
     "op8_simhash": op8_simhash,
     "op9_output_codes": op9_output_codes,
     "op10_piece_table": op10_piece_table,
