@@ -79,9 +79,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(raw)), [len(x) + 10 for x in raw])
     run = (b[:-2] << np.uint64(16)) | (b[1:-1] << np.uint64(8)) | b[2:]
     told = np.flatnonzero((run != 0x616161) & (run != 0x202020))
-    told = told[(told >= 10) & (told < 10 + owner.size)]
+    # A run belongs to the text it touches: those of a text begin up to two bytes before it.
+    told = told[(told >= 8) & (told < 8 + owner.size)]
     if told.size:
-        key, count = np.unique(owner[told - 10] << 24 | run[told].astype(np.int64), return_counts=True)
+        key, count = np.unique(owner[told - 8] << 24 | run[told].astype(np.int64), return_counts=True)
         doc = key >> 24
         share = count / np.array([max(len(x), 1) for x in raw])[doc]
         shape = (key & 0xFFFFFF).astype(np.uint64)
