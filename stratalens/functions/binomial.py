@@ -38,12 +38,17 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h
 
 
-def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function for 0 < x < 1."""
-    log_front = (
-        _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)
-    )
-    front = np.exp(log_front)
+def log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithm of the beta function."""
+    return _log_gamma(a) + _log_gamma(b) - _log_gamma(a + b)
+
+
+def incomplete_beta(
+    a: np.ndarray, b: np.ndarray, x: np.ndarray, log_whole: np.ndarray | None = None
+) -> np.ndarray:
+    """Regularised incomplete beta function for 0 < x < 1; ``log_whole`` is ``log_beta(a, b)`` where it is known."""
+    log_whole = log_beta(a, b) if log_whole is None else log_whole
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) - log_whole)
     direct = x < (a + 1.0) / (a + b + 2.0)
     aa, bb, xx = np.where(direct, a, b), np.where(direct, b, a), np.where(direct, x, 1.0 - x)
     part = front * _beta_fraction(aa, bb, xx) / aa
@@ -53,9 +58,10 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
 def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The x at which the incomplete beta function reaches ``p``, by bisection."""
     low, high = np.zeros_like(a), np.ones_like(a)
+    log_whole = log_beta(a, b)
     for _ in range(60):
         mid = (low + high) / 2.0
-        below = incomplete_beta(a, b, mid) < p
+        below = incomplete_beta(a, b, mid, log_whole) < p
         low, high = np.where(below, mid, low), np.where(below, high, mid)
     return (low + high) / 2.0
 

@@ -116,5 +116,17 @@ def file_stem(name: Column) -> Column:
 
 
 def list_or_null(text: Column, element: str = "double") -> Column:
-    """An array from text such as ``[1,2,3]``; other text is not a list."""
-    return F.when(text.contains("["), F.from_json(text, f"array<{element}>"))
+    """An array from text such as ``[1,2,3]``, of any element type, lists included.
+
+    Other text is not a list and gives NULL; text that begins as a list and cannot be
+    read as one of this type fails.
+    """
+    begins = F.ltrim(text).startswith("[")
+    return F.when(begins, F.from_json(text, f"array<{element}>", {"mode": "FAILFAST"}))
+
+
+def list_or_scalar(text: Column) -> Column:
+    """The value that a text stands for: a list of any depth, a number, or else the text itself, as a variant."""
+    begins = F.ltrim(text).startswith("[")
+    plain = F.parse_json(F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\\\])', r"\\$1"), F.lit('"')))
+    return F.when(begins, F.parse_json(text)).otherwise(F.coalesce(F.try_parse_json(text), plain))

@@ -18,7 +18,7 @@ from stratalens.functions.recode import (
     gender_code_from_name,
     gender_name_from_code,
 )
-from stratalens.sources.schema import CHANNEL_CONFIG_SCHEMA, RUN_KEYS
+from stratalens.sources.schema import CHANNEL_CONFIG_SCHEMA, run_keys_of
 
 ALL_NODES = 0
 BOTH = 2
@@ -151,7 +151,7 @@ def _years(spec: ChannelSpec, configured: Column) -> Column:
 
 
 def channel_grid(
-    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] = RUN_KEYS,
+    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] | None = None,
     nodes: DataFrame | None = None,
 ) -> DataFrame:
     """Every cell the channels have to report, per run.
@@ -160,7 +160,7 @@ def channel_grid(
     sexes from the configuration. ``nodes`` names another frame to take the places
     from. A run's places are the nodes of the model, a fixed short list.
     """
-    run_keys = list(run_keys)
+    run_keys = run_keys_of(df, run_keys)
     places = F.collect_set("node_id").alias("_nodes")
     bounds = [F.min("year").alias("_first"), F.max("year").alias("_last")]
     if nodes is None:
@@ -205,7 +205,7 @@ def channel_grid(
 
 
 def annualise_infections(
-    df: DataFrame, run_keys: Sequence[str] = RUN_KEYS,
+    df: DataFrame, run_keys: Sequence[str] | None = None,
     strata: Sequence[str] = ("node_id", "gender_code", "age_lower", "circ", "risk"),
 ) -> DataFrame:
     """Rows at mid-year with the new infections of their whole calendar year.
@@ -213,7 +213,7 @@ def annualise_infections(
     Only rows dated exactly half past a year are kept, and they take that whole year.
     """
     dated = df.withColumn("year_in", year_of_end(F.col("year")))
-    keys = [*run_keys, *strata]
+    keys = [*run_keys_of(df, run_keys), *strata]
     yearly = dated.groupBy(*keys, "year_in").agg(
         F.sum("newly_infected").alias("newly_infected_annualized")
     )
@@ -221,7 +221,7 @@ def annualise_infections(
     return middle.join(yearly, [*keys, "year_in"]).drop("year").withColumnRenamed("year_in", "year")
 
 
-def infection_sources(df: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+def infection_sources(df: DataFrame, run_keys: Sequence[str] | None = None) -> DataFrame:
     """Infections in stable relationships per stratum, by whether the partner was the source.
 
     Both counts come from one conditional aggregate. A stratum with neither kind is absent.
@@ -229,7 +229,7 @@ def infection_sources(df: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> Data
     stable = df.where("was_marital = 1 AND by_marital_partner IN (0, 1)")
     return (
         stable.groupBy(
-            *run_keys,
+            *run_keys_of(df, run_keys),
             year_of_end(F.col("year")).alias("year"),
             "node_id",
             F.col("age").alias("age_lower"),
@@ -260,14 +260,15 @@ CELL = ("channel", "year", "node_id", "gender_code", "age_lower", "age_upper")
 
 
 def channel_sums(
-    df: DataFrame, specs: Sequence[ChannelSpec], grid: DataFrame, run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, specs: Sequence[ChannelSpec], grid: DataFrame, run_keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Sums of the rows in each grid cell, with the number of rows found.
 
-    Rows are first summed to strata, then met with the grid of all channels on run
-    and year; age, sex, place and the channel's own condition decide within that
-    match, where a cell for both sexes or for all places takes any row.
+    Rows are first summed to strata. A stratum counts for its own place and for all
+    places, for its own sex and for both, so it is met with the grid of all channels on
+    run, year, place and sex; only age and the channel's own condition decide within that match.
     """
+    run_keys = run_keys_of(df, run_keys)
     counts = sorted({c for s in specs for c in s.counts})
     tested = set().union(*[set(re.findall(r"[A-Za-z_]\w*", s.where or "")) for s in specs])
     extra = [c for c in df.columns if c in tested]
@@ -276,36 +277,37 @@ def channel_sums(
         df.withColumn("_year", year_key(F.col("year")))
         .groupBy(*keys, "node_id", "gender_code", "age_lower", *extra)
         .agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("_n"))
-        .withColumnsRenamed({"node_id": "_node", "gender_code": "_gender", "age_lower": "_age"})
+        .withColumnRenamed("age_lower", "_age")
+        .withColumn("node_id", F.explode(F.array_distinct(F.array("node_id", F.lit(ALL_NODES)))))
+        .withColumn("gender_code", F.explode(F.array_distinct(F.array("gender_code", F.lit(BOTH)))))
     )
     cells = grid.withColumn("_year", year_key(F.col("year")))
     selected = _by_channel(specs, lambda s: F.expr(s.where) if s.where else None, F.lit(True))
     inside = (
         (F.col("_age") >= F.col("age_lower"))
         & (F.col("_age") < F.col("age_upper"))
-        & ((F.col("gender_code") == BOTH) | (F.col("_gender") == F.col("gender_code")))
-        & ((F.col("node_id") == ALL_NODES) | (F.col("_node") == F.col("node_id")))
         & selected
     )
-    same = reduce(lambda c, k: c & (F.col(f"d.{k}") == F.col(f"g.{k}")), keys, F.lit(True))
+    met = [*keys, "node_id", "gender_code"]
+    same = reduce(lambda c, k: c & (F.col(f"d.{k}") == F.col(f"g.{k}")), met, F.lit(True))
     return (
         strata.alias("d").join(cells.alias("g"), same & inside)
-        .groupBy(*[F.col(f"g.{k}").alias(k) for k in run_keys], *CELL)
+        .groupBy(*[F.col(f"g.{k}").alias(k) for k in (*run_keys, *CELL)])
         .agg(*[F.sum(c).alias(c) for c in counts], F.sum("_n").alias("_n"))
     )
 
 
 def channel_results(
-    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] = RUN_KEYS,
-    grid: DataFrame | None = None, strict: bool = False,
+    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] | None = None,
+    grid: DataFrame | None = None, strict: bool = True,
 ) -> DataFrame:
     """``channel, Year, Node, Gender, AgeBin, Result`` per run, all channels in one pass.
 
     A channel that need not be complete reports zero for an empty cell. One that
-    must be complete leaves it out, or fails on it with ``strict``. A channel whose
+    must be complete fails on it, or leaves it out if not ``strict``. A channel whose
     count columns are absent is left out.
     """
-    run_keys = list(run_keys)
+    run_keys = run_keys_of(df, run_keys)
     specs = computable(df, specs)
     if not specs:
         keys = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in run_keys)
@@ -338,9 +340,10 @@ def channel_results(
 
 
 def empty_cells(
-    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, specs: Sequence[ChannelSpec], config: str, run_keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Grid cells without a single row, for the channels that must be complete."""
+    run_keys = run_keys_of(df, run_keys)
     checked = [s for s in computable(df, specs) if s.complete]
     grid = channel_grid(df, checked, config, run_keys)
     found = channel_sums(df, checked, grid, run_keys)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalens.functions.ratios import ratio
+from stratalens.functions.ratios import ratio_or_infinity
 from stratalens.operators.summary import summarise_runs
+from stratalens.sources.schema import run_keys_of
 
 LEVEL = "prep_coverage"
 DIMS = ("gender", "age_lower", "age_upper", "county", "measure")
@@ -39,7 +40,13 @@ def _contrast(
 ) -> DataFrame:
     rows = with_baseline(df, keys, level, strict=strict).where(F.col(level) > 0)
     changed = rows.withColumn("value", result)
-    return summarise_runs(changed, [*by, level], mean=False, runs_bound=runs_bound)
+    on_null = "raise" if strict else "skip"
+    return summarise_runs(changed, [*by, level], mean=False, on_null=on_null, runs_bound=runs_bound)
+
+
+def _run(df: DataFrame) -> list[str]:
+    """What identifies a run in every scenario."""
+    return [k for k in run_keys_of(df) if k != "scenario"]
 
 
 def relative_risk(
@@ -47,9 +54,10 @@ def relative_risk(
     level: str = LEVEL, strict: bool = True, runs_bound: int | None = None,
 ) -> DataFrame:
     """Median and interval of value / baseline value over runs. Without ``time`` the
-    rows are pooled periods and a run is its own group."""
-    rr = ratio(F.col("value"), F.col("value_base"))
-    return _contrast(measures, ["run_num", *time], rr, by, level, strict, runs_bound)
+    rows are pooled periods and a run is its own group. A value over a baseline of zero is
+    infinite; ``strict`` fails where both are zero or one is missing."""
+    rr = ratio_or_infinity(F.col("value"), F.col("value_base"))
+    return _contrast(measures, [*_run(measures), *time], rr, by, level, strict, runs_bound)
 
 
 def averted_by_year(
@@ -58,7 +66,7 @@ def averted_by_year(
 ) -> DataFrame:
     """Median and interval of baseline - value per year; ``by`` separates outputs."""
     saved = -(F.col("value") - F.col("value_base"))
-    keys = [*by, "run_num", "year"]
+    keys = [*by, *_run(measures), "year"]
     return _contrast(measures, keys, saved, [*by, "year"], level, strict, runs_bound)
 
 
@@ -68,9 +76,10 @@ def averted_total(
 ) -> DataFrame:
     """As by year, for the sum over a closed range of years."""
     inside = measures.where(F.col("year").between(first, last))
-    sums = inside.groupBy(*by, "run_num", level).agg(F.sum("value").alias("value"))
+    run = _run(measures)
+    sums = inside.groupBy(*by, *run, level).agg(F.sum("value").alias("value"))
     saved = -(F.col("value") - F.col("value_base"))
-    return _contrast(sums, [*by, "run_num"], saved, list(by), level, strict, runs_bound)
+    return _contrast(sums, [*by, *run], saved, list(by), level, strict, runs_bound)
 
 
 def coverage_reached(summary: DataFrame, year: float) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratalens.operators.neighbours import next_within
 
@@ -16,9 +17,10 @@ def use_durations(
 ) -> DataFrame:
     """Time from each start event to the next event of the same individual.
 
-    The start event that is an individual's last event has no end and is left out.
+    The start event that is an individual's last event has no end and is left out, as are
+    events without a time.
     """
-    rows = events.select(individual, time, name, tie_break, *keep)
+    rows = events.select(individual, time, name, tie_break, *keep).where(F.col(time).isNotNull())
     found = next_within(rows, [individual], time, tie_break, "end", hot_rows)
     return (
         found.where((F.col(name) == start_event) & F.col("end").isNotNull())
@@ -36,14 +38,14 @@ def duration_histogram(
     """Share of durations per bin, over all facets together.
 
     Bins are centred on multiples of ``width`` and include their upper edge; values
-    outside ``low..high`` are removed before the share is taken. The total is taken
-    over the few bins.
+    outside ``low..high`` are removed before the share is taken. The total is a window
+    over the bins, whose number follows from ``width`` and the range.
     """
     inside = durations.where(F.col("duration").between(low, high))
     bins = inside.groupBy(
         *facet, F.ceil(F.col("duration") / F.lit(width) - F.lit(0.5)).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
-    total = bins.agg(F.sum("n")).scalar()
+    total = F.sum("n").over(Window.partitionBy())
     return bins.select(
         *facet, "bin", (F.col("bin") * F.lit(width)).alias("centre"), "n",
         (F.col("n") / total).alias("share"),

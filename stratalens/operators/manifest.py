@@ -51,23 +51,26 @@ def scenario_title(template_set: Column, campaign: Column, scenario: Column) ->
 def expand_runs(samples: DataFrame, resolved: DataFrame, strict: bool = True) -> DataFrame:
     """One row per template set, scenario and sample.
 
-    The resolved scenarios, a hand-typed table, reach the tasks as one array value;
-    samples are expanded where they are, so nothing is shuffled however many there
-    are. Columns of the scenario table override equal sample columns. ``strict``
+    Every sample meets every resolved scenario by a join on one common document, whose
+    smaller side the optimizer sends to the tasks if it is small enough. Columns of
+    the scenario table override equal sample columns. With ``strict`` the job
     fails on a scenario whose campaign cannot be resolved, else it is left out.
     """
     if strict:
-        wrong = resolved.where(F.col("problem").isNotNull()).select("problem").first()
-        if wrong is not None:
-            raise CampaignError(wrong["problem"])
+        wrong = F.raise_error(F.col("problem")).cast("string")
+        resolved = resolved.withColumn("template_set", F.when(F.col("problem").isNotNull(), wrong).otherwise(F.col("template_set")))
+    else:
+        resolved = resolved.where(F.col("problem").isNull())
     used = ("Scenario", "Campaign", "template_set", "campaign_file", "problem")
     extra = [c for c in resolved.columns if c not in used]
     title = scenario_title(F.col("template_set"), F.col("Campaign"), F.col("Scenario"))
-    entry = F.struct("template_set", "campaign_file", title.alias("scenario"), *extra)
-    scenarios = resolved.where(F.col("problem").isNull()).agg(F.collect_list(entry)).scalar()
+    scenarios = resolved.select(
+        F.lit(0).alias("_document"), "template_set", "campaign_file", title.alias("scenario"), *extra
+    )
     kept = [c for c in samples.columns if c not in extra]
     return (
-        samples.withColumn("_scenarios", scenarios)
-        .select(*kept, F.inline("_scenarios"))
+        samples.select(F.lit(0).alias("_document"), *kept)
+        .join(scenarios, "_document")
+        .drop("_document")
         .withColumn("config_name", F.col("scenario"))
     )

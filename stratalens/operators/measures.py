@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.functions.ratios import rate100, ratio, ratio0
-from stratalens.sources.schema import DIMENSIONS, MEASURE_COLUMNS, RUN_KEYS
+from stratalens.sources.schema import DIMENSIONS, MEASURE_COLUMNS, run_keys_of
 
 # Closing formulas over the two sums.
 FORMS = {
@@ -81,9 +81,10 @@ class MeasureSpec:
 
 
 def evaluate(
-    df: DataFrame, spec: MeasureSpec, run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, spec: MeasureSpec, run_keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Long rows of one measure, one per run and group."""
+    run_keys = run_keys_of(df, run_keys)
     rows = df.where(spec.where) if spec.where else df
     grouped = {n: t for n, t in MEASURE_COLUMNS if n in spec.dims}
     num, den = spec.sums()
@@ -107,7 +108,7 @@ def evaluate(
 
 
 def evaluate_all(
-    df: DataFrame, specs: Iterable[MeasureSpec], run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, specs: Iterable[MeasureSpec], run_keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Every measure from one pass: long rows with an ``output`` column.
 
@@ -116,6 +117,7 @@ def evaluate_all(
     it strata that are already summed (``finest_strata``), not raw rows.
     """
     specs = list(specs)
+    run_keys = run_keys_of(df, run_keys)
     every = range(len(specs))
     types = dict(MEASURE_COLUMNS)
     grouped = [n for n in DIMENSIONS if any(n in s.dims for s in specs)]

@@ -139,17 +139,23 @@ def split_coverage_by_sex(
 ) -> DataFrame:
     """Coverage of men and of women from a coverage of both.
 
-    ``prevalence`` and ``coverage`` are the reference rows, one per sex; their values
-    enter as scalars.
+    ``prevalence`` and ``coverage`` are the reference rows, one per sex; their four
+    values are one aggregate.
     """
+    both = prevalence.select("gender", "value", F.lit("p").alias("of")).unionByName(
+        coverage.select("gender", "value", F.lit("c").alias("of"))
+    )
 
-    def of(df: DataFrame, sex: str) -> Column:
-        return df.agg(F.max(F.when(F.col("gender") == sex, F.col("value")))).scalar()
+    def value(of: str, sex: str) -> Column:
+        return F.max(F.when((F.col("of") == of) & (F.col("gender") == sex), F.col("value")))
 
-    men, women = of(prevalence, "Men"), of(prevalence, "Women")
-    relative = ratio(of(coverage, "Women"), of(coverage, "Men"))
-    multiplier = ratio(men + women * relative, men + women)
-    return combined.withColumn("_m", multiplier).select(
+    row = both.agg(F.struct(
+        value("p", "Men").alias("pm"), value("p", "Women").alias("pw"),
+        value("c", "Men").alias("cm"), value("c", "Women").alias("cw"),
+    ).alias("r")).scalar()
+    relative = ratio(F.col("_r.cw"), F.col("_r.cm"))
+    multiplier = ratio(F.col("_r.pm") + F.col("_r.pw") * relative, F.col("_r.pm") + F.col("_r.pw"))
+    return combined.withColumn("_r", row).withColumn("_m", multiplier).select(
         "year",
         ratio(F.col("value"), F.col("_m")).alias("art_prev_men"),
         (F.col("value") * F.col("_m")).alias("art_prev_women"),

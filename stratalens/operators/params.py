@@ -58,17 +58,15 @@ def unpivot_params(
 def box_statistics(long: DataFrame, keys: Sequence[str] = ("parameter", "source")) -> DataFrame:
     """Quartiles, extremes and whiskers (the last values within 1.5 box lengths).
 
-    There is one group per parameter and source, so the table of quartiles is as
-    short as the parameter list and is sent to the tasks; the groups themselves
-    grow with the number of sets and are never gathered.
+    There is one group per parameter and source; groups grow with the number of
+    sets and are never gathered.
     """
     boxes = exact_quantiles(
-        long, keys, "value", (0.0, 0.25, 0.5, 0.75, 1.0), ("min", "q1", "median", "q3", "max"),
-        few_groups=True,
+        long, keys, "value", (0.0, 0.25, 0.5, 0.75, 1.0), ("min", "q1", "median", "q3", "max")
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
-    whiskers = long.join(F.broadcast(boxes), list(keys)).groupBy(*keys).agg(
+    whiskers = long.join(boxes, list(keys)).groupBy(*keys).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),
@@ -131,7 +129,7 @@ def _special_entries(columns: set[str], counties: Sequence[str]) -> tuple[list[C
             used.add(share)
         for name, suffix in FANNED_OUT.items():
             if name in columns:
-                add(f"{MEDIUM_INPUT}{county}.{suffix}", col(name), when=col(name).isNotNull())
+                add(f"{MEDIUM_INPUT}{county}.{suffix}", col(name), when=col(name).isNotNull() & ~F.isnan(col(name).cast("double")))
     used.update(columns & set(FANNED_OUT))
     if ASSORTIVITY in columns:
         flat = F.flatten(assortivity_matrix(col(ASSORTIVITY)))
@@ -179,19 +177,29 @@ def unmapped_parameters(
     return names.join(F.broadcast(rules), "parameter", "left_anti")
 
 
-def override_config(base: DataFrame, overrides: DataFrame) -> DataFrame:
+def config_entries(documents: DataFrame, json: str = "config") -> DataFrame:
+    """``(key, value)`` of flat configuration documents; a value is JSON text, so numbers, text and arrays stay apart."""
+    parsed = F.parse_json(F.col(json))
+    pairs = documents.select(parsed.alias("_v")).lateralJoin(
+        documents.sparkSession.tvf.variant_explode(F.col("_v").outer())
+    )
+    return pairs.select("key", F.to_json("value").alias("value"))
+
+
+def override_config(base: DataFrame, overrides: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Each set's configuration: its own value where it has one, else the base value.
 
     ``base`` has ``(key, value)``, ``overrides`` has ``(parameterization_id, key,
-    value)``. A key that only a set has is added, as an update would. A
-    configuration is one document of a few hundred keys, so a set's keys are held
-    as one map, and the base document reaches the tasks as a single value.
+    value)`` with one row a key at most, ``sets`` the ids of all sets (by default those
+    that override something). An override replaces the base value also by NULL. A key
+    that only a set has is added, as an update would. Values are of any one type.
     """
-    document = F.map_from_entries(F.collect_list(F.struct("key", "value")))
-    defaults = base.agg(document.alias("base")).scalar()
-    own = overrides.groupBy(ID).agg(document.alias("own")).withColumn("_base", defaults)
-    merged = F.map_zip_with("_base", "own", lambda _, b, o: F.coalesce(o, b))
-    return own.select(ID, F.explode(merged).alias("key", "value"))
+    ids = (overrides if sets is None else sets).select(ID).distinct().withColumn("_document", F.lit(0))
+    given = ids.join(base.withColumn("_document", F.lit(0)), "_document").select(
+        ID, "key", "value", F.lit(False).alias("_own")
+    )
+    both = given.unionByName(overrides.select(ID, "key", "value", F.lit(True).alias("_own")))
+    return both.groupBy(ID, "key").agg(F.max_by(F.struct("value"), "_own")["value"].alias("value"))
 
 
 def hash_fraction(*parts: Column) -> Column:

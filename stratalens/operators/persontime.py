@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.intervals import add_interval
 from stratalens.operators.neighbours import lag_within
-from stratalens.sources.schema import RUN_KEYS
+from stratalens.sources.schema import run_keys_of
 
 STRATA = ("node_id", "gender", "risk", "hiv", "age_lower")
 
 
 def one_row_per_time(
-    df: DataFrame, strata: Sequence[str], counts: Sequence[str], run_keys: Sequence[str] = RUN_KEYS
+    df: DataFrame, strata: Sequence[str], counts: Sequence[str], run_keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Counts summed to one row per stratum and report time.
 
     Partial sums are taken before the shuffle, and a stratum is left with as many
     rows as the report has times, however many input rows it had.
     """
-    return df.groupBy(*run_keys, *strata, "year").agg(*[F.sum(c).alias(c) for c in counts])
+    return df.groupBy(*run_keys_of(df, run_keys), *strata, "year").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def add_person_years(
@@ -31,7 +31,7 @@ def add_person_years(
     method: str,
     anchor: str,
     strata: Sequence[str] = STRATA,
-    run_keys: Sequence[str] = RUN_KEYS,
+    run_keys: Sequence[str] | None = None,
     drop_missing: bool | None = None,
 ) -> DataFrame:
     """``person_years`` plus the interval columns.
@@ -43,7 +43,7 @@ def add_person_years(
     Input must have one row per stratum and time (see ``one_row_per_time``).
     """
     if method == "mid":
-        keys = [*run_keys, *strata]
+        keys = [*run_keys_of(df, run_keys), *strata]
         df = lag_within(df, keys, "year", "population", "_previous")
         population = (F.col("_previous") + F.col("population")) / 2
     elif method == "end":

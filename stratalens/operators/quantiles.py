@@ -29,21 +29,21 @@ def exact_quantiles(
     names: Sequence[str],
     mean: str | None = None,
     group_bound: int | None = None,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Quantiles of the non-null values of each group, optionally with their mean.
 
-    ``group_bound`` states how many values a group can hold at most. Up to
-    ``SMALL_GROUP`` one aggregation does the work. Larger or unknown groups take
-    ``_ranked_quantiles``, which never brings a whole group into one task.
-    ``few_groups`` says that the number of groups is fixed by the shape of the data
-    (columns, places, years), so one row per group may be sent to every task.
+    ``group_bound`` states how many values a group can hold at most; a group with
+    more fails. Up to ``SMALL_GROUP`` one aggregation does the work. Larger or unknown
+    groups take ``_ranked_quantiles``, which never brings a whole group into one task.
     """
     if group_bound is None or group_bound > SMALL_GROUP:
-        return _ranked_quantiles(df, keys, value, probs, names, mean, few_groups)
+        return _ranked_quantiles(df, keys, value, probs, names, mean)
     averages = [F.avg(value).alias(mean)] if mean else []
+    wrong = F.raise_error(F.lit(f"a group has more than {group_bound} values")).cast("array<double>")
     found = df.groupBy(*keys).agg(
-        *averages, F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("_q")
+        *averages,
+        F.when(F.count(value) > group_bound, wrong)
+        .otherwise(F.percentile(value, F.array(*[F.lit(p) for p in probs]))).alias("_q"),
     )
     return found.select(
         *keys,
@@ -52,7 +52,7 @@ def exact_quantiles(
     )
 
 
-def _ranked_quantiles(df, keys, value, probs, names, mean, few_groups):
+def _ranked_quantiles(df, keys, value, probs, names, mean):
     """Two-pass selection.
 
     The first pass sketches each group: for every probability a value that is
@@ -85,7 +85,7 @@ def _ranked_quantiles(df, keys, value, probs, names, mean, few_groups):
     )
     tagged = (
         rows.where("_v IS NOT NULL").alias("r")
-        .join((F.broadcast(spans) if few_groups else spans).alias("s"), _same("r", "s", keys))
+        .join(spans.alias("s"), _same("r", "s", keys))
         .select(*[F.col(f"r.{k}").alias(k) for k in keys], "_v", "_n", F.inline("_spans"))
         .where("hi IS NULL OR _v <= hi")
         .withColumn("_v", F.when(F.col("lo").isNull() | (F.col("_v") >= F.col("lo")), F.col("_v")))

@@ -10,17 +10,22 @@ from pyspark.sql.window import Window
 
 from stratalens.operators.params import ID, hash_fraction
 
-# Ids per numbering bucket.
-BUCKET = 65_536
+# Parts that rows are numbered in, about equal in size whatever the ids are.
+PARTS = 200
 
 
 def number_rows(df: DataFrame, order: str, out: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of a unique whole-number column.
 
-    Rows are numbered inside id ranges of fixed width, each in its own task, and
-    moved by the count of all lower ranges. Only the range counts meet in one place.
+    Rows are numbered inside ranges between quantiles of the column, and moved by the
+    count of all lower ranges. Only the range counts, at most ``PARTS``, meet in one place.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / BUCKET))
+    cuts = df.agg(
+        F.percentile_approx(order, F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])).alias("_cuts")
+    ).scalar()
+    ranged = df.withColumn("_cuts", cuts).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    ).drop("_cuts")
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
@@ -29,7 +34,7 @@ def number_rows(df: DataFrame, order: str, out: str, start: int = 0) -> DataFram
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
     numbered = ranged.withColumn("_rank", inside).join(offsets, "_range")
     return numbered.withColumn(
-        out, (F.col("_rank") + F.col("_offset") + F.lit(start - 1)).cast("int")
+        out, (F.col("_rank") + F.col("_offset") + F.lit(start - 1)).cast("bigint")
     ).drop("_range", "_rank", "_offset")
 
 
@@ -57,24 +62,36 @@ def roulette_sample(
     Each remaining set draws ``-ln(u) / p`` with ``p`` its share of the likelihood
     and ``u`` a hash of its id, and the smallest draws win, which has the same law
     as drawing one after another. ``drop_last`` leaves the least likely set out of
-    the draw. Sets are numbered from 0; ``source_id`` keeps the old id. Only the
-    ``n_samples`` rows asked for are ever brought together.
+    the draw. Sets are numbered from 0; ``source_id`` keeps the old id. Fewer sets than
+    asked for, or fewer with a likelihood to draw from, are an error. Only the ``n_samples`` rows
+    asked for are ever brought together.
     """
-    top = top_likelihood(params, n_samples)
-    rest = params.join(top.select(ID), ID, "left_anti")
-    if drop_last:
-        last = rest.agg(F.max(F.struct(-F.col("likelihood"), F.col(ID)))[ID].alias("_last"))
-        rest = rest.where(F.col(ID) != last.scalar())
-    total = rest.agg(F.sum("likelihood").alias("_total"))
-    drawn = (
-        rest.withColumn("_p", F.try_divide(F.col("likelihood"), total.scalar()))
-        .where("_p > 0")
-        .withColumn("_draw", -F.ln(hash_fraction(F.lit(seed), F.col(ID))) / F.col("_p"))
-        .orderBy("_draw", ID)
-        .limit(n_samples - ceil(n_samples / 3))
-    )
-    both = top.withColumns({"_stage": F.lit(0), "_key": -F.col("likelihood")}).unionByName(
-        drawn.withColumns({"_stage": F.lit(1), "_key": F.col("_draw")}).drop("_p", "_draw")
+    wanted = ceil(n_samples / 3)
+    place = F.struct(F.col("likelihood"), (-F.col(ID)).alias("back"))
+    cut = top_likelihood(params, n_samples).agg(F.min(place).alias("_cut")).scalar()
+    marked = params.withColumn("_top", place >= cut)
+    least = F.max(F.when(~F.col("_top"), F.struct((-F.col("likelihood")).alias("l"), F.col(ID).alias("id"))))
+    facts = marked.agg(F.struct(
+        least.alias("last"),
+        F.sum(F.when(~F.col("_top"), F.col("likelihood"))).alias("total"),
+        F.count_if(~F.col("_top") & (F.col("likelihood") > 0)).alias("drawable"),
+        F.count_if(F.col("_top")).alias("top"),
+    ).alias("_facts")).scalar()
+    marked = marked.withColumn("_facts", facts)
+    dropped = F.col(ID).eqNullSafe(F.col("_facts.last.id")) if drop_last else F.lit(False)
+    lost = F.when(F.col("_facts.last.l") < 0, 1).otherwise(0) if drop_last else F.lit(0)
+    few = (F.col("_facts.top") < wanted) | (F.col("_facts.drawable") - lost < n_samples - wanted)
+    short = F.raise_error(F.lit(f"fewer than {n_samples} sets can be chosen")).cast("boolean")
+    marked = marked.where(F.when(few, short).otherwise(F.lit(True)))
+    chance = F.when(F.col("likelihood") > 0, F.try_divide(F.col("likelihood"), F.col("_facts.total")))
+    drawn = -F.ln(hash_fraction(F.lit(seed), F.col(ID))) / chance
+    both = (
+        marked.withColumn("_key", F.when(F.col("_top"), -F.col("likelihood")).otherwise(drawn))
+        .where(F.col("_top") | (F.col("_key").isNotNull() & ~dropped))
+        .withColumn("_stage", F.when(F.col("_top"), 0).otherwise(1))
+        .drop("_facts", "_top")
+        .orderBy("_stage", "_key", ID)
+        .limit(n_samples)
     )
     order = Window.orderBy("_stage", "_key", ID)
     return (

@@ -18,17 +18,17 @@ from stratalens.sources.reports import scale_counts, scan_reports
 from stratalens.sources.results import load_results, save_results
 from stratalens.sources.schema import RUN_KEYS
 
-SWEEP_KEYS = ("scenario", "prep_coverage", "run_num")
-METHOD_KEYS = ("scenario", "prep_coverage", "prep_method", "run_num")
+SWEEP_KEYS = ("scenario", "prep_coverage", "run_num", "replicate")
+METHOD_KEYS = ("scenario", "prep_coverage", "prep_method", "run_num", "replicate")
 
 
 def load_reports(
     spark: SparkSession, path: str, binning: str, scale_factor: float,
     pop_adjust: float | None = None, last_scaled: str | None = None, label_risk: bool = False,
-    scenario_depth: int = 3,
+    scenario_depth: int = 3, name_depth: int = 1,
 ) -> tuple[DataFrame, list[str]]:
     """Standardised, scaled rows of all runs below ``path`` and their count columns."""
-    raw = scan_reports(spark, path, scenario_depth=scenario_depth)
+    raw = scan_reports(spark, path, scenario_depth=scenario_depth, name_depth=name_depth)
     counts = [c for c in raw.columns[raw.columns.index("population"):] if c not in RUN_KEYS]
     scaled = scale_counts(raw, "population", last_scaled, scale_factor, pop_adjust)
     return standardize_report(scaled, binning, label_risk), counts

@@ -11,27 +11,24 @@ from stratalens.operators.measures import MeasureSpec, evaluate_all
 from stratalens.operators.persontime import add_person_years
 from stratalens.operators.standardize import finest_strata
 from stratalens.operators.summary import summarise_runs
-from stratalens.sources.schema import DIMENSIONS, RUN_KEYS
+from stratalens.sources.schema import DIMENSIONS, run_keys_of
 
 STRATA = ("year", "county", "gender", "age_lower", "age_upper", "hiv", "circ", "risk")
 
 
 def in_survey_ages(df: DataFrame, observed: DataFrame) -> DataFrame:
-    """Rows whose lower age bound also occurs in the survey.
-
-    Ages are whole years, so there are little more than a hundred distinct ones
-    whatever the size of either side: they are sent to the rows, which stay put.
-    """
-    known = observed.select(F.col("age_lower").cast("int")).where("age_lower BETWEEN 0 AND 150")
-    return df.join(F.broadcast(known.distinct()), "age_lower", "left_semi")
+    """Rows whose lower age bound also occurs in the survey."""
+    known = observed.select(F.col("age_lower").cast("int")).distinct()
+    return df.join(known, "age_lower", "left_semi")
 
 
 def measure_suite(
     df: DataFrame, specs: Sequence[MeasureSpec], counts: Sequence[str],
-    run_keys: Sequence[str] = RUN_KEYS, strata: Sequence[str] = STRATA,
+    run_keys: Sequence[str] | None = None, strata: Sequence[str] = STRATA,
 ) -> DataFrame:
     """All outputs of a report, by run: rows are summed once to the strata that the
     outputs mention, then every output is taken from those in one more aggregation."""
+    run_keys = run_keys_of(df, run_keys)
     named = set().union(*[s.names() for s in specs])
     kept = [c for c in strata if c in df.columns and c in named]
     sums = [c for c in counts if c in named]
@@ -46,10 +43,11 @@ def summarise_suite(
 
 def incidence_suite(
     df: DataFrame, specs: Sequence[MeasureSpec], interval: float, method: str, anchor: str,
-    run_keys: Sequence[str] = RUN_KEYS, drop_missing: bool | None = None,
+    run_keys: Sequence[str] | None = None, drop_missing: bool | None = None,
     strata: Sequence[str] = ("node_id", "gender", "risk", "hiv", "age_lower"),
 ) -> DataFrame:
     """Person-time, then every incidence-type output in one aggregation."""
+    run_keys = run_keys_of(df, run_keys)
     timed = add_person_years(df, interval, method, anchor, strata, run_keys, drop_missing)
     return evaluate_all(timed, specs, run_keys)
 

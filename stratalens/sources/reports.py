@@ -9,19 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from stratalens.sources.schema import canonical_name, report_field
+from stratalens.sources.schema import RUN_KEYS, canonical_name, report_field
 
 
 class MissingSourceError(FileNotFoundError):
     """A required input has no files."""
 
 
-def run_number(file_name: Column) -> Column:
-    """Digits of the second ``_`` token of a file name, NULL where there are none."""
-    token = F.get(F.split(file_name, "_"), F.lit(1))
+def _token_number(name: Column, which: int) -> Column:
+    token = F.get(F.split(F.regexp_replace(name, r"\.csv$", ""), "_"), F.lit(which))
     return F.regexp_replace(token, "[^0-9]", "").try_cast("int")
 
 
+def run_number(name: Column) -> Column:
+    """Digits of the second ``_`` token of a file name, NULL where there are none."""
+    return _token_number(name, 1)
+
+
+def replicate_of(name: Column) -> Column:
+    """What tells files of one run number apart: the digits of the third token, or the
+    whole name where it has no run number or no such digits."""
+    number = F.when(run_number(name).isNotNull(), _token_number(name, 2).cast("string"))
+    return F.coalesce(number, name)
+
+
+def name_in(path: Column, depth: int) -> Column:
+    """The part of a path at ``depth`` from the right, without a ``key=`` in front."""
+    return F.regexp_replace(scenario_of(path, depth), "^[^=]*=", "")
+
+
 def scenario_of(path: Column, depth: int = 2) -> Column:
     """Name of the directory ``depth`` levels from the right of a file path."""
     plus_kept = F.replace(path, F.lit("+"), F.lit("%2B"))
@@ -50,11 +66,13 @@ def scan_reports(
     schema: T.StructType | None = None,
     scenario_depth: int = 2,
     required: bool = True,
+    name_depth: int = 1,
 ) -> DataFrame:
-    """All report files under ``path`` with canonical names, ``scenario`` and ``run_num``.
+    """All report files under ``path`` with canonical names, ``scenario``, ``run_num`` and ``replicate``.
 
     The header of every file is checked against the schema. An optional source
-    that has no files gives an empty frame; a required one fails.
+    that has no files gives an empty frame; a required one fails. ``name_depth`` says
+    which part of the path, from the right, names the run: 1 is the file, 2 its directory.
     """
     try:
         if schema is None:
@@ -72,18 +90,24 @@ def scan_reports(
             raise
         if required:
             raise MissingSourceError(str(path)) from err
-        keys = [T.StructField("scenario", T.StringType()), T.StructField("run_num", T.IntegerType())]
+        keys = [
+            T.StructField("scenario", T.StringType()), T.StructField("run_num", T.IntegerType()),
+            T.StructField("replicate", T.StringType()),
+        ]
         empty = T.StructType([*(schema.fields if schema else ()), *keys])
         return rename_canonical(spark.createDataFrame([], empty))
-    return tag_runs(raw, scenario_depth)
+    return tag_runs(raw, scenario_depth, name_depth)
 
 
-def tag_runs(raw: DataFrame, scenario_depth: int = 2) -> DataFrame:
+def tag_runs(raw: DataFrame, scenario_depth: int = 2, name_depth: int = 1) -> DataFrame:
     """Canonical columns of a file-backed frame plus the run keys from its paths."""
+    path = F.col("_metadata.file_path")
+    name = name_in(path, name_depth)
     tagged = raw.select(
         "*",
-        scenario_of(F.col("_metadata.file_path"), scenario_depth).alias("scenario"),
-        run_number(F.col("_metadata.file_name")).alias("run_num"),
+        name_in(path, scenario_depth).alias("scenario"),
+        run_number(name).alias("run_num"),
+        replicate_of(name).alias("replicate"),
     )
     return blank_nan(rename_canonical(tagged))
 
@@ -94,7 +118,7 @@ def scale_counts(
     last: str | None = None,
     scale_factor: float = 1.0,
     pop_adjust: float | None = None,
-    keep: Iterable[str] = ("scenario", "run_num"),
+    keep: Iterable[str] = RUN_KEYS,
 ) -> DataFrame:
     """Counts of a closed column range brought to full population size.
 

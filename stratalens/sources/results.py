@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors can reach.
 
-    Where the session names none (tests on one machine) a temporary folder is set.
+    Where the session names none, a session on one machine gets a temporary folder; a cluster fails.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = tempfile.mkdtemp(prefix="stratalens-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()

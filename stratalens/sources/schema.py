@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Column types of the native inputs, keyed by canonical name.
@@ -114,13 +116,13 @@ MEASURE_COLUMNS = (
 )
 DIMENSIONS = tuple(name for name, _ in MEASURE_COLUMNS if name != "value")
 
-# A run is one report file; its scenario and number lead every group and window.
-RUN_KEYS = ("scenario", "run_num")
+# A run is one report file; its scenario, number and replicate lead every group and window.
+RUN_KEYS = ("scenario", "run_num", "replicate")
 
 
-def clean_header(name: str) -> str:
-    """Native header with blanks as ``_`` and parentheses removed."""
-    return name.strip().replace(" ", "_").replace("(", "").replace(")", "")
+def run_keys_of(df: DataFrame, wanted: Sequence[str] | None = None) -> list[str]:
+    """The keys asked for, by default those of ``RUN_KEYS`` that the frame has."""
+    return list(wanted) if wanted is not None else [k for k in RUN_KEYS if k in df.columns]
 
 
 def canonical_name(name: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalens.functions.recode import list_or_null
-from stratalens.sources.reports import rename_canonical
+from stratalens.sources.reports import blank_nan, rename_canonical
 from stratalens.sources.schema import OBSERVED_TYPES, SCENARIO_SCHEMA
 
 
@@ -24,7 +24,7 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 def _typed_csv(spark: SparkSession, path: str, types: dict, default=T.DoubleType()) -> DataFrame:
     schema = T.StructType([T.StructField(c, types.get(c, default)) for c in _header(spark, path)])
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    return reader.csv(path)
+    return blank_nan(reader.csv(path))
 
 
 def read_observed(spark: SparkSession, path: str) -> DataFrame:

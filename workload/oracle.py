@@ -184,6 +184,11 @@ ORACLE["scan_reports"] = with_(
     """SELECT 'PrEP-' || prep_coverage AS scenario, run_num, COUNT(*) AS n_rows, COUNT(DISTINCT node_id) AS n_nodes,
  SUM(population) AS population, SUM(newly_infected) AS newly_infected, SUM(has_prep) AS has_prep
 FROM report GROUP BY 1, 2""", REPORT)
+_REPLICATES = """SELECT 'PrEP-' || prep_coverage AS scenario, run_num, circ % 2 + 1 AS replicate, year, SUM(population) AS value
+FROM report GROUP BY ALL"""
+ORACLE["run_replicates"] = with_(
+    f"""SELECT scenario, year, mean, round(median, 6) AS median, round(lower, 6) AS lower, round(upper, 6) AS upper
+FROM ({summary(_REPLICATES, "scenario, year")})""", REPORT)
 ORACLE["normalize_headers"] = with_(
     "SELECT node_id, risk, 2 * SUM(newly_infected) AS newly_infected, 2 * SUM(has_prep) AS has_prep FROM report GROUP BY 1, 2", REPORT)
 ORACLE["run_id_from_name"] = """
@@ -364,7 +369,7 @@ def contrast(src, keys, value, by):
     return summary(changed, shown, False)
 
 
-_RR = "value / NULLIF(value_base, 0)"
+_RR = "CASE WHEN value_base = 0 AND value > 0 THEN 'inf'::DOUBLE ELSE value / NULLIF(value_base, 0) END"
 _SAVED = "-(value - value_base)"
 _RDIMS = "gender, age_lower, age_upper, county, measure"
 ORACLE["relative_risk"] = with_(
@@ -470,7 +475,8 @@ ORACLE["channel_completeness"] = with_(
         _EMPTY.format(cells("x", G_ART, "ch", ["on_art"], join="LEFT JOIN")),
         _EMPTY.format(cells("x", grid("PrevDiscordMalePositive", None, "each"), "ch", _MAR, "hiv = 1", join="LEFT JOIN")),
     ]), REPORT, CH)
-ORACLE["channel_unsupported"] = with_("SELECT DISTINCT prep_coverage, 'Fertility' AS channel FROM report", REPORT)
+ORACLE["channel_unsupported"] = with_(
+    "SELECT DISTINCT prep_coverage, 'Fertility_' || node_id AS channel FROM report WHERE node_id % 3 = 2", REPORT)
 ORACLE["incidence_annualized"] = with_(
     result(
         "Incidence",
@@ -640,14 +646,14 @@ FULL JOIN (SELECT {COUNTY.format(c="CAST(county[8:] AS INT)")} AS county, gender
 FIT = f"""pg AS ({_CAL['prev_gender']}),
 pts0 AS (SELECT year, gender, county, age_lower, age_upper, value FROM pg WHERE run_num = 0 AND scenario = 'PrEP-60' AND year = floor(year)),
 pts AS (SELECT * FROM pts0 UNION ALL SELECT * REPLACE (year + 100 AS year) FROM pts0 WHERE year = 2000),
-model AS (SELECT * FROM pg WHERE scenario = 'PrEP-0'),
-sse AS (SELECT m.run_num, CASE WHEN COUNT(m.value - p.value) = COUNT(*) THEN SUM(pow(m.value - p.value, 2)) END AS sse
+model AS (SELECT * FROM pg),
+sse AS (SELECT m.scenario, m.run_num, CASE WHEN COUNT(m.value - p.value) = COUNT(*) THEN SUM(pow(m.value - p.value, 2)) END AS sse
  FROM pts p LEFT JOIN model m ON round(m.year, 3) = round(p.year, 3) AND m.gender = p.gender AND m.county = p.county
- AND m.age_lower = p.age_lower AND m.age_upper = p.age_upper GROUP BY 1)"""
-ORACLE["fit_sse"] = with_("SELECT run_num, round(sse, 9) AS sse FROM sse", REPORT, STD, FIT)
-_BEST = "SELECT run_num FROM (SELECT run_num, rank() OVER (ORDER BY sse) AS r FROM sse WHERE sse IS NOT NULL) WHERE r <= {}"
+ AND m.age_lower = p.age_lower AND m.age_upper = p.age_upper GROUP BY 1, 2)"""
+ORACLE["fit_sse"] = with_("SELECT scenario, run_num, round(sse, 9) AS sse FROM sse", REPORT, STD, FIT)
+_BEST = "SELECT scenario, run_num FROM (SELECT scenario, run_num, rank() OVER (ORDER BY sse) AS r FROM sse WHERE sse IS NOT NULL) WHERE r <= {}"
 ORACLE["best_runs"] = with_(
-    f"SELECT * FROM model WHERE run_num IN ({_BEST.format(3)}) AND year <= 2000", REPORT, STD, FIT)
+    f"SELECT * FROM model WHERE (scenario, run_num) IN ({_BEST.format(3)}) AND year <= 2000", REPORT, STD, FIT)
 
 # --- events ------------------------------------------------------------------
 
@@ -668,11 +674,12 @@ SELECT COUNT(*) AS n, COUNT(DISTINCT user_id) AS n_unique FROM (SELECT DISTINCT
 
 # --- parameter sets ----------------------------------------------------------
 
-PARAMS = """params AS (SELECT vec_id AS parameterization_id, CASE WHEN label % 2 = 0 THEN 'AB' ELSE 'KP' END AS source,
- CAST(embedding[1] AS DOUBLE) AS p0, CAST(embedding[2] AS DOUBLE) AS p1, CAST(embedding[3] AS DOUBLE) AS p2,
- CAST(embedding[4] AS DOUBLE) AS p3, CAST(abs(embedding[1]) AS DOUBLE) AS likelihood FROM embeddings)"""
-LONG = """long AS (SELECT parameterization_id, source, parameter, value FROM (
- SELECT parameterization_id, source, unnest(['p0', 'p1', 'p2', 'p3']) AS parameter, unnest([p0, p1, p2, p3]) AS value FROM params))"""
+P = [f"p{i}" for i in range(64)]
+PARAMS = f"""params AS (SELECT vec_id AS parameterization_id, CASE WHEN label % 2 = 0 THEN 'AB' ELSE 'KP' END AS source,
+ {", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {p}" for i, p in enumerate(P))},
+ CAST(abs(embedding[1]) AS DOUBLE) AS likelihood FROM embeddings)"""
+LONG = f"""long AS (SELECT parameterization_id, source, parameter, value FROM (
+ SELECT parameterization_id, source, unnest({P}) AS parameter, unnest([{", ".join(P)}]) AS value FROM params))"""
 ORACLE["param_unpivot"] = with_("SELECT * FROM long", PARAMS, LONG)
 _IN = "value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)"
 ORACLE["param_boxplot"] = with_(
@@ -716,16 +723,14 @@ ORACLE["param_unmapped"] = with_(
 ORACLE["param_seed"] = with_(
     "SELECT parameterization_id, CAST(('0x' || md5('7:' || parameterization_id)[1:4]) AS INT) AS run_seed FROM params", PARAMS)
 ORACLE["config_override"] = with_(
-    """SELECT parameterization_id, key, COALESCE(o.value, b.value) AS value FROM
- (SELECT parameterization_id, key, base.value FROM (SELECT DISTINCT parameterization_id FROM ov), base) b
- FULL JOIN ov o USING (parameterization_id, key)""", PARAMS, LONG,
-    """base AS (SELECT parameter AS key, MAX(value) AS value FROM long GROUP BY 1),
-ov AS (SELECT parameterization_id, parameter AS key, value FROM long WHERE value > 0 AND parameter <> 'p3'
- UNION ALL SELECT parameterization_id, 'added', value FROM long WHERE parameter = 'p0' AND value < 0)""")
+    """SELECT parameterization_id, parameter AS key, CASE WHEN parameterization_id % 5 = 0 OR parameter = 'p3' THEN '"base"'
+ WHEN value > 0.5 THEN CAST(CAST(round(value, 6) AS DECIMAL(18,6)) AS VARCHAR) WHEN value > 0 THEN '["a","b"]'
+ WHEN value < -0.5 THEN '"text"' END AS value FROM long
+UNION ALL SELECT parameterization_id, 'added', '[1,2]' FROM params WHERE parameterization_id % 7 = 0""", PARAMS, LONG)
 ORACLE["select_params"] = with_(
-    f"""SELECT CAST(250 + row_number() OVER (ORDER BY parameterization_id) AS BIGINT) AS parameterization_id, p0, p1, p2, p3
-FROM params WHERE parameterization_id IN ({_BEST.format(5)})
-UNION ALL SELECT parameterization_id + 1000, p0, p1, p2, p3 FROM params WHERE parameterization_id >= 8""", REPORT, STD, FIT, PARAMS)
+    f"""SELECT CAST(250 + row_number() OVER (ORDER BY parameterization_id) AS BIGINT) AS parameterization_id, {", ".join(P)}
+FROM params WHERE parameterization_id IN (SELECT run_num FROM ({_BEST.format(5)}))
+UNION ALL SELECT parameterization_id + 1000, {", ".join(P)} FROM params WHERE parameterization_id >= 8""", REPORT, STD, FIT, PARAMS)
 ORACLE["top_likelihood"] = with_("SELECT * FROM params ORDER BY likelihood DESC, parameterization_id LIMIT 100", PARAMS)
 ORACLE["roulette_sample"] = with_(
     """SELECT CAST(row_number() OVER (ORDER BY stage, k, source_id) - 1 AS INT) AS parameterization_id, source_id,
@@ -742,7 +747,7 @@ SCEN = """scen AS (SELECT 'PrEP-' || k * 10 AS "Scenario", CASE WHEN k % 5 = 4 T
 FROM (SELECT DISTINCT c_nationkey AS k FROM customer))"""
 ORACLE["scenario_table"] = with_("SELECT * FROM scen", SCEN)
 ORACLE["scenario_expand"] = with_(
-    """SELECT parameterization_id, p0, parameterization_id % 5 AS run_number, template_set, campaign_file,
+    f"""SELECT parameterization_id, {", ".join(p for p in P if p != "p1")}, parameterization_id % 5 AS run_number, template_set, campaign_file,
  template_set || '-' || COALESCE(replace("Campaign", '.json', ''), 'Default_Campaign') || '-' || "Scenario" AS scenario,
  CAST(s.p1 AS DOUBLE) AS p1,
  template_set || '-' || COALESCE(replace("Campaign", '.json', ''), 'Default_Campaign') || '-' || "Scenario" AS config_name

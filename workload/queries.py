@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 SWEEP_KEYS = ("scenario", "prep_coverage", "run_num")
+_RUN = ("run_num", "replicate")
 SUMMARY_KEYS = ["scenario", *schema.DIMENSIONS]
 STRATUM = ("node_id", "county", "gender", "risk", "hiv", "age_lower", "age_upper")
 
@@ -49,43 +50,35 @@ def bands(df: DataFrame) -> DataFrame:
 # --- sources -----------------------------------------------------------------
 
 
-def _native_reports(spark: SparkSession, sf: str) -> tuple[str, object]:
+def _native_reports(spark: SparkSession, sf: str, replicates: int = 1) -> tuple[str, object]:
     """The report view as native CSV files, one directory per scenario and run."""
     rows = views.report(spark, sf)
     folder = results.shared_folder(spark, "reports")
+    replicate = F.lit(1) if replicates == 1 else F.col("circ") % replicates + 1
     native = rows.select(
         F.concat(F.lit("PrEP-"), "prep_coverage").alias("s"),
-        F.format_string("ReportHIVByAgeAndGender_TPI%04d_REP0001", "run_num").alias("r"),
+        F.format_string("ReportHIVByAgeAndGender_TPI%04d_REP%04d", "run_num", replicate).alias("r"),
         *[F.col(c).alias(n) for c, n in schema.NATIVE_HEADERS.items()],
     )
-    native.write.partitionBy("s", "r").option("header", True).csv(folder)
+    native.hint("rebalance", "s", "r").write.partitionBy("s", "r").option("header", True).csv(folder)
     return folder, native.drop("s", "r").schema
 
 
-def _scan_native(spark: SparkSession, sf: str) -> DataFrame:
-    folder, native = _native_reports(spark, sf)
-    raw = (
-        spark.read.schema(native).option("header", True).option("enforceSchema", False)
-        .option("recursiveFileLookup", True).csv(folder)
-    )
-    return _tag_native(raw)
-
-
-def _tag_native(raw: DataFrame) -> DataFrame:
-    """Run keys from the partition directories the file writer makes."""
-    path = F.col("_metadata.file_path")
-    return reports.rename_canonical(
-        raw.select(
-            "*",
-            F.regexp_replace(reports.scenario_of(path, 3), "^s=", "").alias("scenario"),
-            reports.run_number(F.regexp_replace(reports.scenario_of(path, 2), "^r=", "")).alias("run_num"),
-        )
-    )
+def _scanned(spark: SparkSession, sf: str, replicates: int = 1) -> DataFrame:
+    """The files read back by the report scan; a run is named by its directory."""
+    folder, native = _native_reports(spark, sf, replicates)
+    return reports.scan_reports(spark, folder, native, scenario_depth=3, name_depth=2)
 
 
 @query("scan_reports")
 def scan_reports(spark, sf):
-    return _scan_native(spark, sf).groupBy("scenario", "run_num").agg(
+    rows = _scanned(spark, sf)
+    # An optional report that was not written adds nothing; a required one would fail.
+    nothing = reports.scan_reports(
+        spark, f"{results.shared_folder(spark, 'absent')}/none", required=False
+    )
+    rows = rows.unionByName(nothing, allowMissingColumns=True)
+    return rows.groupBy("scenario", "run_num").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("node_id").alias("n_nodes"),
         F.sum("population").alias("population"),
@@ -94,6 +87,13 @@ def scan_reports(spark, sf):
     )
 
 
+@query("run_replicates")
+def run_replicates(spark, sf):
+    """Two files of one run number stay two runs, down to the summary over runs."""
+    counts = _scanned(spark, sf, 2).groupBy("scenario", *_RUN, "year").agg(F.sum("population").alias("value"))
+    return rounded(summarise_runs(counts, ["scenario", "year"]), "mean", "median", "lower", "upper")
+
+
 @query("normalize_headers")
 def normalize_headers(spark, sf):
     native = views.report(spark, sf, grouped=False).select(
@@ -270,7 +270,7 @@ def _survey_ages(name: str) -> None:
     @query(name)
     def run(spark, sf):
         spec = next(s for s in catalog.population() if s.output == name)
-        known = _observed_detail(spark, sf).where("age_lower >= 16")
+        known = _observed_detail(spark, sf).where("age_lower >= 16")  # the survey asks no children
         return evaluate(calibration.in_survey_ages(views.standard(spark, sf), known), spec)
 
 
@@ -491,26 +491,26 @@ def target_year(spark, sf):
 @query("relative_risk")
 def relative_risk(spark, sf):
     rows = _sweep(spark, sf, "inc_echo").where("year >= 1996")
-    return bands(contrast.relative_risk(rows, strict=False, runs_bound=RUNS))
+    return bands(contrast.relative_risk(rows, runs_bound=RUNS))
 
 
 @query("relative_risk_period")
 def relative_risk_period(spark, sf):
     rows = _sweep(spark, sf, "inc_echo_1997_2000")
-    return bands(contrast.relative_risk(rows, ("period", *contrast.DIMS), (), strict=False, runs_bound=RUNS))
+    return bands(contrast.relative_risk(rows, ("period", *contrast.DIMS), (), runs_bound=RUNS))
 
 
 @query("averted_by_year")
 def averted_by_year(spark, sf):
     rows = _sweep(spark, sf, "new_inf", "new_inf_echo")
-    found = contrast.averted_by_year(rows, ("output",), strict=False, runs_bound=RUNS)
+    found = contrast.averted_by_year(rows, ("output",), runs_bound=RUNS)
     return bands(found.where("year >= 1996"))
 
 
 @query("averted_total")
 def averted_total(spark, sf):
     rows = _sweep(spark, sf, "new_inf", "new_inf_echo")
-    return bands(contrast.averted_total(rows, 1997, 2000, ("output",), strict=False, runs_bound=RUNS))
+    return bands(contrast.averted_total(rows, 1997, 2000, ("output",), runs_bound=RUNS))
 
 
 @query("coverage_check")
@@ -570,7 +570,7 @@ def channel_grid(spark, sf):
 def _channel_query(key: str, *names: str) -> None:
     @query(key)
     def run(spark, sf):
-        return channels.channel_results(_channel_rows(spark, sf), _specs(*names), CHANNEL_CONFIG)
+        return channels.channel_results(_channel_rows(spark, sf), _specs(*names), CHANNEL_CONFIG, strict=False)
 
 
 _channel_query("channel_prevalence", "Prevalence")
@@ -590,7 +590,7 @@ def channel_completeness(spark, sf):
     wanted = _specs("Population", "OnART", "PrevDiscordMalePositive")
     found = channels.empty_cells(rows, wanted, CHANNEL_CONFIG)
     # A channel without its columns gives no rows.
-    blank = channels.channel_results(rows.drop("on_art"), _specs("OnART"), CHANNEL_CONFIG)
+    blank = channels.channel_results(rows.drop("on_art"), _specs("OnART"), CHANNEL_CONFIG, strict=False)
     return found.withColumn("skipped", F.lit("none")).unionByName(
         blank.select("scenario", "run_num", F.lit("OnART").alias("skipped")), allowMissingColumns=True
     )
@@ -598,11 +598,12 @@ def channel_completeness(spark, sf):
 
 @query("channel_unsupported")
 def channel_unsupported(spark, sf):
-    """Channels asked for by the data's own scenarios that have no definition."""
-    per_scenario = views.report(spark, sf, grouped=False).select("prep_coverage").distinct()
-    asked = per_scenario.select(
-        "prep_coverage", F.explode(F.map_keys(channels.channel_cells(CHANNEL_CONFIG))).alias("channel")
+    """Channels asked for by the data's own scenarios and places that have no definition."""
+    place = F.col("node_id")
+    name = F.when(place % 3 == 0, F.lit("Population")).when(place % 3 == 1, F.lit("OnART")).otherwise(
+        F.concat(F.lit("Fertility_"), place)
     )
+    asked = views.report(spark, sf, grouped=False).select("prep_coverage", name.alias("channel")).distinct()
     missing = channels.unsupported_channels(asked)
     return asked.join(missing, "channel", "left_semi")
 
@@ -614,14 +615,14 @@ def incidence_annualized(spark, sf):
     specs = _specs("Incidence")
     grid = channels.channel_grid(rows, specs, CHANNEL_CONFIG)
     yearly = channels.annualise_infections(rows)
-    return channels.channel_results(yearly, specs, CHANNEL_CONFIG, grid=grid).drop("channel")
+    return channels.channel_results(yearly, specs, CHANNEL_CONFIG, grid=grid, strict=False).drop("channel")
 
 
 @query("external_infection_rate")
 def external_infection_rate(spark, sf):
     rows = views.relationships(spark, sf)
     specs = _specs("ExternalStableDiscordantConversionRate")
-    grid = channels.channel_grid(rows, specs, CHANNEL_CONFIG)
+    grid = channels.channel_grid(rows, specs, CHANNEL_CONFIG, nodes=_channel_rows(spark, sf))
     sources = channels.infection_sources(rows)
     return channels.channel_results(sources, specs, CHANNEL_CONFIG, grid=grid).drop("channel")
 
@@ -705,7 +706,7 @@ def gender_split_coverage(spark, sf):
 
 def _surveys(spark, sf) -> dict[str, DataFrame]:
     """Survey tables for the overlays, with province and both-sex rows."""
-    rows = results.stored(views.observed(spark, sf), "survey")
+    rows = views.observed(spark, sf)
     counties = _observed_detail(spark, sf, rows)
     population = survey.add_marginals(counties, 1999)
     share = _observed_share(spark, sf, rows=rows)
@@ -755,11 +756,11 @@ def validation_check(spark, sf):
 
 
 def _fit_inputs(spark, sf):
-    """Province prevalence of run 0 as survey, all runs as model."""
-    rows = results.stored(_measure(spark, sf, "prev_gender"), "by-run")
+    """Province prevalence of one run as survey, all runs of all scenarios as model."""
+    rows = _measure(spark, sf, "prev_gender")
     points = rows.where("run_num = 0 AND scenario = 'PrEP-60' AND year = floor(year)").select(*fit.JOIN_KEYS, "value")
     late = points.where("year = 2000").withColumn("year", F.col("year") + 100)
-    return points.unionByName(late), rows.where("scenario = 'PrEP-0'")
+    return points.unionByName(late), rows
 
 
 @query("fit_sse")
@@ -884,9 +885,17 @@ def param_seed(spark, sf):
 def config_override(spark, sf):
     long = _measure(spark, sf, "param_unpivot").select(sets.ID, F.col("parameter").alias("key"), "value")
     base = long.groupBy("key").agg(F.max("value").alias("value"))
-    changed = long.where("value > 0 AND key <> 'p3'")
-    extra = long.where("key = 'p0' AND value < 0").withColumn("key", F.lit("added"))
-    return sets.override_config(base, changed.unionByName(extra))
+    number = F.round("value", 6).cast("decimal(18,6)").cast("string")
+    text = F.when(F.col("value") > 0.5, number).when(F.col("value") > 0, F.lit('["a","b"]')).when(
+        F.col("value") < -0.5, F.lit('"text"')
+    )
+    base = base.select("key", F.lit('"base"').alias("value"))
+    # Some sets override nothing, some replace a value by null, some add a key.
+    changed = long.where("parameterization_id % 5 <> 0 AND key <> 'p3'").withColumn("value", text)
+    extra = long.where("key = 'p0' AND parameterization_id % 7 = 0").select(
+        sets.ID, F.lit("added").alias("key"), F.lit("[1,2]").alias("value")
+    )
+    return sets.override_config(base, changed.unionByName(extra), long)
 
 
 @query("select_params")
@@ -941,7 +950,7 @@ TEMPLATES = {
 def scenario_expand(spark, sf):
     rows = _scenario_rows(spark, sf).withColumn("p1", F.col("p1").cast("double"))
     resolved = manifest.resolve_campaigns(rows, TEMPLATES)
-    samples = views.params(spark, sf).select(sets.ID, "p0", "p1").withColumn("run_number", F.col(sets.ID) % 5)
+    samples = views.params(spark, sf).drop("source", "likelihood").withColumn("run_number", F.col(sets.ID) % 5)
     return manifest.expand_runs(samples, resolved, strict=False)
 
 

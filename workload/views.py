@@ -11,6 +11,8 @@ COUNTS = ("population", "infected", "newly_infected", "on_art", "has_prep")
 # The view makes run numbers as a remainder of 8 and coverages as one of 4.
 RUNS = 8
 INTERVAL = 0.25
+# Values of a parameter set, as many as an embedding has.
+N_PARAMS = 64
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -129,7 +131,7 @@ def event_log(spark: SparkSession, sf: str) -> DataFrame:
 def params(spark: SparkSession, sf: str) -> DataFrame:
     """One parameter set per embedding."""
     e = table(spark, sf, "embeddings")
-    item = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
+    item = [F.get("embedding", F.lit(i)).cast("double") for i in range(N_PARAMS)]
     return e.select(
         F.col("vec_id").alias("parameterization_id"),
         F.when(F.col("label") % 2 == 0, "AB").otherwise("KP").alias("source"),
