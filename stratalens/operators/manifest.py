@@ -12,10 +12,6 @@ from stratalens.functions.recode import file_stem
 DEFAULT_CAMPAIGN = "Default_Campaign"
 
 
-class CampaignError(ValueError):
-    """A scenario names no campaign, or one its template set does not have."""
-
-
 def resolve_campaigns(scenarios: DataFrame, templates: Mapping[str, Sequence[str]]) -> DataFrame:
     """Template set x scenario with the campaign each pair uses, and what is wrong with it.
 

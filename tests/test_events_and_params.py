@@ -107,6 +107,30 @@ def test_override(spark):
     assert got == {(7, "a"): 1.0, (7, "b"): 9.0, (7, "c"): 3.0, (8, "a"): 0.0, (8, "b"): 2.0}
 
 
+def test_overrides_of_any_type_and_sets_without(spark):
+    base = params.config_entries(spark.createDataFrame([('{"n": 1.5, "s": "x", "a": [1, "y"], "z": null}',)], "config string"))
+    assert {tuple(r) for r in base.collect()} == {("n", "1.5"), ("s", '"x"'), ("a", '[1,"y"]'), ("z", "null")}
+    own = spark.createDataFrame([(7, "n", None), (7, "s", '"w"')], "parameterization_id int, key string, value string")
+    ids = spark.createDataFrame([(7,), (8,)], "parameterization_id int")
+    got = {(r[0], r[1]): r[2] for r in params.override_config(base, own, ids).collect()}
+    assert got == {
+        (7, "n"): None, (7, "s"): '"w"', (7, "a"): '[1,"y"]', (7, "z"): "null",
+        (8, "n"): "1.5", (8, "s"): '"x"', (8, "a"): '[1,"y"]', (8, "z"): "null",
+    }
+
+
+def test_nan_is_not_fanned_out(spark):
+    df = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "parameterization_id int, `Risk Reduction Fraction` double")
+    got = params.map_to_inputs(df, {}).collect()
+    assert {r.parameterization_id for r in got} == {2} and len(got) == 6
+
+
+def test_events_without_a_time_are_no_events(spark):
+    df = spark.createDataFrame([(1, None, "go", 1), (1, 2.0, "go", 2), (1, 5.0, "stop", 3), (1, None, "stop", 4)], "p int, t double, name string, k int")
+    got = events.use_durations(df, "p", "t", "name", "go", "k").collect()
+    assert [(r.start, r.end, r.duration) for r in got] == [(2.0, 5.0, 3.0)]
+
+
 def test_overlay_documents(spark):
     text = '{"Nodes": [{"NodeID": 1, "NodeName": "Siaya", "IndividualProperties": [{"Property": "Risk", "Values": ["LOW", "HIGH"], "Initial_Distribution": [0.9, 0.1]}, {"Property": "Access", "Values": ["Yes"], "Initial_Distribution": [1]}]}]}'
     got = params.explode_overlay(spark.createDataFrame([(text,)], "overlay string"))
@@ -127,9 +151,19 @@ def test_roulette(sets):
     assert len({r.source_id for r in got}) == 9
     top = sorted((r.parameterization_id, r.likelihood) for r in got if r.selected_by == "top")
     assert [x for _, x in top] == [10.0, 9.0, 8.0]
-    least = {r.source_id for r in sampling.roulette_sample(sets, 12, seed=4, drop_last=True).collect()}
+    least = {r.source_id for r in sampling.roulette_sample(sets, 10, seed=4, drop_last=True).collect()}
     # Two sets have no likelihood: one is dropped as the last, the other cannot be drawn.
     assert len(least) == 10 and least.isdisjoint({0, 11})
+    with pytest.raises(PySparkException, match="fewer than 12"):
+        sampling.roulette_sample(sets, 12, seed=4, drop_last=True).collect()
+
+
+def test_a_short_draw_is_an_error(spark):
+    df = spark.createDataFrame([(i, 1.0 if i < 10 else 0.0) for i in range(30)], "parameterization_id bigint, likelihood double")
+    assert sampling.roulette_sample(df, 9).count() == 9
+    for wrong in (df, df.withColumn("likelihood", F.lit(0.0))):
+        with pytest.raises(PySparkException, match="fewer than 21"):
+            sampling.roulette_sample(wrong, 21).collect()
 
 
 def test_heavier_sets_are_drawn_more_often(spark):
@@ -143,6 +177,8 @@ def test_numbering_and_appending(spark):
     df = spark.createDataFrame([(i, float(i)) for i in ids], "parameterization_id bigint, p double")
     got = {r.parameterization_id: r.n for r in sampling.number_rows(df, "parameterization_id", "n", 251).collect()}
     assert got == {i: 251 + k for k, i in enumerate(sorted(ids))}
+    sparse = spark.range(3000).select((F.col("id") * 3_000_000_000_000).alias("i"))
+    assert sampling.number_rows(sparse, "i", "n").where("n <> i div 3000000000000").count() == 0
     runs = spark.createDataFrame([(3,), (70_000,), (None,)], "run_num int")
     old = spark.createDataFrame([(1, 0.5)], "parameterization_id bigint, q double")
     rows = sampling.append_selected(df, runs, old).collect()
@@ -153,8 +189,8 @@ def test_manifest(spark):
     table = spark.createDataFrame([("PrEP-0", "a.json"), ("PrEP-10", None), (None, "b.json")], SCENARIO_SCHEMA)
     samples = spark.createDataFrame([(1, 0.5), (2, 0.6)], "parameterization_id int, p double")
     resolved = manifest.resolve_campaigns(table, {"Base": ["a.json", "b.json"], "One": ["a.json"]})
-    with pytest.raises(manifest.CampaignError):
-        manifest.expand_runs(samples, resolved)
+    with pytest.raises(PySparkException, match="campaign"):
+        manifest.expand_runs(samples, resolved).collect()
     got = {(r.parameterization_id, r.scenario, r.campaign_file) for r in manifest.expand_runs(samples, resolved, strict=False).collect()}
     assert got == {
         (i, s, c) for i in (1, 2) for s, c in (

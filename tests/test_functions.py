@@ -21,9 +21,25 @@ def test_ratios_over_zero(spark):
 
 def test_sums_over_nothing_and_over_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,)], "v double")
-    row = df.agg(ratios.sum0(F.col("v")), ratios.sum_strict(F.col("v"))).first()
-    assert tuple(row) == (1.0, None)
-    assert df.where("v > 5").agg(ratios.sum0(F.col("v"))).first()[0] == 0.0
+    assert df.agg(ratios.sum_strict(F.col("v"))).first()[0] is None
+    assert df.where("v > 0").agg(ratios.sum_strict(F.col("v"))).first()[0] == 1.0
+
+
+def test_a_number_over_zero_is_infinite_only_where_asked(spark):
+    df = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (1.0, 2.0)], "a double, b double")
+    got = values(df.select(ratios.ratio_or_infinity(F.col("a"), F.col("b")), ratios.ratio(F.col("a"), F.col("b"))))
+    assert got == [(float("inf"), None), (None, None), (0.5, 0.5)]
+
+
+def test_list_texts(spark):
+    df = spark.createDataFrame([('["a","b"]',), ("[[1,2],[3,4]]",), ("5",), ("plain \\ \"text\"",)], "t string")
+    assert values(df.limit(1).select(recode.list_or_null(F.col("t"), "string"))) == [(["a", "b"],)]
+    nested = df.where("t LIKE '[[%'").select(recode.list_or_null(F.col("t"), "array<int>"))
+    assert values(nested) == [([[1, 2], [3, 4]],)]
+    shown = values(df.select(F.to_json(recode.list_or_scalar(F.col("t")))))
+    assert shown == [('["a","b"]',), ("[[1,2],[3,4]]",), ("5",), ('"plain \\\\ \\"text\\""',)]
+    with pytest.raises(Exception):
+        df.limit(1).select(recode.list_or_null(F.lit("[1,"), "int")).collect()
 
 
 def test_calendar_years_differ_at_whole_years(spark):

@@ -27,7 +27,7 @@ def test_scan_tags_rows_by_file_and_directory(spark, suite):
     df = reports.scan_reports(spark, str(suite / "*" / "*"), scenario_depth=3)
     assert df.columns == [
         "year", "node_id", "gender_code", "age_lower", "hiv", "risk", "population", "newly_infected",
-        "has_prep", "newly_tested_negative", "scenario", "run_num",
+        "has_prep", "newly_tested_negative", "scenario", "run_num", "replicate",
     ]
     found = {(r.scenario, r.run_num): r.p for r in df.groupBy("scenario", "run_num").agg(F.max("population").alias("p")).collect()}
     assert found == {(s, r): float(r) for s in ("PrEP-0", "PrEP-30+x") for r in (7, 251)}
@@ -48,7 +48,6 @@ def test_scan_checks_headers_and_presence(spark, suite, tmp_path):
 
 
 def test_headers():
-    assert schema.clean_header(" HasIntervention(PrEP) ") == "HasInterventionPrEP"
     spellings = ("HasIntervention(PrEP)", "HasIntervention.PrEP.", "HasInterventionPrEP")
     assert {schema.canonical_name(s) for s in spellings} == {"has_prep"}
     assert schema.canonical_name("NodeID") == schema.canonical_name("Node_ID") == "node_id"
@@ -115,3 +114,18 @@ def test_only_new_files_are_ingested(spark, suite, tmp_path):
     stored = ingest()
     assert stored.count() == 9
     assert {r.run_num for r in stored.where("scenario = 'PrEP-90'").collect()} == {3}
+
+
+def test_replicates_are_runs_of_their_own(spark, tmp_path):
+    folder = tmp_path / "S" / "Report"
+    folder.mkdir(parents=True)
+    for name, pop in (("R_TPI0001_REP0001", 100), ("R_TPI0001_REP0002", 300), ("Other", 7), ("Another", 8)):
+        (folder / f"{name}.csv").write_text(f"Year,NodeId,Population\n2000,1,{pop}\n")
+    rows = reports.scan_reports(spark, str(folder))
+    found = {(r.run_num, r.replicate): r.p for r in rows.groupBy(*schema.run_keys_of(rows)).agg(F.sum("population").alias("p")).collect()}
+    assert found == {(1, "1"): 100.0, (1, "2"): 300.0, (None, "Other.csv"): 7.0, (None, "Another.csv"): 8.0}
+
+
+def test_nan_in_parameter_sets_is_missing(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("parameterization_id,a\n1,NaN\n2,0.5\n")
+    assert {r.parameterization_id: r.a for r in tables.read_parameter_sets(spark, str(tmp_path / "p.csv")).collect()} == {1: None, 2: 0.5}

@@ -97,3 +97,12 @@ def test_baseline_must_be_unique(spark, extra):
 def test_coverage_reached(spark):
     df = spark.createDataFrame([(2025.0, 0.5), (2026.0, 0.7)], "year double, median double")
     assert [r.percent for r in contrast.coverage_reached(df, 2025).collect()] == [50.0]
+
+
+def test_a_group_larger_than_stated_fails(spark):
+    from stratalens.operators.quantiles import exact_quantiles
+
+    df = spark.range(20).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    assert exact_quantiles(df, ["k"], "v", (0.5,), ("m",), group_bound=20).first().m == 9.5
+    with pytest.raises(Exception, match="more than 19"):
+        exact_quantiles(df, ["k"], "v", (0.5,), ("m",), group_bound=19).collect()

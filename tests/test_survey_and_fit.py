@@ -123,3 +123,22 @@ def test_overlay_names_are_unique():
 def test_age_order(spark):
     df = spark.createDataFrame([(10, 15), (0, 1), (1, 5), (10, 15)], "age_lower int, age_upper int")
     assert {(r.age, r.age_order) for r in overlay.age_order(df).collect()} == {("0-1", 1), ("1-4", 2), ("10-14", 3)}
+
+
+def test_all_survey_ages_count(spark):
+    from stratalens.plans.calibration import in_survey_ages
+
+    rows = spark.createDataFrame([(160,), (15,), (20,)], "age_lower int")
+    known = spark.createDataFrame([(160,), (15,)], "age_lower int")
+    assert {r.age_lower for r in in_survey_ages(rows, known).collect()} == {160, 15}
+
+
+def test_equal_numbers_of_two_scenarios_are_two_runs(spark):
+    points = spark.createDataFrame([(2000.0, "Men", "A", 15, 50, 1.0)], "year double, gender string, county string, age_lower int, age_upper int, value double")
+    model = spark.createDataFrame(
+        [("a", 1, 2000.0, "Men", "A", 15, 50, 2.0), ("b", 1, 2000.0, "Men", "A", 15, 50, 4.0)],
+        "scenario string, run_num int, year double, gender string, county string, age_lower int, age_upper int, value double",
+    )
+    errors = fit.squared_error(points, model)
+    assert {(r.scenario, r.run_num): r.sse for r in errors.collect()} == {("a", 1): 1.0, ("b", 1): 9.0}
+    assert [r.scenario for r in fit.keep_runs(model, fit.best_runs(points, model, 1)).collect()] == ["a"]
