@@ -9,6 +9,7 @@ meet in at least one partition (Qin et al., 2018: thresholds sum to distance - p
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -88,26 +89,30 @@ def _mask(bits: tuple[int, ...]) -> np.uint64:
     return np.uint64(sum(1 << b for b in bits))
 
 
-def grouped_bits(sample: np.ndarray, parts: int) -> list[tuple[int, ...]]:
-    """Bits dealt to partitions of about equal size, the most correlated ones together."""
-    x = (sample[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+def grouped_bits(x: np.ndarray, parts: int) -> list[tuple[int, ...]]:
+    """Columns of a table of bits dealt to partitions of about equal size, the most correlated ones together."""
+    bits = x.shape[1]
     x = x - x.mean(0)
     spread = np.sqrt((x ** 2).sum(0)) + 1e-9
     like = np.abs(x.T @ x) / spread[:, None] / spread[None]
     np.fill_diagonal(like, 0)
-    free, out = set(range(64)), []
+    free, out = np.ones(bits, bool), []
     for k in range(parts):
-        size = 64 // parts + (k < 64 % parts)
-        group = [max(free, key=lambda b: (like[b, list(free)].sum(), -b))]
-        free.remove(group[0])
-        while len(group) < size:
-            best = max(free, key=lambda b: (like[b, group].sum(), -b))
+        total, group = like @ free, []
+        for _ in range(bits // parts + (k < bits % parts)):
+            best = int(np.where(free, total, -1).argmax())
+            total = like[best] if not group else total + like[best]
             group.append(best)
-            free.remove(best)
+            free[best] = False
         out.append(tuple(sorted(group)))
     return out
 
 
+def _bits(fp: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words as rows of bits, the lowest first."""
+    return np.unpackbits(np.ascontiguousarray(fp, "<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+
+
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     """Thresholds from -1 up, one for each partition, of the given sum and the lowest cost.
 
@@ -125,26 +130,33 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan(sample: np.ndarray, rows: int, distance: int) -> list[Part]:
-    """Partitions and thresholds of the lowest estimated number of probes and comparisons."""
+def plan(sample: np.ndarray, rows: int, distance: int, choices: tuple[int, ...] | None = None) -> list[Part]:
+    """Partitions and thresholds of the lowest estimated number of probes and comparisons.
+
+    ``choices`` are the numbers of partitions tried, by default from one to ``distance + 3``.
+    """
     if not len(sample):
         return [Part(tuple(range(64)), distance)]
+    x = _bits(sample).astype(float)
     best, chosen = float("inf"), []
-    for parts in range(1, distance + 4):
-        bits = grouped_bits(sample, parts)
+    for parts in choices or range(1, distance + 4):
+        bits = grouped_bits(x, parts)
         costs = []
         for group in bits:
-            some = sample & _mask(group)
-            apart = np.bitwise_count(some[:, None] ^ some[None])
+            some = x[:, group]
+            apart = some @ (1 - some).T
+            apart = apart + apart.T
             off = ~np.eye(len(some), dtype=bool)
             row = [0.0]
-            for t in range(distance + 1):
-                probes = sum(len(list(itertools.combinations(range(len(group)), k))) if k < 3 else len(group) ** k for k in range(t + 1))
-                close = ((apart <= t) & off).sum() / max(1, off.sum())
+            for t in range(min(distance, 2 if choices is None else 1) + 1 if parts > 1 else distance + 1):
+                probes = sum(math.comb(len(group), k) for k in range(t + 1))
+                close = ((apart <= t + 0.5) & off).sum() / max(1, off.sum())
                 # Below what the sample can see, bits are taken as independent.
                 close = max(close, probes * 2.0 ** -len(group))
                 row.append(20.0 * rows * probes + rows * rows * close)
             costs.append(row)
+        if not -parts <= distance - parts + 1 <= sum(len(r) - 2 for r in costs):
+            continue
         cost, thresholds = allocate(costs, distance - parts + 1)
         if cost < best:
             best, chosen = cost, [Part(b, t) for b, t in zip(bits, thresholds) if t >= 0]
@@ -278,3 +290,191 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3) -> DataF
     )
     rows = marked.join(classes, F.col("fp") == F.col("class_fp"), "left")
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by the share of common shingles: the same search on longer fingerprints, then an exact comparison.
+
+#: 64-bit words of a long fingerprint, and from how many differing bits on two texts are not compared. Texts that share
+#: 0.8 of their five-word shingles differ in a tenth of these bits, texts that have little in common in two fifths (see the tests).
+LONG, APART = 6, 56
+#: Distance that the partitions of a long fingerprint guarantee to meet at, and the numbers of partitions tried.
+MEET, MEET_PARTS = 29, (30, 26, 22)
+#: Texts of one family that a task compares; larger families are divided into pairs of such blocks.
+FAMILY = 5000
+_TURNS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(LONG)], np.uint64)
+
+
+def long_fingerprints(texts: list[str]) -> np.ndarray:
+    """Texts x words: SimHash of the set of words of each text, under ``LONG`` hashes."""
+    sets = [[xxhash.xxh64_intdigest(w, SEED) for w in set(t.encode("utf-8", "replace").lower().split())] for t in texts]
+    flat = np.fromiter(itertools.chain.from_iterable(sets), np.uint64)
+    cuts = np.cumsum([len(x) for x in sets])[:-1]
+    out = np.zeros((len(texts), LONG), np.uint64)
+    for k in range(LONG):
+        h = flat * _TURNS[k]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        out[:, k] = majority(np.split(h, cuts))
+    return out
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """A column of long fingerprints as texts x words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LONG)
+
+
+def _families(fp: np.ndarray) -> np.ndarray:
+    """For each fingerprint the number of another one, such that all within ``APART`` bits of each other are joined by these.
+
+    Leaders are farther than that apart; every fingerprint joins all leaders within twice the distance, among
+    them the leader of any near one. So large groups of near copies cost a comparison with few leaders each.
+    """
+    leaders: list[int] = []
+    block = np.zeros((0, LONG), np.uint64)
+    for i in range(len(fp)):
+        if not len(block) or np.bitwise_count(block ^ fp[i]).sum(1).min() > APART:
+            leaders.append(i)
+            block = fp[leaders]
+    label = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count(block ^ fp[i]).sum(1) <= 2 * APART):
+            a, b = label[i], label[leaders[j]]
+            if a != b:
+                label[label == max(a, b)] = min(a, b)
+    return label
+
+
+def _by_group(work, names: tuple[str, ...], schema: pa.Schema):
+    """Calls ``work`` with the rows of each value of the first column, which come in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(batch.column(n).to_pylist() for n in names)):
+                if held and held[0][0] != row[0]:
+                    out += work(held) if len(held) > 1 else []
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        out = work(held) if len(held) > 1 else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _met(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links inside a bucket of ``(bucket, node, fp)``."""
+    node = [r[1] for r in rows]
+    fp = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, LONG)
+    label = _families(fp)
+    return [(node[i], node[k]) for i, k in enumerate(label.tolist()) if i != k]
+
+
+def _compared(least: float):
+    """Spanning links of a family's texts that share at least ``least`` of their shingles."""
+    def work(rows: list[tuple]) -> list[tuple[int, int]]:
+        same = rows[0][0][1] == rows[0][0][2]
+        fp = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, LONG)
+        # Those nearest to the family's middle come first: what others were copied from links most of them at once.
+        share = _bits(fp).mean(0)
+        middle = np.packbits(share > 0.5, bitorder="little").view(np.uint64)
+        order = np.argsort(np.bitwise_count(fp ^ middle).sum(1), kind="stable")
+        fp, rows = fp[order], [rows[i] for i in order]
+        block = np.array([r[1] for r in rows])
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        label, out = np.arange(len(rows)), []
+        for i in range(1, len(rows)):
+            near = (np.bitwise_count(fp[:i] ^ fp[i]).sum(1) <= APART) & (label[:i] != label[i])
+            if not same:
+                near &= block[:i] != block[i]
+            for j in np.flatnonzero(near).tolist():
+                if label[j] == label[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                either = len(sets[i]) + len(sets[j]) - both
+                if either and both >= least * either:
+                    out.append((rows[j][2], rows[i][2]))
+                    label[label == max(label[i], label[j])] = min(label[i], label[j])
+        return out
+
+    return work
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, family: int = FAMILY) -> DataFrame:
+    """``(doc_id, component_id)`` of every row: texts that share ``least`` of their shingles of ``words`` words are linked.
+
+    Words are as in :func:`fingerprints`; a text of fewer words is one shingle. Texts of equal words are one
+    class, null and blank ones too. Candidates are texts whose long fingerprints meet in a partition and differ in at most
+    ``APART`` bits; each link is confirmed on the whole shingle sets. A component's id is its smallest ``doc_id``; rows
+    without one get that of their class. Repeated rows stay. An empty table gives no rows.
+    """
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = texts_of(part)
+                same = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts]
+                fp = [x.tobytes() for x in long_fingerprints(texts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same), pa.array(fp)], ["doc_id", "same", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = stored(rows.mapInArrow(marked, "doc_id long, same binary, fp binary"), "marked")
+    classes = told.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
+    classes = stored(classes, "classes")
+    sample = [r.fp for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
+    parts = plan(np.frombuffer(b"".join(sample), np.uint64).reshape(-1, LONG), classes.count(), MEET, MEET_PARTS) if sample else []
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                bits = _bits(_rows(part.column("fp"))).astype(np.int64)
+                for number, p in enumerate(parts):
+                    weight = np.int64(1) << np.arange(len(p.bits))
+                    own = bits[:, list(p.bits)] @ weight
+                    for flip in [np.int64(0), *weight] if p.threshold else [np.int64(0)]:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array((own ^ flip) | np.int64(number) << np.int64(48)), part.column("node"), part.column("fp")], ["bucket", "node", "fp"]
+                        )
+
+    buckets = classes.select("node", "fp").mapInArrow(keyed, "bucket long, node long, fp binary")
+    met = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _by_group(_met, ("bucket", "node", "fp"), _PAIRS), "a long, b long"
+    )
+    families = stored(components(met), "families")
+    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
+    members = families.join(sizes, "component").join(classes.select("node", "fp"), "node")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in texts_of(part)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in ("component", "node", "members", "fp")), pa.array(sets)], ["component", "node", "members", "fp", "sets"]
+                )
+
+    # One text of each class that has a near one; repeated ids of one text are reduced to one by the aggregate.
+    texts = rows.join(members, rows["doc_id"] == members["node"]).select("component", "node", "members", "fp", "text")
+    sets = texts.mapInArrow(shingled, "component long, node long, members long, fp binary, sets binary")
+    parts_of = F.ceil(F.col("members") / family).cast("int")
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts_of - 1)))
+    sets = sets.select(
+        F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("work"), "block", "node", "fp", "sets"
+    )
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare = _compared(least)
+        turn = lambda rows: compare([((r[0]["component"], r[0]["i"], r[0]["j"]), *r[1:]) for r in rows])
+        return _by_group(turn, ("work", "block", "node", "fp", "sets"), _PAIRS)(batches)
+
+    links = sets.repartition("work").sortWithinPartitions("work").mapInArrow(grouped, "a long, b long")
+    found = components(links)
+    classes = classes.join(found, "node", "left").select(F.col("same").alias("class"), F.coalesce("component", "node").alias("component_id"))
+    return told.join(classes, F.col("same") == F.col("class"), "left").select("doc_id", "component_id")

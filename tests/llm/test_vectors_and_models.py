@@ -253,7 +253,7 @@ def test_likelihoods(spark):
 
 def test_stages_against_plain_versions(spark, tmp_path):
     import corpus_pipeline
-    from .test_text_operators import brute_components, brute_fingerprint, prose
+    from .test_text_operators import brute_copies, prose
 
     dice, docs, labels = random.Random(12), [], []
     for k in range(240):
@@ -276,7 +276,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     gone = {r.doc_id for r in table.collect()} - {r.doc_id for r in told.collect()}
     assert {400, 401, 402} <= gone and len(gone) < 8
     single = common.stored(corpus_pipeline.near_duplicates(spark, told, str(tmp_path)), "s")
-    comp = brute_components({r.doc_id: brute_fingerprint(r.text) for r in told.collect()})
+    comp = brute_copies({r.doc_id: r.text for r in told.collect()})
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(comp.values()))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048
