@@ -28,7 +28,7 @@ HEAD, NEURAL, CLASS = 131_072, 4096, 64
 ENDINGS = 64
 EMBED, HIDDEN = 16, 24
 #: Steps of backpropagation, texts side by side, and how the training text is used: one stretch in ``EVERY``.
-WINDOW, LANES, STRETCH, EVERY, ROUNDS = 24, 64, 96, 4, 3
+WINDOW, LANES, STRETCH, EVERY, ROUNDS = 24, 128, 96, 4, 3
 
 
 def words_of(text: str) -> list[bytes]:
@@ -115,21 +115,34 @@ def fresh(vocabulary: Vocabulary, seed: int = 17) -> Network:
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _gates(a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
     g = h @ u
-    zr = _sigmoid(a[:, :2 * HIDDEN] + g[:, :2 * HIDDEN])
+    zr = a[:, :2 * HIDDEN] + g[:, :2 * HIDDEN]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN:]
-    n = np.tanh(a[:, 2 * HIDDEN:] + r * g)
+    n = r * g
+    n += a[:, 2 * HIDDEN:]
+    np.tanh(n, out=n)
     return z, r, n, g
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax of each row, in place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One logarithm of each row's softmax; ``x`` is overwritten. Trained logits stay far from the limits of exp."""
+    chosen = x[np.arange(len(x)), at]
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(1))
 
 
 def _by_class(group: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -170,17 +183,18 @@ def train_windows(net: Network, v: Vocabulary, lanes: list[list[int]], memory: d
         number = y[learns]
         group, inside = v.group[number], v.inside[number]
         scale = 1 / len(number)
-        p = np.exp(_log_softmax(s @ net.group_w + net.group_b))
+        p = _softmax(s @ net.group_w + net.group_b)
         p[np.arange(len(number)), group] -= 1
         p *= scale
         d = p @ net.group_w.T
         grad = {"group_w": s.T @ p, "group_b": p.sum(0), "word_w": np.zeros_like(net.word_w), "word_b": np.zeros_like(net.word_b)}
         for k, at in _by_class(group, inside):
-            q = np.exp(_log_softmax(s[at] @ net.word_w[k] + net.word_b[k]))
+            own = s[at]
+            q = _softmax(own @ net.word_w[k] + net.word_b[k])
             q[np.arange(len(at)), inside[at]] -= 1
             q *= scale
             d[at] += q @ net.word_w[k].T
-            grad["word_w"][k], grad["word_b"][k] = s[at].T @ q, q.sum(0)
+            grad["word_w"][k], grad["word_b"][k] = own.T @ q, q.sum(0)
         d_states = np.zeros((*x.shape, HIDDEN), np.float32)
         d_states[learns] = d
         d_a, d_u, back = np.zeros_like(a), np.zeros_like(net.u), np.zeros_like(h)
@@ -205,12 +219,20 @@ def train_windows(net: Network, v: Vocabulary, lanes: list[list[int]], memory: d
         for name, x in grad.items():
             x *= min(1.0, 1.0 / max(norm, 1e-9))
             m, q = memory.setdefault(name, (np.zeros_like(x), np.zeros_like(x)))
-            m += 0.1 * (x - m)
-            q += 0.01 * (x * x - q)
-            getattr(net, name)[...] -= (rate * fix) * m / (np.sqrt(q) + 1e-6)
-
-
-def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int = 256) -> np.ndarray:
+            m *= 0.9
+            m += 0.1 * x
+            q *= 0.99
+            x *= x
+            x *= 0.01
+            q += x
+            np.sqrt(q, out=x)
+            x += 1e-6
+            np.divide(m, x, out=x)
+            x *= rate * fix
+            getattr(net, name)[...] -= x
+
+
+def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int = 512) -> np.ndarray:
     """Natural log probability of each text's classes and neural words, the state carried from its first to its last token."""
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
@@ -225,8 +247,8 @@ def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int
     rows = [rows[j] for j in np.argsort(-size, kind="stable")]
     size = -np.sort(-size, kind="stable")
     longest = int(size[0]) if len(size) else 0
-    target = np.zeros((longest, len(rows)), int)
-    owner = np.zeros((longest, len(rows)), int)
+    target = np.zeros((longest, len(rows)), np.int32)
+    owner = np.zeros((longest, len(rows)), np.int32)
     first = np.zeros((longest, len(rows)), bool)
     for j, names in enumerate(rows):
         at = 0
@@ -234,25 +256,33 @@ def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int
             end = at + len(texts[k])
             target[at:end, j], owner[at:end, j], first[at, j] = texts[k], k, True
             at = end
-    enter = np.zeros_like(target)
-    enter[1:] = v.enter[target[:-1]]
-    enter[first] = v.enter[0]
+    running = np.searchsorted(-size, -np.arange(longest), "left").tolist()
+    begins = first.any(1).tolist()
     h = np.zeros((len(rows), HIDDEN), np.float32)
-    for start in range(0, longest, 64):
-        states, ys, owners = [], [], []
-        for t in range(start, min(start + 64, longest)):
-            live = int(np.searchsorted(-size, -t, "left"))
-            h = np.where(first[t, :live, None], 0, h[:live])
-            z, _, n, _ = _gates(a_of[enter[t, :live]], h, net.u)
-            h = (1 - z) * n + z * h
-            states.append(h)
-            ys.append(target[t, :live])
-            owners.append(owner[t, :live])
+    # Steps with few lanes left are gathered longer, so that the outputs are computed for many tokens at once.
+    states, ys, owners, held = [], [], [], 0
+    for t in range(longest):
+        live = running[t]
+        h = h[:live]
+        enter = v.enter[target[t - 1, :live]] if t else np.full(live, v.enter[0])
+        if begins[t]:
+            new = first[t, :live]
+            h = np.where(new[:, None], np.float32(0), h)
+            enter = np.where(new, v.enter[0], enter)
+        z, _, n, _ = _gates(a_of[enter], h, net.u)
+        h = n + z * (h - n)
+        states.append(h)
+        ys.append(target[t, :live])
+        owners.append(owner[t, :live])
+        held += live
+        if held < 32_768 and t < longest - 1:
+            continue
         s, y, own = np.concatenate(states), np.concatenate(ys), np.concatenate(owners)
+        states, ys, owners, held = [], [], [], 0
         group, inside = v.group[y], v.inside[y]
-        log_p = _log_softmax(s @ net.group_w + net.group_b)[np.arange(len(y)), group].astype(float)
+        log_p = _log_share(s @ net.group_w + net.group_b, group).astype(float)
         for k, at in _by_class(group, inside):
-            log_p[at] += _log_softmax(s[at] @ net.word_w[k] + net.word_b[k])[np.arange(len(at)), inside[at]]
+            log_p[at] += _log_share(s[at] @ net.word_w[k] + net.word_b[k], inside[at])
         out += np.bincount(own, log_p, minlength=len(out))
     return out
 
@@ -404,8 +434,8 @@ def likelihoods(docs: DataFrame, held_out: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = known.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
                 texts = [v.numbers(words_of(t)) for t in texts_of(part)]
                 size = np.array([len(t) for t in texts])
                 start = np.cumsum(size) - size
