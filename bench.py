@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -19,7 +20,7 @@ HEADLINE = (
     "incidence_by_risk", "sweep_inc_echo", "new_infections", "run_summary", "relative_risk",
     "averted_total", "channel_prevalence", "external_infection_rate", "observed_marginals",
     "observed_overlay", "best_runs", "event_durations", "duration_histogram", "param_boxplot",
-    "roulette_sample", "scenario_expand",
+    "roulette_sample", "scenario_expand", "scan_reports", "incremental_ingest", "result_roundtrip", "channel_all",
 )
 
 
@@ -31,6 +32,7 @@ def main() -> None:
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="stratalens-"))
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -104,9 +104,11 @@ CHANNELS = {
 }
 
 
-def channel_cells(config: str) -> Column:
-    """The channel file as ``map<channel, struct<Year, AgeBin, Gender>>``."""
-    return F.from_json(F.lit(config), CHANNEL_CONFIG_SCHEMA)
+def channel_cells(config: str | DataFrame) -> Column:
+    """The channel file as ``map<channel, struct<Year, AgeBin, Gender>>``, from its text or
+    from the one row that ``read_channel_config`` gives."""
+    text = F.lit(config) if isinstance(config, str) else config.select("config").scalar()
+    return F.from_json(text, CHANNEL_CONFIG_SCHEMA)
 
 
 def unsupported_channels(configured: DataFrame, known: Sequence[str] = tuple(CHANNELS)) -> DataFrame:

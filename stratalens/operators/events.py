@@ -20,7 +20,7 @@ def use_durations(
     The start event that is an individual's last event has no end and is left out, as are
     events without a time.
     """
-    rows = events.select(individual, time, name, tie_break, *keep).where(F.col(time).isNotNull())
+    rows = events.select(*dict.fromkeys((individual, time, name, tie_break, *keep))).where(F.col(time).isNotNull())
     found = next_within(rows, [individual], time, tie_break, "end", hot_rows)
     return (
         found.where((F.col(name) == start_event) & F.col("end").isNotNull())

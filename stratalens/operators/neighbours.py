@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A group is hot only if it holds at least one HOT_GROUPS-th of all rows, so there
-# are never more than HOT_GROUPS hot groups.
-HOT_GROUPS = 1_000
-# A hot group of k thresholds is cut into SLICES * k slices: all hot groups together
-# have at most (SLICES + 1) * HOT_GROUPS slices, which bounds what is broadcast.
-SLICES = 4
+# Slices of a hot group, between quantiles of its distinct values.
+SLICES = 64
 
 
 def lag_within(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str) -> DataFrame:
@@ -21,19 +18,18 @@ def lag_within(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
 
 
+def same(left: str, right: str, names: Sequence[str]) -> Column:
+    """Equality of columns, also where both are missing."""
+    return reduce(lambda c, n: c & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")), names, F.lit(True))
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int) -> DataFrame:
-    """Groups to split: where their ``order`` span starts and how wide a slice is."""
-    threshold = df.agg(
-        F.greatest(F.lit(hot_rows), F.ceil(F.count(F.lit(1)) / HOT_GROUPS)).alias("_t")
-    )
+    """Groups of at least ``hot_rows`` rows and where to cut them: quantiles of ``order``."""
+    probs = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
     sizes = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_from"), F.max(order).alias("_to")
-    )
-    sizes = sizes.withColumn("_t", threshold.scalar())
-    slices = F.ceil(F.col("_rows") * SLICES / F.col("_t"))
-    return sizes.where("_rows >= _t").select(
-        *keys, "_from", ((F.col("_to") - F.col("_from")) / slices).alias("_width")
+        F.count(F.lit(1)).alias("_rows"), F.percentile_approx(order, probs).alias("_cuts")
     )
+    return sizes.where(F.col("_rows") >= hot_rows).drop("_rows")
 
 
 def next_within(
@@ -44,30 +40,34 @@ def next_within(
     out: str,
     hot_rows: int = 1_000_000,
 ) -> DataFrame:
-    """Next value of ``order`` within each group.
+    """Next value of ``order`` within each group; ``tie_break`` tells equal values apart.
 
-    A hot group is cut into consecutive slices of its own span, each handled by a
-    task of its own. The last row of a slice takes the first value of the slice that
-    follows, from a table with one row per slice.
+    Rows at one value follow each other, so only the last of them looks further: the
+    window runs over the distinct values of a group, and a burst at one instant is one
+    of them. A group of many values is cut between quantiles of these; the last value of a
+    slice takes the first of the slice that follows. A missing key is a group of its own.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_groups(df, keys, order, hot_rows))
-    piece = F.floor(F.try_divide(F.col(order) - F.col("_from"), F.col("_width")))
-    slice_of = F.coalesce(piece, F.lit(0).cast("bigint")).alias("_slice")
-    heads = (
-        df.join(hot, keys)
-        .groupBy(*keys, slice_of)
-        .agg(F.min(order).alias("_head"))
-        .withColumn(
-            "_head", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_slice"))
-        )
+    values = df.groupBy(*keys, order).agg(F.max(tie_break).alias("_last"))
+    hot = hot_groups(values, keys, order, hot_rows)
+    sliced = values.alias("v").join(hot.alias("h"), same("v", "h", keys), "left").select(
+        *[F.col(f"v.{k}").alias(k) for k in (*keys, order, "_last")],
+        F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(f"v.{order}"))), F.lit(0)).alias("_slice"),
+        F.col("_cuts").isNotNull().alias("_hot"),
+    )
+    heads = sliced.where("_hot").groupBy(*keys, "_slice").agg(F.min(order).alias("_head")).withColumn(
+        "_head", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_slice"))
+    )
+    local = Window.partitionBy(*keys, "_slice").orderBy(order)
+    following = (
+        sliced.withColumn("_next", F.lead(order).over(local)).alias("a")
+        .join(heads.alias("b"), same("a", "b", [*keys, "_slice"]), "left")
+        .select(*[F.col(f"a.{k}").alias(k) for k in (*keys, order, "_last")], F.coalesce("_next", "_head").alias("_next"))
     )
-    local = Window.partitionBy(*keys, "_slice").orderBy(order, tie_break)
     return (
-        df.join(hot, keys, "left")
-        .select(*df.columns, slice_of)
-        .withColumn(out, F.lead(order).over(local))
-        .join(F.broadcast(heads), [*keys, "_slice"], "left")
-        .withColumn(out, F.coalesce(F.col(out), F.col("_head")))
-        .select(*df.columns, out)
+        df.alias("d").join(following.alias("f"), same("d", "f", [*keys, order]))
+        .select(
+            *[F.col(f"d.{c}").alias(c) for c in df.columns],
+            F.when(F.col(f"d.{tie_break}") < F.col("_last"), F.col(f"d.{order}")).otherwise(F.col("_next")).alias(out),
+        )
     )

@@ -114,6 +114,18 @@ def add_exact_bounds(df: DataFrame, level: float = 0.95) -> DataFrame:
     ).drop("successes", "trials", "exact_lower", "exact_upper", "effective_count", "lb", "ub")
 
 
+def with_province_row(
+    table: DataFrame, weights: DataFrame, year: float, ages: tuple[int, int], measure: str
+) -> DataFrame:
+    """A survey table and, appended, its population-weighted province row of one year."""
+    row = weighted_total(weights, table.where(F.col("year") == year)).select(
+        F.lit(float(year)).alias("year"), F.lit("All").alias("county"), F.lit("Both").alias("gender"),
+        F.lit(ages[0]).alias("age_lower"), F.lit(ages[1]).alias("age_upper"), F.lit(measure).alias("measure"),
+        "value", "lower", "upper",
+    )
+    return table.unionByName(row, allowMissingColumns=True)
+
+
 def weighted_total(
     weights: DataFrame, values: DataFrame, on: Sequence[str] = ("county",),
     measures: Sequence[str] = ("value", "lower", "upper"),

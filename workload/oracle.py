@@ -510,7 +510,7 @@ OBS = """obs AS (
 SELECT year, 'County_' || node_id AS county, CASE WHEN gender_code = 0 THEN 'Men' ELSE 'Women' END AS gender,
  age_lower, CAST(CASE age_lower WHEN 0 THEN 16 WHEN 16 THEN 36 ELSE 100 END AS INT) AS age_upper,
  SUM(infected) / NULLIF(SUM(population), 0) AS value, SUM(population) AS pop
-FROM report WHERE run_num = 0 AND year = floor(year) GROUP BY ALL)"""
+FROM report GROUP BY ALL)"""
 SHARE = "SELECT year, county, gender, age_lower, age_upper, value, value * 0.5::DOUBLE AS lower, (value + 1) / 2 AS upper FROM obs"
 ORACLE["observed_standardize"] = with_(
     f"SELECT *, unnest(['HIV prevalence', 'ART Proportion']) AS measure FROM ({SHARE})", REPORT, OBS)
@@ -538,15 +538,18 @@ _ARTM = union([
 ORACLE["art_marginal"] = with_(_ARTM, REPORT, OBS)
 _W = "CASE WHEN COUNT({0}) = COUNT(*) THEN round(SUM(p * {0}) / NULLIF(SUM(p), 0), 6) END AS {0}"
 ORACLE["weighted_prevalence"] = with_(
-    f"""SELECT {', '.join(_W.format(c) for c in ('value', 'lower', 'upper'))}
+    f"""SELECT year, county, gender, age_lower, age_upper, 'HIV prevalence' AS measure, round(value, 6) AS value,
+ round(lower, 6) AS lower, round(upper, 6) AS upper FROM ({SHARE})
+UNION ALL SELECT 1998, 'All', 'Both', 15, 65, 'HIV prevalence', * FROM (
+SELECT {', '.join(_W.format(c) for c in ('value', 'lower', 'upper'))}
 FROM (SELECT county, value AS p FROM ({marginals()}) WHERE year = 1999 AND gender = 'Both' AND county <> 'All') w
-LEFT JOIN (SELECT * FROM ({SHARE}) WHERE year = 1998) s USING (county)""", REPORT, OBS)
+LEFT JOIN (SELECT * FROM ({SHARE}) WHERE year = 1998) s USING (county))""", REPORT, OBS)
 ORACLE["binomial_bounds"] = """WITH RECURSIVE """ + ",\n".join([
     REPORT,
     """obs AS (SELECT year AS "Year", 'County_' || node_id AS "County", CASE WHEN gender_code = 0 THEN 'Male' ELSE 'Female' END AS "Gender",
  '[' || age_lower || ':' || CASE age_lower WHEN 0 THEN 16 WHEN 16 THEN 36 ELSE 100 END || ')' AS "AgeBin",
  SUM(infected) / NULLIF(SUM(population), 0) AS value, SUM(population) AS pop, CAST(SUM(infected) AS BIGINT) AS x, CAST(SUM(population) AS BIGINT) AS n
-FROM report WHERE run_num = 0 AND year = floor(year) GROUP BY ALL)""",
+FROM report GROUP BY ALL)""",
     # Bisection on the binomial tail P(X >= k0), summed term by term.
     """search AS (SELECT x, n, k0, target, 0::DOUBLE AS lo, 1::DOUBLE AS hi, 0 AS step FROM (
   SELECT DISTINCT x, n, x AS k0, 0.025::DOUBLE AS target FROM obs WHERE x > 0

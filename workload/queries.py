@@ -563,7 +563,9 @@ def _specs(*names):
 @query("channel_grid")
 def channel_grid(spark, sf):
     wanted = _specs("Prevalence", "OnART", "PrevDiscordMalePositive", "Incidence")
-    grid = channels.channel_grid(_channel_rows(spark, sf), wanted, CHANNEL_CONFIG)
+    path = results.shared_folder(spark, "channels")
+    spark.createDataFrame([(CHANNEL_CONFIG,)], "value string").coalesce(1).write.text(path)
+    grid = channels.channel_grid(_channel_rows(spark, sf), wanted, tables.read_channel_config(spark, path))
     return grid.withColumn("year", F.round("year", 3))
 
 
@@ -680,7 +682,7 @@ def weighted_prevalence(spark, sf):
     weights = totals.where("year = 1999 AND gender = 'Both' AND county <> 'All'").select(
         "county", F.col("value").alias("pop")
     )
-    found = survey.weighted_total(weights, _observed_share(spark, sf).where("year = 1998"))
+    found = survey.with_province_row(_observed_share(spark, sf), weights, 1998, (15, 65), "HIV prevalence")
     return rounded(found, "value", "lower", "upper")
 
 
@@ -779,8 +781,18 @@ def best_runs(spark, sf):
 # --- events ------------------------------------------------------------------
 
 
-def _durations(spark, sf, hot_rows=1_000_000):
-    log = views.event_log(spark, sf).withColumn(
+def _event_file(spark, sf):
+    """The event log as a native CSV file, read back by the event reader."""
+    native = views.event_log(spark, sf).select(
+        F.col("individual_id").alias("Individual_ID"), F.col("event_name").alias("Event_Name"), F.col("age").alias("Age"),
+        F.col("event_id").alias("Event_Id"),
+    )
+    rows = tables.read_events(spark, results.save_csv(native, results.shared_folder(spark, "events")))
+    return rows.withColumn("event_id", F.col("event_id").cast("bigint"))
+
+
+def _durations(spark, sf, hot_rows=1_000_000, from_file=False):
+    log = (_event_file(spark, sf) if from_file else views.event_log(spark, sf)).withColumn(
         "prep_method", F.when(F.col("individual_id") % 2 == 0, "Const_90").otherwise("Const_180")
     )
     return events.use_durations(
@@ -790,7 +802,7 @@ def _durations(spark, sf, hot_rows=1_000_000):
 
 @query("event_durations")
 def event_durations(spark, sf):
-    return rounded(_durations(spark, sf), "start", "end", "duration")
+    return rounded(_durations(spark, sf, from_file=True), "start", "end", "duration")
 
 
 @query("event_durations_hot")

@@ -82,8 +82,8 @@ def standard_by_time(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:
-    """Run 0 in the part of the survey, in the native survey layout."""
-    rows = report(spark, sf, grouped=False).where("run_num = 0 AND year = floor(year)")
+    """The report summed over all runs in the part of the survey, in the native survey layout."""
+    rows = report(spark, sf, grouped=False)
     upper = F.when(F.col("age_lower") == 0, 16).when(F.col("age_lower") == 16, 36).otherwise(100)
     keys = {
         "Year": F.col("year"),
