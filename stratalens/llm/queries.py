@@ -83,4 +83,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_output_codes": op9_output_codes,
     "op10_piece_table": op10_piece_table,
 }
-ORACLE: dict[str, str] = {}
+#: Where plain SQL can say the same; the other queries are held against brute force in the tests.
+ORACLE: dict[str, str] = {
+    "op2_chat_windows": r"""
+WITH t AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) + 5 AS cost,
+ 22 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\])', '\1x\2\3', 'g'))
+ + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1x\2\3', 'g')) AS shown,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth FROM t),
+f AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY nth) - cost AS placed,
+ first_value(role) OVER (PARTITION BY conv_id ORDER BY nth) = 'system' AS has_system,
+ first_value(cost) OVER (PARTITION BY conv_id ORDER BY nth) AS first_cost,
+ first_value(shown) OVER (PARTITION BY conv_id ORDER BY nth) AS first_shown FROM c),
+p AS (SELECT *, greatest(floor((2048 - 256 - CASE WHEN has_system THEN first_cost ELSE 0 END) / 2), 16) AS step FROM f),
+w AS (SELECT *, floor(placed / step) AS span FROM p),
+r AS (SELECT conv_id, span, shown FROM w UNION ALL
+ SELECT conv_id, span + 1, shown FROM w WHERE placed >= (span + 1) * step - least(256, step) AND placed + cost <= (span + 1) * step
+  AND NOT (placed = 0 AND has_system)
+ UNION ALL SELECT DISTINCT conv_id, span, first_shown FROM w WHERE has_system AND span > 0),
+s AS (SELECT conv_id, CAST(sum(shown) AS BIGINT) AS formatted_chars
+ FROM r SEMI JOIN (SELECT DISTINCT conv_id, span FROM w) k ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.span = k.span GROUP BY conv_id),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+ coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '') AS loss, count(DISTINCT span) AS n_windows FROM w GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows
+FROM d JOIN s ON d.conv_id IS NOT DISTINCT FROM s.conv_id""",
+    "op3_lattice": """
+WITH RECURSIVE e AS (
+ SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL
+  AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r(id, c) AS (SELECT a, b FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+FROM embeddings LEFT JOIN m ON vec_id = id LEFT JOIN n ON vec_id = a""",
+}
