@@ -300,7 +300,7 @@ LONG, APART = 6, 56
 #: Distance that the partitions of a long fingerprint guarantee to meet at, and the numbers of partitions tried.
 MEET, MEET_PARTS = 29, (30, 26, 22)
 #: Texts of one family that a task compares; larger families are divided into pairs of such blocks.
-FAMILY = 5000
+FAMILY = 2000
 _TURNS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(LONG)], np.uint64)
 
 
