@@ -306,9 +306,21 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
 
 
 def vocabulary_of(counts: DataFrame, texts: int) -> Vocabulary:
-    """The parts of the counts that every task needs; their size is fixed."""
-    ordered = counts.orderBy(F.desc("c"), "word")
-    head = ordered.limit(HEAD - 1).collect()
+    """The parts of the counts that every task needs; their size is fixed.
+
+    The head takes whole bands of counts, the highest first, as long as they fit: a
+    histogram of bands decides, so no task sends its own top words to the driver.
+    """
+    band = F.floor(F.log2("c") * 64)
+    bands = counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()
+    least, held = float("inf"), 0
+    for r in sorted(bands, key=lambda r: -r.band):
+        held += r.n
+        if held > HEAD - 1:
+            break
+        least = r.band
+    head = counts.where(band >= F.lit(least)).collect() if bands else []
+    head = sorted(head, key=lambda r: (-r.c, bytes(r.word)))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     neural = counts.sparkSession.createDataFrame([(bytes(r.word),) for r in head[:NEURAL - 1]], "word binary")
     # Two bytes: at most 65,792 endings. The words with weights of their own are a few thousand.
