@@ -46,11 +46,15 @@ def shingle_hashes(text: str, words: int) -> list[int]:
 def majority(lists: list[list[int]]) -> np.ndarray:
     """For each list the bits that are set in over half of its hashes; zero for an empty list."""
     n = np.array([len(x) for x in lists], np.int64)
-    out = np.zeros(len(lists), np.uint64)
+    return _majority(np.fromiter(itertools.chain.from_iterable(lists), np.uint64, int(n.sum())), n)
+
+
+def _majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The same for lists of ``n`` hashes that stand one behind the other."""
+    out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if not some.size:
         return out
-    h = np.fromiter(itertools.chain.from_iterable(lists), np.uint64, int(n.sum()))
     # Byte lanes hold counts up to 255, so each list is added up in blocks of that length.
     blocks = (n[some] + 254) // 255
     first_block = np.concatenate([[0], np.cumsum(blocks)[:-1]])
@@ -130,16 +134,13 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan(sample: np.ndarray, rows: int, distance: int, choices: tuple[int, ...] | None = None) -> list[Part]:
-    """Partitions and thresholds of the lowest estimated number of probes and comparisons.
-
-    ``choices`` are the numbers of partitions tried, by default from one to ``distance + 3``.
-    """
+def plan(sample: np.ndarray, rows: int, distance: int) -> list[Part]:
+    """Partitions and thresholds of the lowest estimated number of probes and comparisons."""
     if not len(sample):
         return [Part(tuple(range(64)), distance)]
     x = _bits(sample).astype(float)
     best, chosen = float("inf"), []
-    for parts in choices or range(1, distance + 4):
+    for parts in range(1, distance + 4):
         bits = grouped_bits(x, parts)
         costs = []
         for group in bits:
@@ -148,7 +149,7 @@ def plan(sample: np.ndarray, rows: int, distance: int, choices: tuple[int, ...]
             apart = apart + apart.T
             off = ~np.eye(len(some), dtype=bool)
             row = [0.0]
-            for t in range(min(distance, 2 if choices is None else 1) + 1 if parts > 1 else distance + 1):
+            for t in range(min(distance, 2) + 1 if parts > 1 else distance + 1):
                 probes = sum(math.comb(len(group), k) for k in range(t + 1))
                 close = ((apart <= t + 0.5) & off).sum() / max(1, off.sum())
                 # Below what the sample can see, bits are taken as independent.
@@ -292,57 +293,54 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3) -> DataF
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by the share of common shingles: the same search on longer fingerprints, then an exact comparison.
+# Near copies by the share of common shingles: candidates by minima of the shingle hashes, then an exact comparison.
 
-#: 64-bit words of a long fingerprint, and from how many differing bits on two texts are not compared. Texts that share
-#: 0.8 of their five-word shingles differ in a tenth of these bits, texts that have little in common in two fifths (see the tests).
-LONG, APART = 6, 56
-#: Distance that the partitions of a long fingerprint guarantee to meet at, and the numbers of partitions tried.
-MEET, MEET_PARTS = 29, (30, 26, 22)
+#: Bands and minima in a band. A pair that shares a part J of its shingles has a band in common but for a chance of
+#: (1 - J ** DEEP) ** BANDS: 2e-10 at 0.8, wherever the texts differ. At 0.1 it meets with a chance of 6e-4.
+BANDS, DEEP = 56, 5
+#: 64-bit words of a long fingerprint, and from how many differing bits on two texts of a family are not compared. At 0.8 of common
+#: shingles texts differ in 58 bits or so, sd 7; the worst case is four shingles against five, 72, sd 7.7. Texts with none in common: 192, sd 10.
+LONG, APART = 6, 120
 #: Texts of one family that a task compares; larger families are divided into pairs of such blocks.
 FAMILY = 2000
 _TURNS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(LONG)], np.uint64)
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, DEEP), np.uint64) | np.uint64(1)
 
 
-def long_fingerprints(texts: list[str]) -> np.ndarray:
-    """Texts x words: SimHash of the set of words of each text, under ``LONG`` hashes."""
-    sets = [[xxhash.xxh64_intdigest(w, SEED) for w in set(t.encode("utf-8", "replace").lower().split())] for t in texts]
-    flat = np.fromiter(itertools.chain.from_iterable(sets), np.uint64)
-    cuts = np.cumsum([len(x) for x in sets])[:-1]
-    out = np.zeros((len(texts), LONG), np.uint64)
-    for k in range(LONG):
-        h = flat * _TURNS[k]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
-        out[:, k] = majority(np.split(h, cuts))
-    return out
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    """A column of long fingerprints as texts x words."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, LONG)
+def _flat(sets: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all sets in a row, and how many each has."""
+    return np.concatenate([np.zeros(0, np.uint64), *(np.asarray(x, np.uint64) for x in sets)]), np.array([len(x) for x in sets], np.int64)
 
 
-def _families(fp: np.ndarray) -> np.ndarray:
-    """For each fingerprint the number of another one, such that all within ``APART`` bits of each other are joined by these.
+def _long(sets: list) -> np.ndarray:
+    """Sets x words: SimHash of each set under ``LONG`` hashes."""
+    flat, n = _flat(sets)
+    return np.stack([_majority(_mixed(flat * turn), n) for turn in _TURNS], 1)
 
-    Leaders are farther than that apart; every fingerprint joins all leaders within twice the distance, among
-    them the leader of any near one. So large groups of near copies cost a comparison with few leaders each.
-    """
-    leaders: list[int] = []
-    block = np.zeros((0, LONG), np.uint64)
-    for i in range(len(fp)):
-        if not len(block) or np.bitwise_count(block ^ fp[i]).sum(1).min() > APART:
-            leaders.append(i)
-            block = fp[leaders]
-    label = np.arange(len(fp))
-    for i in range(len(fp)):
-        for j in np.flatnonzero(np.bitwise_count(block ^ fp[i]).sum(1) <= 2 * APART):
-            a, b = label[i], label[leaders[j]]
-            if a != b:
-                label[label == max(a, b)] = min(a, b)
-    return label
+
+def long_fingerprints(texts: list[str], words: int = 5) -> np.ndarray:
+    """Texts x words: SimHash of the set of shingles of each text, under ``LONG`` hashes."""
+    return _long([np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts])
+
+
+def band_keys(lists: list[list[int]]) -> np.ndarray:
+    """Lists x ``BANDS``: each key stands for ``DEEP`` minima of a list's hashes, each minimum under its own order. No list may be empty."""
+    flat, n = _flat(lists)
+    start = np.cumsum(n) - n
+    out = np.empty((len(lists), BANDS), np.uint64)
+    for band, factors in enumerate(_FACTORS):
+        key = np.full(len(lists), band, np.uint64)
+        for factor in factors:
+            key = _mixed(key ^ np.minimum.reduceat(flat * factor, start))
+        out[:, band] = key
+    return out
 
 
 def _by_group(work, names: tuple[str, ...], schema: pa.Schema):
@@ -368,14 +366,6 @@ def _by_group(work, names: tuple[str, ...], schema: pa.Schema):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _met(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Links inside a bucket of ``(bucket, node, fp)``."""
-    node = [r[1] for r in rows]
-    fp = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(-1, LONG)
-    label = _families(fp)
-    return [(node[i], node[k]) for i, k in enumerate(label.tolist()) if i != k]
-
-
 def _compared(least: float):
     """Spanning links of a family's texts that share at least ``least`` of their shingles."""
     def work(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -410,58 +400,55 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, family: int
     """``(doc_id, component_id)`` of every row: texts that share ``least`` of their shingles of ``words`` words are linked.
 
     Words are as in :func:`fingerprints`; a text of fewer words is one shingle. Texts of equal words are one
-    class, null and blank ones too. Candidates are texts whose long fingerprints meet in a partition and differ in at most
-    ``APART`` bits; each link is confirmed on the whole shingle sets. A component's id is its smallest ``doc_id``; rows
+    class, null and blank ones too. Candidates are texts with a band of shingle minima in common; families of these are
+    compared, and each link is confirmed on the whole shingle sets. A component's id is its smallest ``doc_id``; rows
     without one get that of their class. Repeated rows stay. An empty table gives no rows.
     """
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = texts_of(part)
                 same = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts]
-                fp = [x.tobytes() for x in long_fingerprints(texts)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same), pa.array(fp)], ["doc_id", "same", "fp"])
+                lists = [shingle_hashes(t, words) for t in texts]
+                keys = iter(band_keys(some)) if (some := [x for x in lists if x]) else None
+                bands = [next(keys).tobytes() if x else b"" for x in lists]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same), pa.array(bands)], ["doc_id", "same", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stored(rows.mapInArrow(marked, "doc_id long, same binary, fp binary"), "marked")
-    classes = told.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"))
+    told = stored(rows.mapInArrow(marked, "doc_id long, same binary, bands binary"), "marked")
+    classes = told.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
     classes = stored(classes, "classes")
-    sample = [r.fp for r in classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
-    parts = plan(np.frombuffer(b"".join(sample), np.uint64).reshape(-1, LONG), classes.count(), MEET, MEET_PARTS) if sample else []
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                bits = _bits(_rows(part.column("fp"))).astype(np.int64)
-                for number, p in enumerate(parts):
-                    weight = np.int64(1) << np.arange(len(p.bits))
-                    own = bits[:, list(p.bits)] @ weight
-                    for flip in [np.int64(0), *weight] if p.threshold else [np.int64(0)]:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array((own ^ flip) | np.int64(number) << np.int64(48)), part.column("node"), part.column("fp")], ["bucket", "node", "fp"]
-                        )
-
-    buckets = classes.select("node", "fp").mapInArrow(keyed, "bucket long, node long, fp binary")
-    met = buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _by_group(_met, ("bucket", "node", "fp"), _PAIRS), "a long, b long"
-    )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                bands = part.column("bands").to_pylist()
+                node = np.repeat(np.asarray(part.column("node")), [len(x) // 8 for x in bands])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bands), np.int64)), pa.array(node)], ["bucket", "node"])
+
+    # Each text of a bucket is linked to the smallest one: sums and a join, no bucket is gathered.
+    buckets = classes.select("node", "bands").mapInArrow(keyed, "bucket long, node long")
+    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
+    met = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     families = stored(components(met), "families")
     sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-    members = families.join(sizes, "component").join(classes.select("node", "fp"), "node")
+    members = families.join(sizes, "component")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)).tobytes() for t in texts_of(part)]
+                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts_of(part)]
+                fp = [x.tobytes() for x in _long(sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("component", "node", "members", "fp")), pa.array(sets)], ["component", "node", "members", "fp", "sets"]
+                    [*(part.column(c) for c in ("component", "node", "members")), pa.array(fp), pa.array([x.tobytes() for x in sets])],
+                    ["component", "node", "members", "fp", "sets"],
                 )
 
     # One text of each class that has a near one; repeated ids of one text are reduced to one by the aggregate.
-    texts = rows.join(members, rows["doc_id"] == members["node"]).select("component", "node", "members", "fp", "text")
+    texts = rows.join(members, rows["doc_id"] == members["node"]).select("component", "node", "members", "text")
     sets = texts.mapInArrow(shingled, "component long, node long, members long, fp binary, sets binary")
     parts_of = F.ceil(F.col("members") / family).cast("int")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts_of - 1)))

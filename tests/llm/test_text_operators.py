@@ -301,3 +301,36 @@ def test_long_fingerprints_tell_near_from_far():
         near.append(int(np.bitwise_count(fa ^ fb).sum()))
         far.append(int(np.bitwise_count(fa ^ fc).sum()))
     assert max(near) <= simhash.APART < min(far)
+
+
+def passages(dice, kind, k):
+    """A text and a near copy with a passage more or less, at 0.80 to 0.87 of common five-word shingles."""
+    a = prose(dice, "xyz"[k % 3], dice.randint(150, 500)).split()
+    more = prose(dice, "xyz"[(k + 1) % 3], int(len(a) * dice.uniform(0.16, 0.23))).split()
+    return " ".join(a), " ".join({"appended": a + more, "prepended": more + a, "removed": a[:100] + a[100 + len(more) * 4 // 5:]}[kind])
+
+
+@pytest.mark.parametrize("kind", ["appended", "prepended", "removed"])
+def test_near_copies_with_a_passage_more_or_less(spark, kind):
+    dice, texts = random.Random(31), {}
+    for k in range(40):
+        texts[2 * k], texts[2 * k + 1] = passages(dice, kind, k)
+    comp = brute_copies(texts)
+    assert sum(comp[2 * k + 1] == 2 * k for k in range(40)) > 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == comp
+
+
+def test_bands_and_fingerprints_at_the_threshold():
+    dice = np.random.default_rng(6)
+    for n in (9, 90, 900):
+        shared, bits = [], []
+        for _ in range(60):
+            h = dice.integers(0, 2**63, n + n // 9, np.uint64) * np.uint64(2)
+            a, b = h[:n], h[n // 9:]  # 8 of 10 hashes in common
+            x, y = simhash.band_keys([a, b])
+            shared.append(int((x == y).sum()))
+            fx, fy = simhash._long([a, b])
+            bits.append(int(np.bitwise_count(fx ^ fy).sum()))
+        assert min(shared) > 0 and np.mean(shared) == pytest.approx(simhash.BANDS * 0.8**simhash.DEEP, rel=0.15)
+        assert max(bits) <= simhash.APART - 20
