@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +27,8 @@ HEAD, NEURAL, CLASS = 131_072, 4096, 64
 #: Classes of the other words by ending; the last takes all endings without one.
 ENDINGS = 64
 EMBED, HIDDEN = 16, 24
-#: Steps of backpropagation, texts side by side, and how the training text is used: one stretch in ``EVERY``.
-WINDOW, LANES, STRETCH, EVERY, ROUNDS = 24, 128, 96, 4, 3
+#: Steps of backpropagation, texts side by side, tokens that lanes are filled to before they are learnt, and rounds.
+WINDOW, LANES, FILLED, ROUNDS = 24, 128, 288, 3
 
 
 def words_of(text: str) -> list[bytes]:
@@ -154,16 +154,43 @@ def _by_class(group: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, np.n
         yield k, at[a:b]
 
 
-def train_windows(net: Network, v: Vocabulary, lanes: list[list[int]], memory: dict, rate: float) -> None:
-    """Truncated backpropagation over the lanes, whose state is carried from window to window.
+def in_lanes(texts: Iterable[list[int]]) -> Iterator[tuple[list[int], list[list[int]]]]:
+    """All texts side by side: again and again the numbers of the lanes that go on and their next ``FILLED`` tokens.
 
-    A lane is numbers in a row; every text in it begins with -1. ``memory`` holds Adam's moments.
+    Each text stands whole in one lane, which begins again with the token where it was cut.
+    """
+    lanes: list[list[int]] = [[] for _ in range(LANES)]
+
+    def taken() -> tuple[list[int], list[list[int]]]:
+        live = [k for k, x in enumerate(lanes) if len(x) > 1]
+        some = [lanes[k][:FILLED + 1] for k in live]
+        for k in live:
+            lanes[k] = lanes[k][FILLED:] if len(lanes[k]) > FILLED + 1 else []
+        return live, some
+
+    for text in texts:
+        lane = min(lanes, key=len)
+        while len(lane) > FILLED:
+            yield taken()
+            lane = min(lanes, key=len)
+        lane += text
+    while any(len(x) > 1 for x in lanes):
+        yield taken()
+
+
+def train_windows(
+    net: Network, v: Vocabulary, lanes: list[list[int]], memory: dict, rate: float, h: np.ndarray | None = None
+) -> np.ndarray:
+    """Truncated backpropagation over the lanes, whose state is carried from window to window; gives the last states.
+
+    A lane is numbers in a row; every text in it begins with -1. ``memory`` holds Adam's moments, ``h`` the states
+    that the lanes go on from.
     """
     longest = max(map(len, lanes))
     table = np.full((longest, len(lanes)), -2)
     for k, lane in enumerate(lanes):
         table[:len(lane), k] = lane
-    h = np.zeros((len(lanes), HIDDEN), np.float32)
+    h = np.zeros((len(lanes), HIDDEN), np.float32) if h is None else h
     for start in range(0, longest - 1, WINDOW):
         x, y = table[start:min(start + WINDOW, longest - 1)], table[start + 1:start + 1 + WINDOW]
         begins, learns = x == -1, y >= 0
@@ -230,6 +257,7 @@ def train_windows(net: Network, v: Vocabulary, lanes: list[list[int]], memory: d
             np.divide(m, x, out=x)
             x *= rate * fix
             getattr(net, name)[...] -= x
+    return h
 
 
 def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int = 512) -> np.ndarray:
@@ -341,9 +369,8 @@ def vocabulary_of(counts: DataFrame, texts: int) -> Vocabulary:
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: float = 0.01) -> Network:
     """A network from all rows of ``docs``.
 
-    Each text belongs to one round. Of its stretches of 96 tokens every fourth is
-    trained on, the first of them chosen by the text's hash; so all texts take part in proportion to their
-    length. Every task trains a copy; copies are averaged by the tokens they saw, piece by piece on the executors. One network reaches the driver.
+    Each text belongs to one round and is trained on from its first to its last token. Where only few lanes are left
+    at the end of a task, its steps are shorter by that share. Every task trains a copy; copies are averaged by the tokens they saw, piece by piece on the executors. One network reaches the driver.
     """
     spark = docs.sparkSession
     net = fresh(vocabulary)
@@ -355,27 +382,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v, own = known.value, here.value.filled(here.value.flat())
-            lanes: list[list[int]] = [[] for _ in range(LANES)]
-            memory: dict = {}
-            seen = held = 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 200):
-                    part = batch.slice(at, 200)
-                    for text, salt in zip(texts_of(part), part.column("hash").to_pylist()):
-                        numbers = [-1, *v.numbers(words_of(text))]
-                        for j in range(0, len(numbers) - 1, STRETCH):
-                            if (j // STRETCH + salt // 7) % EVERY == 0:
-                                some = numbers[j:j + STRETCH + 1]
-                                lane = min(lanes, key=len) if held < 4 * LANES else lanes[held % LANES]
-                                lane += some if j == 0 else [-1, *some[1:]]
-                                held += 1
-                    if sum(map(len, lanes)) > LANES * WINDOW * 12:
-                        seen += sum(map(len, lanes))
-                        train_windows(own, v, lanes, memory, rate)
-                        lanes, held = [[] for _ in range(LANES)], 0
-            if any(lanes):
-                seen += sum(map(len, lanes))
-                train_windows(own, v, [x for x in lanes if x], memory, rate)
+            state, memory = np.zeros((LANES, HIDDEN), np.float32), {}
+            seen = most = 0
+            texts = (
+                [-1, *v.numbers(words_of(text))]
+                for batch in batches for at in range(0, batch.num_rows, 200) for text in texts_of(batch.slice(at, 200))
+            )
+            for live, some in in_lanes(texts):
+                seen += sum(map(len, some))
+                most = max(most, len(live))
+                state[live] = train_windows(own, v, some, memory, rate * len(live) / most, state[live])
             if seen:
                 flat = own.flat() * seen
                 for k in range(0, size, piece):

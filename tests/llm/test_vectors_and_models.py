@@ -225,6 +225,29 @@ def test_state_reaches_over_windows_and_lanes():
     assert np.allclose(gru_lm.score_texts(net, v, texts, lanes=2), alone, rtol=1e-4)
 
 
+def test_every_token_is_learnt_once_in_its_text(monkeypatch):
+    monkeypatch.setattr(gru_lm, "LANES", 4)
+    dice, number = random.Random(5), iter(range(1, 10**6))
+    texts = [[-1, *(next(number) for _ in range(n))] for n in [0, 1, 95, 96, 287, 288, 289, 5000, *(dice.randint(0, 400) for _ in range(60))]]
+    found, last = [], {}
+    for live, some in gru_lm.in_lanes(texts):
+        for k, lane in zip(live, some):
+            assert lane[0] in (-1, last.get(k))
+            found += [pair for pair in zip(lane, lane[1:]) if pair[1] != -1]
+            last[k] = lane[-1]
+    assert sorted(found) == sorted(pair for t in texts for pair in zip(t, t[1:]))
+
+
+def test_state_goes_on_where_a_text_is_cut():
+    v = small_vocabulary()
+    net = gru_lm.fresh(v)
+    dice = random.Random(4)
+    lanes = [[-1, *(dice.randrange(len(v.group)) for _ in range(99))] for _ in range(3)]
+    whole = gru_lm.train_windows(net, v, lanes, {}, 0.0)
+    half = gru_lm.train_windows(net, v, [x[:49] for x in lanes], {}, 0.0)
+    assert np.allclose(gru_lm.train_windows(net, v, [x[48:] for x in lanes], {}, 0.0, half), whole, atol=1e-6)
+
+
 def test_likelihoods(spark):
     dice = random.Random(7)
     lang = {"x": [f"ka{k}" for k in range(30)], "y": [f"blu{k}" for k in range(30)]}
