@@ -25,6 +25,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_TALK = re.compile("comment|disqus|repl(?:y|ies)|respond", re.I)
 _MARKS = re.compile(r"[.,;:!?…。、，！？؟]")
 #: Elements of HTML by what they do to the text around and inside them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,35 +54,66 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BIGGEST = frozenset("html body main article".split())
 
 
-def _aside(tag: str, attributes: str, in_article: bool) -> bool:
+def _aside(tag: str, attributes: str, in_article: bool) -> str:
+    """What tells that an element is not the article: "kind" for certain, "name" if it is only called so, else nothing."""
     if tag in NOT_TEXT or tag == "header" and not in_article:
-        return True
+        return "kind"
     if not attributes or tag in BIGGEST:
-        return False
+        return ""
+    found = ""
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "kind"
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return "kind"
         elif name in ("class", "id", "role"):
             words = {w.lower() for w in _WORDS.findall(value)}
             if words & ASIDE_WORDS and not (tag in HEADINGS or words & {"body", "content"} and words & {"article", "post", "main"}):
-                return True
-    return False
+                found = "name"
+    return found
 
 
 class Page:
     """Blocks of text in page order with their paths, elements and link share."""
 
     def __init__(self, source: str, by_name: bool = True):
-        self.parent, self.tag = [-1], ["#"]
+        self.parent, self.tag, self.named = [-1], ["#"], [False]
+        self.talk = [False]
         self.text: list[str] = []
         self.path: list[str] = []
         self.element: list[int] = []
         self.linked: list[float] = []
         self._read(source, by_name)
+        if any(self.named):
+            self._leave_out_named()
+
+    def _leave_out_named(self) -> None:
+        """Blocks inside elements that are called what is not the article go.
+
+        An element stays in spite of its name if it holds a main element or the article element of most text or, on pages without
+        these, 0.7 of the text; such is the wrapper of a layout with a sidebar.
+        """
+        size = np.zeros(len(self.tag))
+        for text, element, linked in zip(self.text, self.element, self.linked):
+            size[element] += len(text) * (1 - linked)
+        articles = [0.0] * len(self.tag)
+        mains = [tag == "main" for tag in self.tag]
+        for at in range(len(self.tag) - 1, 0, -1):  # parents come before their children
+            if self.tag[at] == "article":
+                articles[at] = max(articles[at], size[at])
+            above = self.parent[at]
+            size[above] += size[at]
+            articles[above] = max(articles[above], articles[at])
+            mains[above] |= mains[at]
+        plain = not mains[0] and not articles[0]
+        out = [False] * len(self.tag)
+        for at in range(1, len(self.tag)):
+            wrapper = mains[at] or 0 < articles[at] == articles[0] or plain and size[at] >= 0.7 * size[0] > 0 and not self.talk[at]
+            out[at] = out[self.parent[at]] or self.named[at] and not wrapper
+        keep = [k for k, element in enumerate(self.element) if not out[element]]
+        self.text, self.path, self.element, self.linked = ([x[k] for k in keep] for x in (self.text, self.path, self.element, self.linked))
 
     def _read(self, source: str, by_name: bool) -> None:
         # Of each open element: tag, number, path, whether it is left out, whether it is in an article or a link.
@@ -159,15 +191,18 @@ class Page:
                 elif stack[k][0] in HOLDS[tag]:
                     break
             above = stack[-1]
+            in_article = above[4] or tag in ("article", "main")
+            aside = _aside(tag, attributes, in_article) if by_name else "kind" if tag in NOT_TEXT else ""
             if tag not in INLINE:
                 close_block()
                 self.parent.append(above[1])
                 self.tag.append(tag)
+                self.named.append(aside == "name")
+                self.talk.append(aside == "name" and bool(_TALK.search(attributes)))
                 number = len(self.tag) - 1
             else:
                 number = above[1]
-            in_article = above[4] or tag in ("article", "main")
-            out = above[3] or (_aside(tag, attributes, in_article) if by_name else tag in NOT_TEXT)
+            out = above[3] or aside == "kind" or aside == "name" and tag in INLINE
             if len(stack) < 300:  # deeper elements count as their ancestor
                 path = above[2] if tag in INLINE else f"{above[2]}/{tag}"
                 stack.append((tag, number, path, out, in_article, above[5] or tag == "a"))
@@ -189,6 +224,14 @@ def fused_ratios(page: Page) -> np.ndarray:
     return text * (1 + smooth([marks[p] / blocks[p] for p in page.path]))
 
 
+def _between(page: Page, k: int) -> bool:
+    """Whether a block stands between two siblings of plain text."""
+    if not 0 < k < len(page.text) - 1:
+        return False
+    above = page.parent[page.element[k]]
+    return all(page.parent[page.element[i]] == above and page.linked[i] <= 0.5 for i in (k - 1, k + 1))
+
+
 def main_text(source: str, strictness: float = 0.5) -> str:
     """The blocks of the article, one a line; empty where there is none."""
     page = Page(source)
@@ -223,8 +266,12 @@ def main_text(source: str, strictness: float = 0.5) -> str:
         if at != best:
             continue
         element = page.element[k]
-        fits = whole is not None or page.tag[element] in HEADINGS or page.parent[element] in siblings
-        if passes[k] and page.linked[k] <= 0.8 or fits and page.linked[k] <= 0.5:
+        # Links are part of an article: menus in it are told by their element or name, which has left them out by now.
+        if whole is not None or page.tag[element] in HEADINGS:
+            out.append(text)
+        elif page.parent[element] in siblings and (page.linked[k] <= 0.5 or _between(page, k)):
+            out.append(text)
+        elif passes[k] and page.linked[k] <= 0.8:
             out.append(text)
     return "\n".join(out)
 

@@ -45,6 +45,34 @@ def test_odd_pages(source, text):
     assert path_ratios.main_text(source) == text
 
 
+PROSE = "<p>A long paragraph of the article, with words, marks and more words.</p><p>Another one follows it, as long as the first one was, or so.</p>"
+
+
+@pytest.mark.parametrize("inside", ["<h2><a href=x>Title</a></h2>", "<p><a href=x>One link only</a></p>", "<ol><li><a href=x>First source</a><li><a href=y>Second source</a></ol>"])
+def test_linked_blocks_of_the_article_stay(inside):
+    lines = path_ratios.main_text(f"<body><nav><a href=/>Home</a></nav><article>{PROSE}{inside}{PROSE}</article></body>").split("\n")
+    assert len(lines) == 4 + inside.count("<a ") and "Home" not in lines
+
+
+def test_linked_heading_and_paragraph_without_article():
+    lines = path_ratios.main_text(f"<body><div class=c><h2><a href=x>Title</a></h2>{PROSE}<p><a href=y>One link only</a></p>{PROSE}</div></body>").split("\n")
+    assert lines[0] == "Title" and "One link only" in lines and len(lines) == 6
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "has-sidebar", "page-header-layout"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrapper_with_the_name_of_an_aside_holds_the_article(name, tag):
+    aside = "<div class=sidebar><p>Some other words, short.</p></div>"
+    page = f"<body><p>Top.</p><div class='{name}'><{tag}>{PROSE}{PROSE}</{tag}>{aside}</div><p>End.</p></body>"
+    lines = path_ratios.main_text(page).split("\n")
+    assert sum("paragraph of the article" in x for x in lines) == 2 and not any("other words" in x for x in lines)
+
+
+def test_long_comments_do_not_become_the_article():
+    page = f"<body><div id=content>{PROSE}</div><div id=comments>{'<p>I like it, yes, I do like it a lot, really.</p>' * 30}</div></body>"
+    assert "like it" not in path_ratios.main_text(page) and "long paragraph" in path_ratios.main_text(page)
+
+
 def test_long_and_hostile_pages_end():
     assert path_ratios.main_text("<div>" * 50_000 + "x") == "x"
     assert path_ratios.main_text("<a b='" * 20_000) != "x"
