@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm import chat_windows, ecoc, grouping_pack, gru_lm, hnsw, lattice, ordinal, path_ratios, piece_table, simhash
+from stratalens.llm import (
+    chat_windows, ecoc, fill_middle, grouping_pack, gru_lm, hnsw, lattice, merkle, ordinal, path_ratios, piece_table, simhash,
+)
 from stratalens.llm.common import table
 
 
@@ -71,6 +73,22 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    shown = F.when(_remainder(3) == 0, small).otherwise(F.col("text"))
+    claimed = merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), shown)
+    return merkle.manifest(docs, claimed=claimed)
+
+
+def op13_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256)
+    return moved.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_path_ratios": op1_path_ratios,
     "op2_chat_windows": op2_chat_windows,
@@ -82,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_output_codes": op9_output_codes,
     "op10_piece_table": op10_piece_table,
+    "op12_bitmap_manifest": op12_bitmap_manifest,
+    "op13_block_rotation": op13_block_rotation,
 }
 #: Where plain SQL can say the same; the other queries are held against brute force in the tests.
 ORACLE: dict[str, str] = {
@@ -118,4 +138,43 @@ r(id, c) AS (SELECT a, b FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.i
 m AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
 FROM embeddings LEFT JOIN m ON vec_id = id LEFT JOIN n ON vec_id = a""",
+    "op12_bitmap_manifest": """
+WITH RECURSIVE d AS (SELECT doc_id, lang, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+  || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+  || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head, text,
+  xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')],
+ lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT FOR i IN range(8)], lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) % 3 = 0 AS tampered FROM documents),
+l AS MATERIALIZED (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+  sha256(head || coalesce(octet_length(encode(text)) || ':' || CASE WHEN tampered THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS claimed,
+  row_number() OVER w - 1 AS i FROM d WINDOW w AS (PARTITION BY lang ORDER BY doc_id, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')))),
+n(lv, lang, i, h, many) AS (SELECT 0, lang, i, leaf, count(*) OVER (PARTITION BY lang) FROM l
+ UNION ALL SELECT lv + 1, lang, i // 8, sha256(string_agg(h, '' ORDER BY i)), (many + 7) // 8 FROM n WHERE many > 1 GROUP BY lv, lang, i // 8, many),
+s AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM n WHERE many = 1),
+t(lv, i, h, many) AS (SELECT 0, i, h, count(*) OVER () FROM s
+ UNION ALL SELECT lv + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (many + 7) // 8 FROM t WHERE many > 1 GROUP BY lv, i // 8, many),
+-- every node but the last of its tree: its siblings before and after it
+a AS MATERIALIZED (SELECT lv, lang, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e
+ FROM n WHERE many > 1 WINDOW w AS (PARTITION BY lv, lang, i // 8 ORDER BY i)),
+z AS MATERIALIZED (SELECT lv, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS e
+ FROM t WHERE many > 1 WINDOW w AS (PARTITION BY lv, i // 8 ORDER BY i)),
+p(doc_id, lang, leaf, claimed, i, lv, own, proof, j) AS (SELECT doc_id, lang, leaf, claimed, i, 0, claimed, '', i FROM l
+ UNION ALL SELECT p.doc_id, p.lang, leaf, claimed, p.i, p.lv + 1, sha256(b || own || e), proof || b || e, j // 8
+ FROM p JOIN a ON p.lv = a.lv AND p.j = a.i AND p.lang IS NOT DISTINCT FROM a.lang),
+q(doc_id, lang, leaf, claimed, i, lv, own, proof, j, subroot) AS (
+ SELECT doc_id, p.lang, leaf, claimed, p.i, 0, own, proof, s.i, s.h FROM (SELECT *, max(lv) OVER (PARTITION BY lang) AS top FROM p) p
+  JOIN s ON p.lang IS NOT DISTINCT FROM s.lang WHERE lv = top
+ UNION ALL SELECT doc_id, lang, leaf, claimed, q.i, q.lv + 1, sha256(b || own || e), proof || b || e, j // 8, subroot FROM q JOIN z ON q.lv = z.lv AND q.j = z.i)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified
+FROM (SELECT *, max(lv) OVER () AS top FROM q) JOIN (SELECT h AS root FROM t WHERE many = 1) ON lv = top""",
+    "op13_block_rotation": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+ ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, '<P>' || substr(t, 1, a) AS p, '<M>' || substr(t, a + 1, b - a) AS m, '<S>' || substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
