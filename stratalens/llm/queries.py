@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import (
-    chat_windows, ecoc, fill_middle, grouping_pack, gru_lm, hnsw, lattice, merkle, ordinal, path_ratios, piece_table, simhash,
+    chat_windows, ecoc, fill_middle, grouping_pack, gru_lm, hnsw, lattice, merkle, ordinal, path_ratios, piece_table,
+    prefix_counts, simhash,
 )
 from stratalens.llm.common import table
 
@@ -73,6 +74,10 @@ def op10_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 def op12_bitmap_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_output_codes": op9_output_codes,
     "op10_piece_table": op10_piece_table,
+    "op11_prefix_counts": op11_prefix_counts,
     "op12_bitmap_manifest": op12_bitmap_manifest,
     "op13_block_rotation": op13_block_rotation,
 }
