@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, MapType
 
 from stratalens.llm.common import texts_of
 
@@ -394,7 +395,8 @@ def answered(prefixes: DataFrame, budgets: list[int] = (), places: list[int] = (
     a number of code points to the tokens of that prefix. A text shorter than that counts whole, a null table entry as empty.
     """
     kept = [c for c in prefixes.columns if c not in ("changes", "chars_within", "tokens_at")]
-    schema = prefixes.select(*kept).schema.add("chars_within", "map<int,long>").add("tokens_at", "map<int,long>")
+    counts = MapType(IntegerType(), LongType())
+    schema = prefixes.select(*kept).schema.add("chars_within", counts).add("tokens_at", counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.int32(), pa.int64())
