@@ -288,6 +288,9 @@ ORACLE["inc_age_gender_risk"] = with_(inc("pt", {**C, **G, **A, **R}), *MID)
 ORACLE["inc_adults_gender"] = with_(inc("pt", {**C, **G}, ADULT, **A1636), *MID)
 
 SWEEP = (REPORT, STD, SW)
+# Four runs in two groups of places: every run has each stratum in all scenarios and years.
+PAIRED = (REPORT, STD, """paired AS (SELECT * REPLACE (run_num % 4 AS run_num, node_id % 2 + 1 AS node_id,
+ 'Group_' || (node_id % 2 + 1) AS county) FROM std)""", SW.replace("FROM std GROUP", "FROM paired GROUP"))
 SRUN = "scenario, prep_coverage, run_num"
 A105 = {"age_lower": "0", "age_upper": "105"}
 ALLSEX = {**A105, "gender": "'All'"}
@@ -373,21 +376,21 @@ _RR = "CASE WHEN value_base = 0 AND value > 0 THEN 'inf'::DOUBLE ELSE value / NU
 _SAVED = "-(value - value_base)"
 _RDIMS = "gender, age_lower, age_upper, county, measure"
 ORACLE["relative_risk"] = with_(
-    contrast(f"SELECT * FROM ({SW_OUT['inc_echo']}) WHERE year >= 1996", "run_num, year", _RR, "year, " + _RDIMS), *SWEEP)
+    contrast(f"SELECT * FROM ({SW_OUT['inc_echo']}) WHERE year >= 1996", "run_num, year", _RR, "year, " + _RDIMS), *PAIRED)
 ORACLE["relative_risk_period"] = with_(
-    contrast(SW_OUT["inc_echo_1997_2000"], "run_num", _RR, "period, " + _RDIMS), *SWEEP)
+    contrast(SW_OUT["inc_echo_1997_2000"], "run_num", _RR, "period, " + _RDIMS), *PAIRED)
 ORACLE["averted_by_year"] = with_(
     union([
         f"SELECT *, '{o}' AS output FROM ({contrast(SW_OUT[o], 'run_num, year', _SAVED, 'year')}) WHERE year >= 1996"
         for o in ("new_inf", "new_inf_echo")
-    ]), *SWEEP)
+    ]), *PAIRED)
 ORACLE["averted_total"] = with_(
     union([
         "SELECT *, '{}' AS output FROM ({})".format(
             o, contrast(f"SELECT run_num, prep_coverage, SUM(value) AS value FROM ({SW_OUT[o]}) WHERE year BETWEEN 1997 AND 2000 GROUP BY ALL",
                         "run_num", _SAVED, ""))
         for o in ("new_inf", "new_inf_echo")
-    ]), *SWEEP)
+    ]), *PAIRED)
 ORACLE["coverage_check"] = with_(
     f"SELECT *, 100 * median AS percent FROM ({summary(SW_OUT['prep_echo'], SW_KEYS)}) WHERE year = 1998",
     *SWEEP)

@@ -361,10 +361,10 @@ def _sweep_specs():
     return catalog.sweep_measures(period=(1997, 2000))
 
 
-def _sweep(spark, sf, *outputs):
+def _sweep(spark, sf, *outputs, rows=None):
     """Sweep outputs by run; the stratum of the sweep has no risk group."""
     df = one_row_per_time(
-        views.standard(spark, sf), ("node_id", "county", "gender", "hiv", "age_lower", "age_upper"), COUNTS,
+        views.standard(spark, sf) if rows is None else rows, ("node_id", "county", "gender", "hiv", "age_lower", "age_upper"), COUNTS,
         SWEEP_KEYS,
     )
     specs = [s for s in _sweep_specs() if s.output in outputs]
@@ -373,6 +373,11 @@ def _sweep(spark, sf, *outputs):
     )
 
 
+def _paired(spark, sf, *outputs):
+    """Sweep outputs whose every run has people of each stratum in all scenarios and years, as contrasts need."""
+    return _sweep(spark, sf, *outputs, rows=views.paired(spark, sf))
+
+
 def _sweep_query(name: str, *outputs: str) -> None:
     @query(name)
     def run(spark, sf):
@@ -490,26 +495,26 @@ def target_year(spark, sf):
 
 @query("relative_risk")
 def relative_risk(spark, sf):
-    rows = _sweep(spark, sf, "inc_echo").where("year >= 1996")
+    rows = _paired(spark, sf, "inc_echo").where("year >= 1996")
     return bands(contrast.relative_risk(rows, runs_bound=RUNS))
 
 
 @query("relative_risk_period")
 def relative_risk_period(spark, sf):
-    rows = _sweep(spark, sf, "inc_echo_1997_2000")
+    rows = _paired(spark, sf, "inc_echo_1997_2000")
     return bands(contrast.relative_risk(rows, ("period", *contrast.DIMS), (), runs_bound=RUNS))
 
 
 @query("averted_by_year")
 def averted_by_year(spark, sf):
-    rows = _sweep(spark, sf, "new_inf", "new_inf_echo")
+    rows = _paired(spark, sf, "new_inf", "new_inf_echo")
     found = contrast.averted_by_year(rows, ("output",), runs_bound=RUNS)
     return bands(found.where("year >= 1996"))
 
 
 @query("averted_total")
 def averted_total(spark, sf):
-    rows = _sweep(spark, sf, "new_inf", "new_inf_echo")
+    rows = _paired(spark, sf, "new_inf", "new_inf_echo")
     return bands(contrast.averted_total(rows, 1997, 2000, ("output",), runs_bound=RUNS))
 
 
