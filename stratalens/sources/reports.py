@@ -99,12 +99,13 @@ def scan_reports(
     return tag_runs(raw, scenario_depth, name_depth)
 
 
-def tag_runs(raw: DataFrame, scenario_depth: int = 2, name_depth: int = 1) -> DataFrame:
-    """Canonical columns of a file-backed frame plus the run keys from its paths."""
+def tag_runs(raw: DataFrame, scenario_depth: int = 2, name_depth: int = 1, with_file: bool = False) -> DataFrame:
+    """Canonical columns of a file-backed frame plus the run keys from its paths, on demand also the path as ``file``."""
     path = F.col("_metadata.file_path")
     name = name_in(path, name_depth)
     tagged = raw.select(
         "*",
+        *([path.alias("file")] if with_file else []),
         name_in(path, scenario_depth).alias("scenario"),
         run_number(name).alias("run_num"),
         replicate_of(name).alias("replicate"),

@@ -198,6 +198,16 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'ReportHIVByAgeAndGender.cs
 ORACLE["incremental_ingest"] = with_(
     """SELECT 'PrEP-' || prep_coverage AS scenario, node_id, year, COUNT(*) AS n_rows, SUM(population) AS population,
  SUM(infected) AS infected FROM report GROUP BY 1, 2, 3""", REPORT)
+ORACLE["scenario_completion"] = with_(
+    """SELECT 'PrEP-' || prep_coverage AS scenario, COUNT(*) AS n_expected, COUNT(*) FILTER (NOT missing) AS n_arrived,
+ COUNT(*) FILTER (NOT missing AND NOT late AND run_num % 3 = 0) AS n_replaced, 0 AS n_unexpected,
+ MIN(run_num) FILTER (missing) AS first_missing,
+ CASE WHEN bool_or(missing) THEN NULL WHEN bool_or(late) THEN 2 ELSE 1 END AS finished_in,
+ CASE WHEN NOT bool_or(missing) THEN SUM(CASE WHEN late OR run_num % 3 = 0 THEN 2 * population ELSE population END) END AS population,
+ CASE WHEN NOT bool_or(missing) THEN SUM(n) END AS n_rows
+FROM (SELECT prep_coverage, run_num, prep_coverage = 90 AND run_num = 5 AS missing,
+ prep_coverage >= 60 AND run_num % 4 = 1 AND NOT (prep_coverage = 90 AND run_num = 5) AS late, SUM(population) AS population, COUNT(*) AS n
+ FROM report GROUP BY 1, 2) GROUP BY 1""", REPORT)
 ORACLE["result_roundtrip"] = with_(
     f"SELECT scenario, run_num, year, gender, value FROM ({calibration(False)['prev_gender']})", REPORT, STD)
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratalens.functions import intervals, recode
 from stratalens.operators import (
@@ -16,6 +17,7 @@ from stratalens.operators.persontime import add_person_years, one_row_per_time
 from stratalens.operators.summary import first_year_reaching, summarise_runs
 from stratalens.plans import calibration, catalog
 from stratalens.sources import reports, results, schema, tables
+from stratalens.streaming import completion
 from stratalens.streaming.ingest import ingest_new_reports
 from workload import views
 from workload.views import COUNTS, INTERVAL, RUNS
@@ -135,6 +137,45 @@ def incremental_ingest(spark, sf):
     )
 
 
+def _delivery(spark: SparkSession, folder: str, number: int, rows: DataFrame) -> T.StructType:
+    """Run files of one delivery, one file for each scenario and run."""
+    native = rows.select(
+        F.concat(F.lit("PrEP-"), "prep_coverage").alias("s"),
+        F.format_string("ReportHIVByAgeAndGender_TPI%04d_REP0001", "run_num").alias("r"),
+        *[F.col(c).alias(n) for c, n in schema.NATIVE_HEADERS.items()],
+    )
+    native.repartition("s", "r").write.partitionBy("s", "r").option("header", True).csv(f"{folder}/delivery={number}")
+    return native.drop("s", "r").schema
+
+
+@query("scenario_completion")
+def scenario_completion(spark, sf):
+    """Three starts over two deliveries: scenario 60 waits for late runs, 90 lacks run 5, every third run comes again with doubled counts."""
+    rows = views.report(spark, sf)
+    folder, target, progress, ingested, taken = (
+        results.shared_folder(spark, n) for n in ("deliveries", "completion", "watch", "ingested", "progress")
+    )
+    level, run = F.col("prep_coverage"), F.col("run_num")
+    missing, late, again = (level == 90) & (run == 5), (level >= 60) & (run % 4 == 1), run % 3 == 0
+    expected = rows.select(
+        F.concat(F.lit("PrEP-"), "prep_coverage").alias("scenario"), "run_num", F.lit("1").alias("replicate")
+    ).distinct()
+    parts = [rows.where(~missing & ~late), rows.where(~missing & (late | again)).withColumn("population", F.col("population") * 2)]
+    for number in (1, 2, 3):
+        if number <= len(parts):
+            native = _delivery(spark, folder, number, parts[number - 1])
+        ingest_new_reports(spark, folder, ingested, taken, native, 3, None, 2, True).awaitTermination()
+        completion.watch_runs(spark, folder, expected, target, progress, 3, 2).awaitTermination()
+    noted = completion.arrivals(spark, target)
+    status = completion.scenario_status(expected, noted).drop("complete")
+    lacking = completion.missing_runs(expected, noted).groupBy("scenario").agg(F.min("run_num").alias("first_missing"))
+    done = completion.finished(spark, target).select("scenario", (F.col("batch") + 1).alias("finished_in"))
+    kept = completion.finished_rows(spark.read.parquet(ingested), spark, target).groupBy("scenario").agg(
+        F.sum("population").alias("population"), F.count("*").alias("n_rows")
+    )
+    return status.join(lacking, "scenario", "left").join(done, "scenario", "left").join(kept, "scenario", "left")
+
+
 @query("result_roundtrip")
 def result_roundtrip(spark, sf):
     by_run = calibration.measure_suite(views.standard(spark, sf), _calibration_specs(), COUNTS)
