@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,7 +59,8 @@ def blank_nan(df: DataFrame) -> DataFrame:
 
 def report_schema(spark: SparkSession, path: str) -> T.StructType:
     """Schema from the header line alone; the data are not scanned to infer types."""
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    header = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path).columns
     return T.StructType([report_field(c) for c in header])
 
 
@@ -99,6 +103,61 @@ def scan_reports(
     return tag_runs(raw, scenario_depth, name_depth)
 
 
+def file_headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, header)``: the first line of every report file, found in the tasks; files without a line are left out.
+
+    Lines are read once and not parsed; a task passes on one row for each of its files.
+    """
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    lines = reader.text(path).where(F.col("_metadata.file_block_start") == 0)
+    # Numbers rise within a task, and the beginning of a file is read by one task from its first line on.
+    numbered = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("_n"))
+    first = numbered.groupBy("file").agg(F.min_by("value", "_n").alias("header"))
+    return first.withColumn("header", F.regexp_replace("header", "^\\ufeff|\\r$", ""))
+
+
+def header_fields(header: str) -> T.StructType:
+    """Fields of one header line. Two names that mean the same column fail: which one counts is not known."""
+    names = next(csv.reader([header]))
+    canonical = [canonical_name(n) for n in names]
+    twice = sorted({c for c in canonical if canonical.count(c) > 1})
+    if twice:
+        raise ValueError(f"columns {twice} occur twice in the header {header!r}")
+    return T.StructType([report_field(n) for n in names])
+
+
+def scan_mixed_headers(
+    spark: SparkSession, path: str | list[str], scenario_depth: int = 2, required: bool = True, name_depth: int = 1,
+    with_file: bool = False,
+) -> DataFrame:
+    """Report files whose headers differ in order, spelling or columns: each is read by its own header, columns are bound by name.
+
+    Files of one header are one scan, whatever their number, and the scans are united; a column that a file lacks is
+    NULL there. Names of files reach the driver, as they do when Spark lists a directory. Without any file an optional
+    source gives an empty frame and a required one fails, as :func:`scan_reports` does.
+    """
+    try:
+        headers = file_headers(spark, path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return scan_reports(spark, path, None, scenario_depth, required, name_depth)
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    groups: dict[str, list[str]] = {}
+    for row in headers.select("header", plain.alias("file")).toLocalIterator():
+        groups.setdefault(row.header, []).append(row.file)
+    if not groups:
+        if required:
+            raise MissingSourceError(str(path))
+        return scan_reports(spark, f"{path}/none", None, scenario_depth, False, name_depth)
+    scans = []
+    for header in sorted(groups):
+        files = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in sorted(groups[header])]
+        raw = spark.read.schema(header_fields(header)).option("header", True).option("enforceSchema", False).csv(files)
+        scans.append(tag_runs(raw, scenario_depth, name_depth, with_file))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
 def tag_runs(raw: DataFrame, scenario_depth: int = 2, name_depth: int = 1, with_file: bool = False) -> DataFrame:
     """Canonical columns of a file-backed frame plus the run keys from its paths, on demand also the path as ``file``."""
     path = F.col("_metadata.file_path")

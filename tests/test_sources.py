@@ -129,3 +129,58 @@ def test_replicates_are_runs_of_their_own(spark, tmp_path):
 def test_nan_in_parameter_sets_is_missing(spark, tmp_path):
     (tmp_path / "p.csv").write_text("parameterization_id,a\n1,NaN\n2,0.5\n")
     assert {r.parameterization_id: r.a for r in tables.read_parameter_sets(spark, str(tmp_path / "p.csv")).collect()} == {1: None, 2: 0.5}
+
+
+# Files with headers of their own
+
+
+def _files(folder, texts):
+    for name, text in texts.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+
+
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    texts = {
+        "s one/Report_TPI0001_REP0001.csv": "Year,NodeId,Population,Newly Infected\n2000,1,5,1\n2001,2,6,2\n",
+        "s one/Report_TPI0002_REP0001.csv": "Newly.Infected,Population,Year,NodeId\n3,7,2000,1\n",
+        "t{x}[1]/Report_TPI0003_REP0001.csv": "\ufeff\"Year\",NodeId,Population,PrEP_Received\r\n2000,1,8,9\r\n",
+        "t{x}[1]/Report_TPI0004_REP0001.csv": "",
+        "t{x}[1]/Report_TPI0005_REP0001.csv": "Year,NodeId,Population,Newly Infected\n",
+        "t{x}[1]/notes.txt": "Other\n1\n",
+    }
+    _files(tmp_path, texts)
+    found = reports.scan_mixed_headers(spark, str(tmp_path), with_file=True)
+    rows = {(r.scenario, r.run_num, r.year): (r.population, r.newly_infected, r.prep_received) for r in found.collect()}
+    assert rows == {
+        ("s one", 1, 2000.0): (5.0, 1.0, None), ("s one", 1, 2001.0): (6.0, 2.0, None), ("s one", 2, 2000.0): (7.0, 3.0, None),
+        ("t{x}[1]", 3, 2000.0): (8.0, None, 9.0),
+    }
+    assert found.where("file IS NULL").count() == 0
+
+
+def test_as_many_scans_as_headers(spark, tmp_path):
+    heads = ["Year,Population", "Population,Year", "Year,Population,On_ART"]
+    _files(tmp_path, {f"s/Report_TPI{k:04d}_REP0001.csv": f"{heads[k % 3]}\n2000,2000{',1' * (k % 3 == 2)}\n" for k in range(300)})
+    found = reports.scan_mixed_headers(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 3
+    assert found.count() == 300 and found.agg({"population": "sum"}).first()[0] == 300 * 2000
+
+
+def test_mixed_headers_that_cannot_be_read(spark, tmp_path):
+    with pytest.raises(reports.MissingSourceError):
+        reports.scan_mixed_headers(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(reports.MissingSourceError):
+        reports.scan_mixed_headers(spark, str(tmp_path / "empty"))
+    for folder in ("none", "empty"):
+        assert reports.scan_mixed_headers(spark, str(tmp_path / folder), required=False).columns == ["scenario", "run_num", "replicate"]
+    _files(tmp_path, {"twice/Report_TPI0001.csv": "Year,On_ART,On.ART\n1,2,3\n"})
+    with pytest.raises(ValueError, match="on_art"):
+        reports.scan_mixed_headers(spark, str(tmp_path / "twice"))
+
+
+def test_header_of_scenario_directories_below(spark, tmp_path):
+    _files(tmp_path, {"s/Report_TPI0001_REP0001.csv": "Year,Population\n2000,3\n"})
+    assert reports.scan_reports(spark, str(tmp_path)).first().population == 3.0

@@ -184,6 +184,11 @@ ORACLE["scan_reports"] = with_(
     """SELECT 'PrEP-' || prep_coverage AS scenario, run_num, COUNT(*) AS n_rows, COUNT(DISTINCT node_id) AS n_nodes,
  SUM(population) AS population, SUM(newly_infected) AS newly_infected, SUM(has_prep) AS has_prep
 FROM report GROUP BY 1, 2""", REPORT)
+ORACLE["scan_mixed_headers"] = with_(
+    """SELECT 'PrEP-' || prep_coverage AS scenario, run_num, COUNT(*) AS n_rows, SUM(population) AS population, SUM(newly_infected) AS newly_infected,
+ SUM(CASE WHEN run_num % 3 < 2 THEN has_prep END) AS has_prep, SUM(CASE WHEN run_num % 3 = 2 THEN has_prep * 2 END) AS prep_received,
+ MIN(risk) AS risk, MAX(year) AS year
+FROM report GROUP BY 1, 2""", REPORT)
 _REPLICATES = """SELECT 'PrEP-' || prep_coverage AS scenario, run_num, circ % 2 + 1 AS replicate, year, SUM(population) AS value
 FROM report GROUP BY ALL"""
 ORACLE["run_replicates"] = with_(
@@ -743,6 +748,15 @@ ORACLE["config_override"] = with_(
  WHEN value > 0.5 THEN CAST(CAST(round(value, 6) AS DECIMAL(18,6)) AS VARCHAR) WHEN value > 0 THEN '["a","b"]'
  WHEN value < -0.5 THEN '"text"' END AS value FROM long
 UNION ALL SELECT parameterization_id, 'added', '[1,2]' FROM params WHERE parameterization_id % 7 = 0""", PARAMS, LONG)
+_SIX = "CAST(CAST(floor({} * 1e6) AS BIGINT) AS VARCHAR)"
+_BASE_MAX = ", ".join(f"(SELECT {_SIX.format(f'MAX(p{i})')} FROM params) AS b{i}" for i in range(4))
+ORACLE["config_documents"] = with_(
+    f"""SELECT parameterization_id, '{{"p3":' || b3 || ',"parameters":{{"Empty":{{' || CASE WHEN even THEN '"Added":"' || source || '"' ELSE '' END
+ || '}},"Name":' || CASE WHEN parameterization_id % 5 = 0 THEN '"fifth"' ELSE 'null' END || ',"Rates":{{"Deep":{{'
+ || CASE WHEN parameterization_id % 7 = 0 THEN '"Only":' || {_SIX.format('p1')}
+  ELSE '"Years":[1990,2000],"p2":' || CASE WHEN even THEN {_SIX.format('p2')} ELSE b2 END END
+ || '}},"p0":' || CASE WHEN parameterization_id % 5 <> 0 THEN {_SIX.format('p0')} ELSE b0 END || ',"p1":' || b1 || '}}}}}}' AS config
+FROM (SELECT *, parameterization_id % 2 = 0 AS even, {_BASE_MAX} FROM params)""", PARAMS)
 ORACLE["select_params"] = with_(
     f"""SELECT CAST(250 + row_number() OVER (ORDER BY parameterization_id) AS BIGINT) AS parameterization_id, {", ".join(P)}
 FROM params WHERE parameterization_id IN (SELECT run_num FROM ({_BEST.format(5)}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from stratalens.functions import intervals, recode
 from stratalens.operators import (
-    channels, contrast, events, fit, manifest, observed as survey, overlay, params as sets, sampling,
+    channels, config, contrast, events, fit, manifest, observed as survey, overlay, params as sets, sampling,
 )
 from stratalens.operators.measures import MeasureSpec, evaluate, evaluate_all
 from stratalens.operators.persontime import add_person_years, one_row_per_time
@@ -89,6 +91,31 @@ def scan_reports(spark, sf):
     )
 
 
+@query("scan_mixed_headers")
+def scan_mixed_headers(spark, sf):
+    """Runs of three layouts: as the model writes them, names mangled and turned round, and one column less and one more."""
+    rows = views.report(spark, sf)
+    folder = results.shared_folder(spark, "mixed")
+    names = schema.NATIVE_HEADERS
+    run = [
+        F.concat(F.lit("PrEP-"), "prep_coverage").alias("s"),
+        F.format_string("ReportHIVByAgeAndGender_TPI%04d_REP0001", "run_num").alias("r"),
+    ]
+    mangled = {c: re.sub("[^0-9A-Za-z_]", ".", n) for c, n in reversed(names.items())}
+    fewer = {c: n for c, n in names.items() if c != "has_prep"}
+    for number, layout in enumerate((names, mangled, fewer)):
+        columns = [F.col(c).alias(n) for c, n in layout.items()]
+        if number == 2:
+            columns.append((F.col("has_prep") * 2).alias("PrEP_Received"))
+        part = rows.where(F.col("run_num") % 3 == number).select(*run, *columns)
+        part.hint("rebalance", "s", "r").write.mode("append").partitionBy("s", "r").option("header", True).csv(folder)
+    found = reports.scan_mixed_headers(spark, folder, 3, name_depth=2)
+    return found.groupBy("scenario", "run_num").agg(
+        F.count("*").alias("n_rows"), F.sum("population").alias("population"), F.sum("newly_infected").alias("newly_infected"),
+        F.sum("has_prep").alias("has_prep"), F.sum("prep_received").alias("prep_received"), F.min("risk").alias("risk"), F.max("year").alias("year"),
+    )
+
+
 @query("run_replicates")
 def run_replicates(spark, sf):
     """Two files of one run number stay two runs, down to the summary over runs."""
@@ -956,6 +983,34 @@ def config_override(spark, sf):
     return sets.override_config(base, changed.unionByName(extra), long)
 
 
+@query("config_documents")
+def config_documents(spark, sf):
+    """A nested base document and each set's own: sample values, then a scenario's, over the base."""
+    p = views.params(spark, sf)
+    number = lambda c: F.floor(c * F.lit(1e6)).cast("long").cast("string")
+    most = p.agg(*[F.max(f"p{i}").alias(f"p{i}") for i in range(4)])
+    base = most.select(F.concat(
+        F.lit('{"parameters":{"Name":"base","Rates":{"p0":'), number(F.col("p0")), F.lit(',"p1":'), number(F.col("p1")),
+        F.lit(',"Deep":{"p2":'), number(F.col("p2")), F.lit(',"Years":[1990,2000]}},"Empty":{}},"p3":'), number(F.col("p3")), F.lit("}"),
+    ).alias("config"))
+    even, fifth, seventh = (F.col(sets.ID) % n == 0 for n in (2, 5, 7))
+
+    def override(when, layer, path, value):
+        where = F.array(*map(F.lit, path.split(".")))
+        return p.where(when).select(sets.ID, F.lit(layer).alias("layer"), where.alias("path"), value.alias("value"))
+
+    changed = [
+        override(~fifth, 0, "parameters.Rates.p0", number(F.col("p0"))),
+        override(even, 0, "parameters.Rates.Deep.p2", number(F.col("p2"))),
+        override(seventh, 1, "parameters.Rates.Deep", F.concat(F.lit('{"Only":'), number(F.col("p1")), F.lit("}"))),
+        override(even, 1, "parameters.Empty.Added", F.concat(F.lit('"'), F.col("source"), F.lit('"'))),
+        override(F.lit(True), 1, "parameters.Name", F.when(fifth, F.lit('"fifth"'))),
+    ]
+    overrides = functools.reduce(DataFrame.unionByName, changed)
+    leaves = config.override_paths(config.config_leaves(base), overrides, p, sets.ID)
+    return config.build_documents(leaves, [sets.ID])
+
+
 @query("select_params")
 def select_params(spark, sf):
     points, rows = _fit_inputs(spark, sf)
