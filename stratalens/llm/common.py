@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def slices_of(batch: pa.RecordBatch, name: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of text, so that memory follows the text and not the number of rows."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+    cuts = np.flatnonzero(np.diff(size)).tolist()
+    for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of every node of the undirected links ``(a, b)``: the smallest reachable node.
 

@@ -10,6 +10,8 @@ learn from their documents side by side and are averaged after each round.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -17,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import rows_of, stored, texts_of
+from stratalens.llm.common import rows_of, slices_of, stored, texts_of
 
 #: Words whose counts every task holds; the first ``NEURAL`` of them have weights of their own.
 HEAD, NEURAL, CLASS = 131_072, 4096, 64
@@ -32,8 +35,11 @@ WINDOW, LANES, FILLED, ROUNDS = 24, 128, 288, 3
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "replace").lower().split()
+    """Words between ASCII white space, A-Z in lower case. One over 64 bytes is named by its digest, a blank in front, and its ending."""
+    words = text.encode("utf-8", "replace").lower().split()
+    if max(map(len, words), default=0) > 64:
+        words = [w if len(w) <= 64 else b" " + hashlib.sha256(w).hexdigest().encode() + w[-2:] for w in words]
+    return words
 
 
 @dataclass
@@ -190,31 +196,39 @@ def train_windows(
     table = np.full((longest, len(lanes)), -2)
     for k, lane in enumerate(lanes):
         table[:len(lane), k] = lane
-    h = np.zeros((len(lanes), HIDDEN), np.float32) if h is None else h
+    h = np.zeros((len(lanes), HIDDEN), net.u.dtype) if h is None else h
     for start in range(0, longest - 1, WINDOW):
         x, y = table[start:min(start + WINDOW, longest - 1)], table[start + 1:start + 1 + WINDOW]
         begins, learns = x == -1, y >= 0
         if not learns.any():
             continue
+        steps, width, kind = len(x), len(lanes), net.u.dtype
+        keep = (~begins).astype(kind)[:, :, None]
         enter = v.enter[np.maximum(x, 0)]
         emb = net.e[enter]
         a = emb @ net.w + net.b
-        states, kept = [], []
-        for t in range(len(x)):
-            h = np.where(begins[t][:, None], 0, h)
-            z, r, n, g = _gates(a[t], h, net.u)
-            kept.append((h, z, r, n, g))
-            h = (1 - z) * n + z * h
-            states.append(h)
-        s = np.stack(states)[learns]
+        before, states, z, r, n, g = (np.empty((steps, width, HIDDEN), kind) for _ in range(6))
+        for t in range(steps):
+            np.multiply(h, keep[t], out=before[t])
+            z[t], r[t], n[t], g[t] = _gates(a[t], before[t], net.u)
+            np.subtract(before[t], n[t], out=states[t])
+            states[t] *= z[t]
+            states[t] += n[t]
+            h = states[t]
+        s = states[learns]
         number = y[learns]
         group, inside = v.group[number], v.inside[number]
         scale = 1 / len(number)
-        p = _softmax(s @ net.group_w + net.group_b)
-        p[np.arange(len(number)), group] -= 1
-        p *= scale
-        d = p @ net.group_w.T
-        grad = {"group_w": s.T @ p, "group_b": p.sum(0), "word_w": np.zeros_like(net.word_w), "word_b": np.zeros_like(net.word_b)}
+        grad = {k: np.zeros_like(getattr(net, k)) for k in ("group_w", "group_b", "word_w", "word_b", "e")}
+        d = np.empty_like(s)
+        for k in range(0, len(s), 1024):  # parts that stay in the cache
+            part = s[k:k + 1024]
+            p = _softmax(part @ net.group_w + net.group_b)
+            p[np.arange(len(p)), group[k:k + 1024]] -= 1
+            p *= scale
+            np.matmul(p, net.group_w.T, out=d[k:k + 1024])
+            grad["group_w"] += part.T @ p
+            grad["group_b"] += p.sum(0)
         for k, at in _by_class(group, inside):
             own = s[at]
             q = _softmax(own @ net.word_w[k] + net.word_b[k])
@@ -222,24 +236,26 @@ def train_windows(
             q *= scale
             d[at] += q @ net.word_w[k].T
             grad["word_w"][k], grad["word_b"][k] = own.T @ q, q.sum(0)
-        d_states = np.zeros((*x.shape, HIDDEN), np.float32)
+        d_states = np.zeros_like(states)
         d_states[learns] = d
-        d_a, d_u, back = np.zeros_like(a), np.zeros_like(net.u), np.zeros_like(h)
-        for t in range(len(x) - 1, -1, -1):
-            before, z, r, n, g = kept[t]
-            back = back + d_states[t]
-            d_n = back * (1 - z) * (1 - n * n)
-            d_z = back * (before - n) * z * (1 - z)
-            d_r = d_n * g * r * (1 - r)
-            d_g = np.concatenate([d_z, d_r, d_n * r], 1)
-            d_a[t] = np.concatenate([d_z, d_r, d_n], 1)
-            d_u += before.T @ d_g
-            back = np.where(begins[t][:, None], 0, back * z + d_g @ net.u.T)
-        flat = d_a.reshape(-1, 3 * HIDDEN)
-        grad["u"], grad["b"] = d_u, flat.sum(0)
+        # What a state's gradient is multiplied by on its way to each gate; the steps then only pass it back.
+        to_n = (1 - z) * (1 - n * n)
+        to_r = to_n * g * r * (1 - r)
+        to = np.stack([(before - n) * z * (1 - z), to_r, to_n * r], 2)
+        d_g, back = np.empty_like(to), np.zeros_like(h)
+        for t in range(steps - 1, -1, -1):
+            d_states[t] += back
+            np.multiply(to[t], d_states[t][:, None], out=d_g[t])
+            back = d_g[t].reshape(width, -1) @ net.u.T
+            back += d_states[t] * z[t]
+            back *= keep[t]
+        to_n *= d_states
+        flat = np.concatenate([d_g[:, :, 0], d_g[:, :, 1], to_n], 2).reshape(-1, 3 * HIDDEN)
+        grad["u"], grad["b"] = before.reshape(-1, HIDDEN).T @ d_g.reshape(-1, 3 * HIDDEN), flat.sum(0)
         grad["w"] = emb.reshape(-1, EMBED).T @ flat
-        grad["e"] = np.zeros_like(net.e)
-        np.add.at(grad["e"], enter.ravel(), flat @ net.w.T)
+        order = np.argsort(enter, None, kind="stable")
+        entered, first = np.unique(enter.ravel()[order], return_index=True)
+        grad["e"][entered] = np.add.reduceat((flat @ net.w.T)[order], first)
         norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
         memory["t"] = memory.get("t", 0) + 1
         fix = np.sqrt(1 - 0.99 ** memory["t"]) / (1 - 0.9 ** memory["t"])
@@ -265,43 +281,41 @@ def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int
     out = np.zeros(len(texts))
     order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
     a_of = net.e @ net.w + net.b
-    # Texts are dealt to the shortest lane in turn; at every step the lanes still running stand first.
+    # Texts are dealt to the shortest lane in turn; at every step the lanes still running stand first. Lanes lie one
+    # after another, so a very long text takes no more room than its tokens.
     rows: list[list[int]] = [[] for _ in range(min(lanes, len(texts)))]
-    size = np.zeros(len(rows), int)
+    free = [(0, j) for j in range(len(rows))]
     for k in order:
-        j = int(size.argmin())
+        filled, j = heapq.heappop(free)
         rows[j].append(k)
-        size[j] += len(texts[k])
-    rows = [rows[j] for j in np.argsort(-size, kind="stable")]
-    size = -np.sort(-size, kind="stable")
+        heapq.heappush(free, (filled + len(texts[k]), j))
+    free.sort(key=lambda x: -x[0])
+    dealt = [k for _, j in free for k in rows[j]]
+    length = np.array([len(texts[k]) for k in dealt], int)
+    size = np.array([filled for filled, _ in free], int)
+    start = np.cumsum(size) - size
+    target = np.fromiter(itertools.chain.from_iterable(texts[k] for k in dealt), np.int32, int(length.sum()))
+    owner = np.repeat(np.array(dealt, np.int32), length)
+    first = np.zeros(len(target), bool)
+    first[np.cumsum(length) - length] = True
     longest = int(size[0]) if len(size) else 0
-    target = np.zeros((longest, len(rows)), np.int32)
-    owner = np.zeros((longest, len(rows)), np.int32)
-    first = np.zeros((longest, len(rows)), bool)
-    for j, names in enumerate(rows):
-        at = 0
-        for k in names:
-            end = at + len(texts[k])
-            target[at:end, j], owner[at:end, j], first[at, j] = texts[k], k, True
-            at = end
     running = np.searchsorted(-size, -np.arange(longest), "left").tolist()
-    begins = first.any(1).tolist()
     h = np.zeros((len(rows), HIDDEN), np.float32)
     # Steps with few lanes left are gathered longer, so that the outputs are computed for many tokens at once.
     states, ys, owners, held = [], [], [], 0
     for t in range(longest):
         live = running[t]
         h = h[:live]
-        enter = v.enter[target[t - 1, :live]] if t else np.full(live, v.enter[0])
-        if begins[t]:
-            new = first[t, :live]
+        here = start[:live] + t
+        new = first[here]
+        enter = v.enter[np.where(new, 0, target[here - 1])]
+        if new.any():
             h = np.where(new[:, None], np.float32(0), h)
-            enter = np.where(new, v.enter[0], enter)
         z, _, n, _ = _gates(a_of[enter], h, net.u)
         h = n + z * (h - n)
         states.append(h)
-        ys.append(target[t, :live])
-        owners.append(owner[t, :live])
+        ys.append(target[here])
+        owners.append(owner[here])
         held += live
         if held < 32_768 and t < longest - 1:
             continue
@@ -321,8 +335,8 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
         schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
         have: Counter = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for text in texts_of(batch.slice(at, 200)):
+            for part in slices_of(batch, "text"):
+                for text in texts_of(part):
                     have.update(words_of(text))
                 if len(have) > most:
                     yield from rows_of(schema, [list(have.keys()), list(have.values())])
@@ -384,10 +398,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
             v, own = known.value, here.value.filled(here.value.flat())
             state, memory = np.zeros((LANES, HIDDEN), np.float32), {}
             seen = most = 0
-            texts = (
-                [-1, *v.numbers(words_of(text))]
-                for batch in batches for at in range(0, batch.num_rows, 200) for text in texts_of(batch.slice(at, 200))
-            )
+            texts = ([-1, *v.numbers(words_of(text))] for batch in batches for part in slices_of(batch, "text") for text in texts_of(part))
             for live, some in in_lanes(texts):
                 seen += sum(map(len, some))
                 most = max(most, len(live))
@@ -428,43 +439,20 @@ def likelihoods(docs: DataFrame, held_out: Column) -> DataFrame:
     blank text is its end alone. Equal rows get equal results. Without training texts every word is unseen and the
     scores are those of the start. Further columns are ignored.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.xxhash64("doc_id", "text").alias("key"))
+    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     learnt = rows.where("not held_out")
     counts = stored(word_counts(learnt), "word-counts")
     v = vocabulary_of(counts, learnt.count())
     known = docs.sparkSession.sparkContext.broadcast(v)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("times", pa.int64())])
-        have = known.value.words
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, out = batch.slice(at, 200), []
-                for key, text in zip(part.column("key").to_pylist(), texts_of(part)):
-                    found = Counter(w for w in words_of(text) if w not in have)
-                    out += [(key, w, n) for w, n in found.items()]
-                    out.append((key, None, 1))
-                yield from rows_of(schema, list(zip(*out)))
-
-    # Words outside the head meet their counts by a join; the row without a word tells how often a row is repeated.
-    met = rows.select("key", "text").mapInArrow(rare, "key long, word binary, times long").join(
-        counts.withColumnRenamed("word", "counted"), F.col("word") == F.col("counted"), "left"
-    )
-    c, word = F.coalesce("c", F.lit(0)), F.col("word").isNotNull()
-    sums = met.groupBy("key").agg(
-        F.sum(F.when(word, F.col("times") * F.log10(c + 0.5))).alias("rare_log"),
-        F.sum(F.when(word & (c > 0), F.col("times"))).alias("rare_known"),
-        F.sum(F.when(~word, F.col("times"))).alias("copies"),
-    ).withColumnRenamed("key", "rare_key")
-
     net = docs.sparkSession.sparkContext.broadcast(train(learnt, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = known.value
+        """A row for each document, numbered within the task, and one for each word in it that is not in the head."""
+        v, after = known.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
-                texts = [v.numbers(words_of(t)) for t in texts_of(part)]
+            for part in slices_of(batch, "text"):
+                words = [words_of(t) for t in texts_of(part)]
+                texts = [v.numbers(w) for w in words]
                 size = np.array([len(t) for t in texts])
                 start = np.cumsum(size) - size
                 flat = np.fromiter(itertools.chain.from_iterable(texts), np.int64, int(size.sum()))
@@ -474,21 +462,43 @@ def likelihoods(docs: DataFrame, held_out: Column) -> DataFrame:
                 rest = np.add.reduceat(np.where(plain, v.log_count[flat], 0.0) - mass, start)
                 known_head = np.add.reduceat(v.known[flat].astype(np.int64), start)
                 score = score_texts(net.value, v, texts) / np.log(10) + rest
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), part.column("key"), pa.array(size), pa.array(known_head), pa.array(log_count), pa.array(score)],
-                    ["doc_id", "held_out", "key", "n_tokens", "head_known", "head_log", "head_score"],
-                )
+                row = np.arange(after, after + len(texts))
+                after += len(texts)
+                none = pa.nulls(len(texts))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row), part.column("doc_id"), part.column("held_out"), pa.array(size), pa.array(known_head), pa.array(log_count), pa.array(score),
+                    none.cast(pa.binary()), none.cast(pa.int64()),
+                ], names)
+                met = np.flatnonzero(flat >= v.head)
+                if len(met):
+                    of = np.repeat(np.arange(len(texts)), size)[met]
+                    found = pa.table([pa.array(row[of]), pa.array([words[k][j] for k, j in zip(of.tolist(), (met - start[of]).tolist())], pa.binary())], ["row", "word"])
+                    found = found.group_by(["row", "word"]).aggregate([([], "count_all")])
+                    blank = [pa.nulls(found.num_rows).cast(t) for t in (part.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield from rows_of(
+                        pa.schema(list(zip(names, [pa.int64(), *(b.type for b in blank), pa.binary(), pa.int64()]))),
+                        [found["row"].combine_chunks(), *blank, found["word"].combine_chunks(), found["count_all"].combine_chunks()],
+                    )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, key long, n_tokens long, head_known long, head_log double, head_score double"
+    names = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "head_score", "word", "times"]
+    every = stored(rows.mapInArrow(
+        run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, head_score double, word binary, times long"
+    ), "scored")
+    # Words outside the head meet their counts by a join.
+    met = every.where("word IS NOT NULL").select(F.col("row").alias("rare_row"), "word", "times").join(
+        counts.withColumnRenamed("word", "counted"), F.col("word") == F.col("counted"), "left"
+    )
+    c = F.coalesce("c", F.lit(0))
+    sums = met.groupBy("rare_row").agg(
+        F.sum(F.col("times") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.when(c > 0, F.col("times"))).alias("rare_known")
     )
-    both = scored.join(sums, scored["key"] == sums["rare_key"], "left")
-    rare_log = F.coalesce(F.col("rare_log") / F.col("copies"), F.lit(0.0))
+    both = every.where("word IS NULL").join(sums, F.col("row") == F.col("rare_row"), "left")
+    rare_log = F.coalesce("rare_log", F.lit(0.0))
     mass = float(np.log10(v.tokens + 0.5 * (v.distinct + 1)))
     return both.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("head_known") + F.coalesce((F.col("rare_known") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
+        (F.col("head_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("head_log") + rare_log - F.col("n_tokens") * F.lit(mass)).alias("base_score"),
         (F.col("head_score") + rare_log).alias("score"),

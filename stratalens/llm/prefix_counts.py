@@ -20,12 +20,11 @@ from operator import sub
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, MapType
 
-from stratalens.llm.common import texts_of
+from stratalens.llm.common import slices_of, texts_of
 
 #: Chunks and words that a worker keeps, in each of two generations, and pairs of tokens tested.
 KEPT_CHUNKS, KEPT_WORDS, KEPT_PAIRS = 200_000, 400_000, 1_000_000
@@ -338,15 +337,6 @@ def _letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about so many bytes of text, so that words new in many texts are worked out together."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
-    cuts = np.flatnonzero(np.diff(size)).tolist()
-    for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), batch.num_rows]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _mapped(
     docs: DataFrame, id_col: str, text_col: str, schema: str, finish: Callable[[list[str]], list[pa.Array]]
 ) -> DataFrame:
@@ -355,7 +345,7 @@ def _mapped(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
+            for part in slices_of(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), *finish(texts_of(part, "_text"))], names)
 
     return docs.select(F.col(id_col), F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")

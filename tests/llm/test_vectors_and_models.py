@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -225,6 +226,23 @@ def test_state_reaches_over_windows_and_lanes():
     assert np.allclose(gru_lm.score_texts(net, v, texts, lanes=2), alone, rtol=1e-4)
 
 
+def test_a_very_long_text_takes_no_more_room_than_its_tokens():
+    v = small_vocabulary()
+    net = gru_lm.fresh(v)
+    texts = [[1, 2, 0]] * 600 + [[3] * 60_000 + [0]]
+    tracemalloc.start()
+    found = gru_lm.score_texts(net, v, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and found[0] == pytest.approx(gru_lm.score_texts(net, v, texts[:1])[0], rel=1e-4)
+
+
+def test_long_words_are_named_by_a_digest():
+    words = gru_lm.words_of("A " + "b" * 65 + " " + "c" * 64 + " " + "b" * 64 + "d")
+    assert words[0] == b"a" and words[2] == b"c" * 64 and all(len(w) == 67 for w in (words[1], words[3]))
+    assert words[1] != words[3] and words[3].endswith(b"bd") and gru_lm.words_of("B" * 65)[0] == words[1]
+
+
 def test_every_token_is_learnt_once_in_its_text(monkeypatch):
     monkeypatch.setattr(gru_lm, "LANES", 4)
     dice, number = random.Random(5), iter(range(1, 10**6))
@@ -252,7 +270,7 @@ def test_likelihoods(spark):
     dice = random.Random(7)
     lang = {"x": [f"ka{k}" for k in range(30)], "y": [f"blu{k}" for k in range(30)]}
     rows = [(k, " ".join(dice.choices(lang["xy"[k % 2]], k=dice.randint(5, 60)))) for k in range(400)]
-    rows += [(901, None), (902, ""), (903, "UNSEEN Ka1 \t nowhere"), (903, "UNSEEN Ka1 \t nowhere"), (904, "ka1 " * 3000)]
+    rows += [(901, None), (902, ""), (903, "UNSEEN Ka1 \t nowhere"), (903, "UNSEEN Ka1 \t nowhere"), (904, "ka1 " * 3000), (905, "z" * 200 + " " + "Z" * 200)]
     docs = spark.createDataFrame([(*r, 2.0) for r in rows], "doc_id long, text string, score double")
     from pyspark.sql import functions as F
 
