@@ -184,3 +184,53 @@ def test_mixed_headers_that_cannot_be_read(spark, tmp_path):
 def test_header_of_scenario_directories_below(spark, tmp_path):
     _files(tmp_path, {"s/Report_TPI0001_REP0001.csv": "Year,Population\n2000,3\n"})
     assert reports.scan_reports(spark, str(tmp_path)).first().population == 3.0
+
+
+# Results that are replaced
+
+
+def _result(spark, *rows):
+    return spark.createDataFrame(list(rows), "scenario string, output string, year double, value double")
+
+
+def _shown(spark, path, *which):
+    return sorted((r.scenario, r.output, r.value) for r in results.current_results(spark, path, *which).collect())
+
+
+def test_a_rerun_replaces_its_scenarios_and_outputs(spark, tmp_path):
+    path = str(tmp_path / "r")
+    results.replace_results(_result(spark, ("a", "x", 1.0, 1.0), ("a", "x", 2.0, 2.0), ("a", "y", 1.0, 3.0), ("7", "x", 1.0, 4.0), (None, "x", 1.0, 5.0)), path)
+    results.replace_results(_result(spark, ("a", "x", 1.0, 9.0), ("b", "x", 1.0, 6.0)), path)
+    assert _shown(spark, path, None, "a") == [("a", "x", 9.0), ("a", "y", 3.0)]
+    assert _shown(spark, path, "x", "7") == [("7", "x", 4.0)]
+    assert results.current_results(spark, path).where("scenario IS NULL").first().value == 5.0
+    assert results.current_results(spark, path).count() == 5
+    # A version with one column more; a null stands for it in the others.
+    results.replace_results(_result(spark, ("b", "x", 1.0, 7.0)).withColumn("note", F.lit("n")), path)
+    assert {(r.scenario, r.note) for r in results.current_results(spark, path).where("output = 'x'").collect()} == {("a", None), ("7", None), (None, None), ("b", "n")}
+
+
+def test_a_killed_writer_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "r")
+    with pytest.raises(FileNotFoundError):
+        results.current_results(spark, path)
+    first, second = _result(spark, ("a", "x", 1.0, 1.0)), _result(spark, ("a", "x", 1.0, 2.0), ("b", "x", 1.0, 2.0))
+    results.replace_results(first, path)
+    version = results.write_version(second, path)  # killed before its record
+    (tmp_path / "r" / "commits" / "commit=1" / "_temporary").mkdir(parents=True)  # or while it was written
+    assert _shown(spark, path) == [("a", "x", 1.0)]
+    failing = second.withColumn("value", F.when(F.col("scenario") == "b", F.raise_error(F.lit("lost")).cast("double")).otherwise(1.0))
+    with pytest.raises(PySparkException):
+        results.replace_results(failing, path)
+    assert _shown(spark, path) == [("a", "x", 1.0)]
+    # The next writer passes over the number that was left behind.
+    assert results.commit_version(second, path, version) == 2
+    assert _shown(spark, path) == [("a", "x", 2.0), ("b", "x", 2.0)]
+
+
+def test_a_column_that_changed_its_type_fails(spark, tmp_path):
+    path = str(tmp_path / "r")
+    results.replace_results(_result(spark, ("a", "x", 1.0, 1.0)), path)
+    results.replace_results(_result(spark, ("b", "x", 1.0, 1.0)).withColumn("value", F.lit("text")), path)
+    with pytest.raises(ValueError, match="value"):
+        results.current_results(spark, path)

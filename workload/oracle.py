@@ -216,6 +216,13 @@ FROM (SELECT prep_coverage, run_num, prep_coverage = 90 AND run_num = 5 AS missi
 ORACLE["result_roundtrip"] = with_(
     f"SELECT scenario, run_num, year, gender, value FROM ({calibration(False)['prev_gender']})", REPORT, STD)
 
+ORACLE["result_replace"] = with_(
+    " UNION ALL ".join(
+        f"""SELECT scenario, '{o}' AS output, COUNT(*) AS n_rows, MIN(value + {x}) AS least, MAX(value + {x}) AS most
+FROM ({calibration(False)[o]}) GROUP BY scenario""" for o, x in (
+            ("circ", "0::DOUBLE"), ("prev_gender", "CASE WHEN scenario = 'PrEP-30' THEN 1::DOUBLE ELSE 0 END"))
+    ), REPORT, STD)
+
 # --- scalar columns ----------------------------------------------------------
 
 ORACLE["scale_counts"] = with_(

@@ -216,6 +216,19 @@ def result_roundtrip(spark, sf):
     ).option("header", True).csv(csv)
 
 
+@query("result_replace")
+def result_replace(spark, sf):
+    """A second analysis replaces one output of one scenario; a third is killed before its record and changes nothing."""
+    rows = calibration.measure_suite(views.standard(spark, sf), _calibration_specs(), COUNTS).where("output IN ('prev_gender', 'circ')")
+    path = results.replace_results(rows, results.shared_folder(spark, "replaced"))
+    again = results.current_results(spark, path, "prev_gender", "PrEP-30").withColumn("value", F.col("value") + 1)
+    results.replace_results(again, path)
+    results.write_version(rows.where("scenario = 'PrEP-60'").withColumn("value", F.lit(9.0)), path)
+    return results.current_results(spark, path).groupBy("scenario", "output").agg(
+        F.count("*").alias("n_rows"), F.min("value").alias("least"), F.max("value").alias("most")
+    )
+
+
 # --- scalar columns ----------------------------------------------------------
 
 
