@@ -191,7 +191,7 @@ def override_config(base: DataFrame, overrides: DataFrame, sets: DataFrame | Non
 
     ``base`` has ``(key, value)``, ``overrides`` has ``(parameterization_id, key,
     value)`` with one row a key at most, ``sets`` the ids of all sets (by default those
-    that override something). An override replaces the base value also by NULL. A key
+    that override something). Two overrides of one key fail. An override replaces the base value also by NULL. A key
     that only a set has is added, as an update would. Values are of any one type.
     """
     ids = (overrides if sets is None else sets).select(ID).distinct().withColumn("_document", F.lit(0))
@@ -199,7 +199,11 @@ def override_config(base: DataFrame, overrides: DataFrame, sets: DataFrame | Non
         ID, "key", "value", F.lit(False).alias("_own")
     )
     both = given.unionByName(overrides.select(ID, "key", "value", F.lit(True).alias("_own")))
-    return both.groupBy(ID, "key").agg(F.max_by(F.struct("value"), "_own")["value"].alias("value"))
+    found = both.groupBy(ID, "key").agg(
+        F.max_by(F.struct("value"), "_own")["value"].alias("value"), F.count_if("_own").alias("_given")
+    )
+    twice = F.raise_error(F.concat(F.lit("two overrides of "), "key")).cast("boolean")
+    return found.where(F.when(F.col("_given") > 1, twice).otherwise(F.lit(True))).drop("_given")
 
 
 def hash_fraction(*parts: Column) -> Column:

@@ -208,3 +208,10 @@ def test_scenario_columns_override_sample_columns(spark):
 def test_strict_errors_surface(spark):
     with pytest.raises(PySparkException):
         spark.range(1).select(F.raise_error(F.lit("x"))).collect()
+
+
+def test_two_overrides_of_one_key_fail(spark):
+    base = spark.createDataFrame([("k", "1")], "key string, value string")
+    own = spark.createDataFrame([(1, "k", "2"), (1, "k", None)], "parameterization_id int, key string, value string")
+    with pytest.raises(PySparkException, match="two overrides of k"):
+        params.override_config(base, own).collect()

@@ -481,6 +481,9 @@ ORACLE["channel_prevalence"] = with_(
     result("Prevalence", safe("infected", "population"), cells("Prevalence", G_PREV, "ch", ["infected", "population"])), REPORT, CH)
 ORACLE["channel_population"] = with_(
     result("Population", "population", cells("Population", G_POP, "ch", ["population"])), REPORT, CH)
+ORACLE["channel_strict"] = with_(
+    result("Population", "population", cells("Population", G_POP, "ch", ["population"])), REPORT,
+    CH.replace("FROM report", "FROM (SELECT * REPLACE (run_num % 2 AS run_num, 1 AS node_id) FROM report)"))
 ORACLE["channel_on_art"] = with_(result("OnART", "on_art", cells("OnART", G_ART, "ch", ["on_art"])), REPORT, CH)
 ORACLE["channel_art_coverage"] = with_(
     result("ARTCoverage", safe("on_art", "infected"), cells("ARTCoverage", grid("ARTCoverage", WHOLE), "ch", ["on_art", "infected"])), REPORT, CH)

@@ -672,6 +672,13 @@ _channel_query(
 )
 
 
+@query("channel_strict")
+def channel_strict(spark, sf):
+    """Two runs in one place, so that no cell is empty at any scale: the strict form, which fails on one, gives every cell."""
+    rows = _channel_rows(spark, sf).withColumns({"run_num": F.col("run_num") % 2, "node_id": F.lit(1)})
+    return channels.channel_results(rows, _specs("Population"), CHANNEL_CONFIG)
+
+
 @query("channel_completeness")
 def channel_completeness(spark, sf):
     rows = _channel_rows(spark, sf)
