@@ -64,7 +64,9 @@ def chat_windows(
     role or text counts as empty, rows without ``conv_id`` are one conversation. Repeated rows
     are turns of their own. A window takes the turns whose tokens begin inside one step of
     half the free budget, so it keeps the budget unless a turn or the system turn is longer
-    than that; such windows are whole and marked ``over_budget``. Texts are never cut.
+    than that; such windows are whole and marked ``over_budget``. Texts are never cut. Before its first new turn a window repeats the
+    turns that directly precede it, as many as have ``history`` tokens together; a turn that is longer ends the history. Where the system turn
+    leaves little of the budget, steps have at least a quarter of its tokens, so the output stays within a multiple of the input.
     An empty table gives no windows; further columns are ignored.
 
     A long conversation is split: sums run over stretches of turns first, then inside
@@ -95,18 +97,20 @@ def chat_windows(
         "r.conv_id", "role", "text", "cost", (F.col("before") + F.col("up_to") - F.col("cost")).alias("at"), "system_text"
     )
     reserved = F.when(F.col("system_text").isNotNull(), tokens(F.col("system_text"))).otherwise(0)
-    placed = placed.withColumn("step", F.greatest(F.floor((budget - history - reserved) / 2), F.lit(16)))
+    # A system turn over the budget is repeated so rarely that all its copies cost no more than four times the turns.
+    placed = placed.withColumn("step", F.greatest(F.floor((budget - history - reserved) / 2), F.floor(reserved / 4), F.lit(16)))
     placed = placed.withColumn("span", F.floor(F.col("at") / F.col("step")))
-    # A turn that lies wholly in the last tokens before the next step is repeated there.
-    repeats = F.col("at") >= (F.col("span") + 1) * F.col("step") - F.least(F.lit(history), F.col("step"))
-    repeats &= F.col("at") + F.col("cost") <= (F.col("span") + 1) * F.col("step")
+    # Turns that begin in the last tokens before the next step may be history there; which of them fit is known
+    # where its first new turn is.
+    reach = F.least(F.lit(history), F.col("step"))
+    repeats = F.col("at") >= (F.col("span") + 1) * F.col("step") - reach
     repeats &= ~((F.col("at") == 0) & F.col("system_text").isNotNull())
     uses = F.when(repeats, F.array(F.struct(F.col("span").alias("window"), F.lit(True).alias("new")),
                                    F.struct((F.col("span") + 1).alias("window"), F.lit(False).alias("new"))))
     uses = uses.otherwise(F.array(F.struct(F.col("span").alias("window"), F.lit(True).alias("new"))))
     used = placed.withColumn("use", F.explode(uses)).select(
         "conv_id", F.col("use.window").alias("window"), F.col("use.new").alias("new"), "at", "role", "text", "cost",
-        F.when(F.col("use.window") > 0, F.col("system_text")).alias("system_text"), reserved.cast("long").alias("system_cost"),
+        F.when(F.col("use.window") > 0, F.col("system_text")).alias("system_text"), reserved.cast("long").alias("system_cost"), reach.cast("long").alias("reach"),
     )
     dealt = used.repartition("conv_id", "window").sortWithinPartitions("conv_id", "window", "at")
     return dealt.mapInArrow(_rendered(budget, loss_role), WINDOW_SCHEMA)
@@ -114,11 +118,14 @@ def chat_windows(
 
 def _rendered(budget: int, loss_role: str) -> Callable:
     def window(rows: list[tuple]) -> tuple | None:
-        if not any(row[4] for row in rows):
+        first = min((row[5] for row in rows if row[4]), default=None)
+        if first is None:
             return None
         conv, number, system, system_cost = rows[0][:4]
+        # The latest whole turns before the first new one whose tokens together keep the reach: all that begin within it.
+        rows = [(row[4], *row[7:]) for row in rows if row[4] or row[5] >= first - row[6]]
         turns = [("system", system, False, system_cost)] if system is not None else []
-        turns += [(role, text, new, cost) for *_, new, role, text, cost in rows]
+        turns += [(role, text, new, cost) for new, role, text, cost in rows]
         out, loss, at = [], [], 0
         for role, text, new, _ in turns:
             head, body = OPEN + escape(role) + ROLE_END, escape(text)
@@ -133,7 +140,7 @@ def _rendered(budget: int, loss_role: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, done, size = [], [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "window", "system_text", "system_cost", "new", "role", "text", "cost")]
+            columns = [batch.column(c).to_pylist() for c in ("conv_id", "window", "system_text", "system_cost", "new", "at", "reach", "role", "text", "cost")]
             for row in zip(*columns):
                 if held and held[0][:2] != row[:2]:
                     if made := window(held):

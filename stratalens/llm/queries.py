@@ -123,11 +123,12 @@ f AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY nth) - cost AS pla
  first_value(role) OVER (PARTITION BY conv_id ORDER BY nth) = 'system' AS has_system,
  first_value(cost) OVER (PARTITION BY conv_id ORDER BY nth) AS first_cost,
  first_value(shown) OVER (PARTITION BY conv_id ORDER BY nth) AS first_shown FROM c),
-p AS (SELECT *, greatest(floor((2048 - 256 - CASE WHEN has_system THEN first_cost ELSE 0 END) / 2), 16) AS step FROM f),
+p AS (SELECT *, greatest(floor((2048 - 256 - CASE WHEN has_system THEN first_cost ELSE 0 END) / 2), floor(CASE WHEN has_system THEN first_cost ELSE 0 END / 4), 16) AS step FROM f),
 w AS (SELECT *, floor(placed / step) AS span FROM p),
 r AS (SELECT conv_id, span, shown FROM w UNION ALL
- SELECT conv_id, span + 1, shown FROM w WHERE placed >= (span + 1) * step - least(256, step) AND placed + cost <= (span + 1) * step
-  AND NOT (placed = 0 AND has_system)
+ SELECT w.conv_id, w.span + 1, shown FROM w JOIN (SELECT conv_id, span, min(placed) AS first_new FROM w GROUP BY 1, 2) n
+  ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND n.span = w.span + 1
+ WHERE placed >= first_new - least(256, step) AND NOT (placed = 0 AND has_system)
  UNION ALL SELECT DISTINCT conv_id, span, first_shown FROM w WHERE has_system AND span > 0),
 s AS (SELECT conv_id, CAST(sum(shown) AS BIGINT) AS formatted_chars
  FROM r SEMI JOIN (SELECT DISTINCT conv_id, span FROM w) k ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.span = k.span GROUP BY conv_id),

@@ -131,6 +131,41 @@ def test_windows_read_back(spark):
     assert chat_windows.chat_windows(turns.limit(0)).count() == 0
 
 
+def test_repeated_turns_directly_precede_the_new_ones(spark):
+    dice, rows = random.Random(6), []
+    for conv in range(6):
+        if conv % 2:
+            rows.append((conv, 0, "system", "S" * 40 * conv))
+        rows += [(conv, k, dice.choice(["user", "assistant"]), f"{conv}-{k} " + "w" * dice.choice([0, 30, 120, 300, 2000])) for k in range(1, 120)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    cost = lambda text: -(-len(text) // 4) + 5
+    told = {conv: [r for r in rows if r[0] == conv] for conv in range(6)}
+    repeated = 0
+    for w in chat_windows.chat_windows(turns, budget=512, history=100).collect():
+        shown = [t for _, t in chat_windows.parse(w.formatted)]
+        mine = [r[3] for r in told[w.conv_id]]
+        system = told[w.conv_id][0][2] == "system"
+        if w.window and system:
+            assert shown[0] == mine[0]
+            shown = shown[1:]
+        at = mine.index(shown[0])
+        assert shown == mine[at:at + len(shown)]  # no hole
+        if w.window:
+            repeats = w.n_repeated - system  # the system turn is told apart
+            first = at + repeats
+            size = lambda k: sum(map(cost, mine[k:first]))
+            assert size(at) <= 100 and (at == int(system) or size(at - 1) > 100)
+            repeated += repeats
+    assert repeated > 50
+
+
+def test_a_system_turn_over_the_budget_is_not_multiplied(spark):
+    rows = [(1, 0, "system", "s" * 20_000)] + [(1, k, "user", "u" * 50) for k in range(1, 201)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat_windows.chat_windows(turns).collect()
+    assert all(w.over_budget for w in windows) and sum(len(w.formatted) for w in windows) < 6 * sum(len(r[3]) for r in rows)
+
+
 # Quality
 
 def test_ordinal_grades(spark):
