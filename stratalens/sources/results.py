@@ -68,16 +68,19 @@ def _commits(spark: SparkSession, path: str, by: tuple[str, ...]) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def commit_version(df: DataFrame, path: str, version: str, by: tuple[str, ...] = ("scenario", "output")) -> int:
+def commit_version(
+    df: DataFrame, path: str, version: str, by: tuple[str, ...] = ("scenario", "output"), parts: DataFrame | None = None
+) -> int:
     """Let the partitions of a written version take the place of those before, all at once.
 
+    ``parts`` names the partitions, by default those that have rows; one without rows becomes empty.
     The record is one file that appears whole or not at all. A number that another writer has taken, or left behind
     when it was killed, is passed over; of two records with one number the larger version counts.
     """
     spark = df.sparkSession
     last = _commits(spark, path, by).agg(F.max("commit")).first()[0]
     number = 0 if last is None else last + 1
-    parts = df.select(*[F.col(c).cast("string") for c in by]).distinct()
+    parts = (df if parts is None else parts).select(*[F.col(c).cast("string") for c in by]).distinct()
     record = parts.withColumns({"version": F.lit(version), "fields": F.lit(df.schema.json())})
     while True:
         try:
@@ -102,12 +105,14 @@ def replace_results(df: DataFrame, path: str, by: tuple[str, ...] = ("scenario",
 
 def current_results(
     spark: SparkSession, path: str, output: str | None = None, scenario: str | None = None, by: tuple[str, ...] = ("scenario", "output"),
+    folders: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """The result set as the last record of every scenario and output left it; both filters prune partitions.
 
     Versions may differ in columns: one that a version lacks is NULL there, one that changed its type fails. A path without
-    a record has no result set and fails.
+    a record has no result set and fails. ``folders`` are the columns that versions were partitioned by, where these are not ``by``.
     """
+    folders = by if folders is None else folders
     commits = _commits(spark, path, by)
     newest = F.max_by(F.struct("version", "fields"), F.struct("commit", "version"))
     live = commits.groupBy(*by).agg(newest.alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], "_n.version", "_n.fields")
@@ -119,15 +124,15 @@ def current_results(
                 raise ValueError(f"column {f.name} is {known.dataType.simpleString()} in one version and {f.dataType.simpleString()} in another")
     if not fields:
         raise FileNotFoundError(f"no result set at {path}")
-    schema = T.StructType([T.StructField(n, T.StringType()) if n in by else f for n, f in fields.items()])
+    schema = T.StructType([T.StructField(n, T.StringType()) if n in folders else f for n, f in fields.items()])
     names = [f"`{n}`" for n in fields]
     rows = spark.read.schema(schema.add("version", "string")).parquet(f"{path}/data").withColumnRenamed("version", "_version")
     for name, wanted in (("output", output), ("scenario", scenario)):
         if wanted is not None:
             rows, live = rows.where(F.col(name) == wanted), live.where(F.col(f"_{name}") == wanted)
-    same = [F.col("_version") == F.col("version"), *(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)]
+    same = [F.col("_version") == F.col("version"), *(F.col(c).cast("string").eqNullSafe(F.col(f"_{c}")) for c in by)]
     kept = rows.join(live, same, "left_semi").select(*names)
-    return kept.withColumns({c: F.col(c).cast(fields[c].dataType) for c in by})
+    return kept.withColumns({c: F.col(c).cast(fields[c].dataType) for c in folders})
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

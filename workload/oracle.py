@@ -368,6 +368,7 @@ ORACLE["suppressed_share"] = with_(
 # --- summaries and contrasts -------------------------------------------------
 
 SUITE = union(calibration().values())
+ORACLE["incremental_measures"] = with_(SUITE, REPORT, STD)
 ORACLE["run_summary"] = with_(summary(SUITE, f"scenario, output, {ALL_DIMS}"), REPORT, STD)
 ORACLE["run_summary_strict"] = with_(
     summary(calibration(False)["pop_county"], f"scenario, {ALL_DIMS}"), REPORT, STD)
