@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.recode import strip_parameter_prefix
 from stratalens.operators.quantiles import exact_quantiles
+from stratalens.sources.results import stored
 from stratalens.sources.schema import COUNTIES, OVERLAY_SCHEMA
 
 ID = "parameterization_id"
@@ -61,9 +62,9 @@ def box_statistics(long: DataFrame, keys: Sequence[str] = ("parameter", "source"
     There is one group per parameter and source; groups grow with the number of
     sets and are never gathered.
     """
-    boxes = exact_quantiles(
+    boxes = stored(exact_quantiles(
         long, keys, "value", (0.0, 0.25, 0.5, 0.75, 1.0), ("min", "q1", "median", "q3", "max")
-    )
+    ), "boxes")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     whiskers = long.join(boxes, list(keys)).groupBy(*keys).agg(

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stratalens.sources.results import stored
+
 # Groups known to stay below this many values fit one aggregation buffer.
 SMALL_GROUP = 100_000
 # Rank error of the guide is at most n / ACCURACY.
 ACCURACY = 10_000
+# Groups that an aggregation holds whole where no bound is stated; the sketch is too coarse to help there.
+WHOLE = 2 * ACCURACY
 
 
 def _same(left: str, right: str, keys: Sequence[str]) -> Column:
@@ -53,42 +57,66 @@ def exact_quantiles(
 
 
 def _ranked_quantiles(df, keys, value, probs, names, mean):
-    """Two-pass selection.
+    """Selection by the size of the group, which a first pass counts.
 
-    The first pass sketches each group: for every probability a value that is
-    certainly not above and one that is certainly not below the wanted order
-    statistics. In the second pass rows below that span are only counted, rows
-    above it are dropped, and rows inside it (about ``4 n / ACCURACY``) are ranked.
+    Groups of at most ``WHOLE`` values are one aggregation. A second pass sketches each of the others:
+    for every probability a value that is certainly not above and one that is
+    certainly not below the wanted order statistics. In the third pass rows below that span are only
+    counted, rows above it are dropped, and rows inside it (about ``4 n / ACCURACY``) are ranked.
     Equal values are merged into one counted row before they are shuffled.
+
+    Sizes and spans are one small row a group. They are stored, so the optimizer knows their size and sends them to the tasks
+    if it is small; otherwise the join shuffles.
     """
-    slack = 2.0 / ACCURACY
-    lows = F.array(*[F.lit(max(p - slack, 0.0)) for p in probs])
-    highs = F.array(*[F.lit(min(p + slack, 1.0)) for p in probs])
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     averages = [F.avg("_v").alias(mean)] if mean else []
-    guide = rows.groupBy(*keys).agg(
-        *averages,
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", lows, ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", highs, ACCURACY).alias("_hi"),
+    sizes = stored(rows.groupBy(*keys).agg(*averages, F.count("_v").alias("_n")), "group-sizes")
+    kept = [*keys, *([mean] if mean else [])]
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= WHOLE:
+        found = _whole_groups(rows, keys, probs, names)
+    else:
+        few = sizes.where(F.col("_n") <= WHOLE).select(*keys)
+        many = sizes.where(F.col("_n") > WHOLE).select(*keys, "_n")
+        found = _whole_groups(_rows_of(rows, few, keys, "left_semi"), keys, probs, names).unionByName(
+            _spanned_groups(_rows_of(rows, many, keys, "inner"), keys, probs, names)
+        )
+    return (
+        sizes.select(*kept).alias("g")
+        .join(found.alias("w"), _same("g", "w", keys), "left")
+        .select(*[F.col(f"g.{k}").alias(k) for k in kept], *[F.col(f"w.{n}") for n in names])
     )
-    # A small group is ranked as a whole; the sketch is too coarse to help there.
-    whole = F.col("_n") <= 2 * ACCURACY
-    spans = guide.where("_n > 0").select(
+
+
+def _rows_of(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """The rows with a value of some groups; the groups' file is small enough to be sent to the tasks or is not."""
+    joined = rows.where("_v IS NOT NULL").alias("r").join(groups.alias("s"), _same("r", "s", keys), how)
+    more = [f"s.{c}" for c in groups.columns if c not in keys and how == "inner"]
+    return joined.select(*[F.col(f"r.{k}").alias(k) for k in keys], "r._v", *more)
+
+
+def _whole_groups(rows, keys, probs, names):
+    """Groups that fit one aggregation buffer: their counted values are merged before the shuffle."""
+    found = rows.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def _spanned_groups(rows, keys, probs, names):
+    """Groups of any size, by bracketing each wanted rank; rows carry the size ``_n`` of their group."""
+    slack = 2.0 / ACCURACY
+    ends = [max(p - slack, 0.0) for p in probs] + [min(p + slack, 1.0) for p in probs]
+    guide = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), ACCURACY).alias("_ends"))
+    spans = stored(guide.select(
         *keys,
-        "_n",
         F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.struct(
-            i.alias("i"),
-            F.when(~whole, F.get("_lo", i)).alias("lo"),
-            F.when(~whole, F.get("_hi", i)).alias("hi"),
+            i.alias("i"), F.get("_ends", i).alias("lo"), F.get("_ends", i + len(probs)).alias("hi"),
         )).alias("_spans"),
-    )
+    ), "group-spans")
     tagged = (
-        rows.where("_v IS NOT NULL").alias("r")
-        .join(spans.alias("s"), _same("r", "s", keys))
+        rows.alias("r").join(spans.alias("s"), _same("r", "s", keys))
         .select(*[F.col(f"r.{k}").alias(k) for k in keys], "_v", "_n", F.inline("_spans"))
-        .where("hi IS NULL OR _v <= hi")
-        .withColumn("_v", F.when(F.col("lo").isNull() | (F.col("_v") >= F.col("lo")), F.col("_v")))
+        .where("_v <= hi")
+        .withColumn("_v", F.when(F.col("_v") >= F.col("lo"), F.col("_v")))
     )
     counted = tagged.groupBy(*keys, "_n", "i", "_v").agg(F.count(F.lit(1)).alias("_c"))
     ordered = Window.partitionBy(*keys, "i").orderBy(F.col("_v").asc_nulls_first())
@@ -113,12 +141,6 @@ def _ranked_quantiles(df, keys, value, probs, names, mean):
         F.col("_a").isNull() | F.col("_b").isNull(),
         F.raise_error(F.lit("quantile outside its span")).cast("double"),
     ).otherwise(exact)
-    wide = pairs.groupBy(*keys).agg(
+    return pairs.groupBy(*keys).agg(
         *[F.max(F.when(F.col("i") == k, checked)).alias(n) for k, n in enumerate(names)]
     )
-    kept = [*keys, *([mean] if mean else [])]
-    return (
-        guide.select(*kept).alias("g")
-        .join(wide.alias("w"), _same("g", "w", keys), "left")
-        .select(*[F.col(f"g.{k}").alias(k) for k in kept], *[F.col(f"w.{n}") for n in names])
-    )

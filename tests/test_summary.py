@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from stratalens.operators import contrast
-from stratalens.operators.quantiles import ACCURACY, exact_quantiles
+from stratalens.operators.quantiles import ACCURACY, WHOLE, exact_quantiles
 from stratalens.operators.summary import first_year_reaching, summarise_runs
 
 PROBS, NAMES = (0.5, 0.025, 0.975), ("median", "lower", "upper")
@@ -41,6 +41,24 @@ def test_ranked_quantiles_of_a_group_that_is_sketched(spark):
     assert got["small"]["median"] == 3.5
 
 
+def test_groups_on_both_sides_of_what_an_aggregation_holds(spark):
+    def values(n, k):
+        return [float((x * 7919 + k) % n) - n / 3 for x in range(n)]
+
+    sizes = {"at": WHOLE, "over": WHOLE + 1, "tiny": 3, None: 4}
+    rows = [(k, v) for k, n in sizes.items() for v in values(n, len(k or ""))] + [("none", None), ("tiny", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", PROBS, NAMES, "mean").collect()}
+    for k, n in sizes.items():
+        v = values(n, len(k or ""))
+        assert [got[k][x] for x in NAMES] == pytest.approx(list(np.quantile(v, PROBS)), rel=1e-12)
+        assert got[k]["mean"] == pytest.approx(np.mean(v))
+    assert got["none"]["median"] is None and len(got) == 5
+    small = exact_quantiles(df.where("k IN ('tiny', 'none')"), ["k"], "v", PROBS, NAMES)
+    assert "Window" not in small._jdf.queryExecution().executedPlan().toString()
+    assert exact_quantiles(df.limit(0), ["k"], "v", PROBS, NAMES).count() == 0
+
+
 def test_strict_summary_fails_on_missing(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None)], "k string, value double")
     assert summarise_runs(df, ["k"], runs_bound=5).first()["mean"] == 1.0
