@@ -16,25 +16,38 @@ from stratalens.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Poor and toxic documents go: an ordinal model learns from the labelled rows that are here."""
+    """Poor and toxic documents go: an ordinal model learns from the labelled rows that are here.
+
+    Null and empty texts are graded like any text without features; rows of one id each by their own text.
+    """
     model = ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels")), grades=3)
     return ordinal.select_documents(docs, model, least_grade=2)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or whose language is not clear go."""
+    """Documents without letters or whose language is not clear go, null and empty texts among them."""
     return ecoc.select_documents(docs, ecoc.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 of their five-word shingles the document with the smallest id stays."""
-    found = simhash.near_copies(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Of each group of linked fingerprints (three-word shingles, two bits or fewer apart) the document with the smallest id stays.
+
+    Null and blank texts are one group. Rows of one id are one document: of these the first in the order of all their
+    columns stays. Rows without an id cannot stand for a group; they go where their group has an id and stay where it has none.
+    An empty table gives no rows.
+    """
+    found = simhash.near_duplicates(docs)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = whole.join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
+    alone = (F.col("n") == 1) | F.col("doc_id").isNull()
+    # Copies of one id are merged before the shuffle, so that many of them never meet in one task.
+    first = rows.where(~alone).groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rows.where(alone).select("row").unionByName(first.select("row")).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of the remaining documents goes."""
+    """Where each piece of the remaining documents goes; a null or empty text is one piece of one token."""
     return grouping_pack.packed(docs, tokenizer("byte_bpe_50k.json"))
 
 
