@@ -291,177 +291,3 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3) -> DataF
     )
     rows = marked.join(classes, F.col("fp") == F.col("class_fp"), "left")
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# Near copies by the share of common shingles: candidates by minima of the shingle hashes, then an exact comparison.
-
-#: Bands and minima in a band. A pair that shares a part J of its shingles has a band in common but for a chance of
-#: (1 - J ** DEEP) ** BANDS: 2e-10 at 0.8, wherever the texts differ. At 0.1 it meets with a chance of 6e-4.
-BANDS, DEEP = 56, 5
-#: 64-bit words of a long fingerprint, and from how many differing bits on two texts of a family are not compared. At 0.8 of common
-#: shingles texts differ in 58 bits or so, sd 7; the worst case is four shingles against five, 72, sd 7.7. Texts with none in common: 192, sd 10.
-LONG, APART = 6, 120
-#: Texts of one family that a task compares; larger families are divided into pairs of such blocks.
-FAMILY = 2000
-_TURNS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for k in range(LONG)], np.uint64)
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, DEEP), np.uint64) | np.uint64(1)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def _flat(sets: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all sets in a row, and how many each has."""
-    return np.concatenate([np.zeros(0, np.uint64), *(np.asarray(x, np.uint64) for x in sets)]), np.array([len(x) for x in sets], np.int64)
-
-
-def _long(sets: list) -> np.ndarray:
-    """Sets x words: SimHash of each set under ``LONG`` hashes."""
-    flat, n = _flat(sets)
-    return np.stack([_majority(_mixed(flat * turn), n) for turn in _TURNS], 1)
-
-
-def long_fingerprints(texts: list[str], words: int = 5) -> np.ndarray:
-    """Texts x words: SimHash of the set of shingles of each text, under ``LONG`` hashes."""
-    return _long([np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts])
-
-
-def band_keys(lists: list[list[int]]) -> np.ndarray:
-    """Lists x ``BANDS``: each key stands for ``DEEP`` minima of a list's hashes, each minimum under its own order. No list may be empty."""
-    flat, n = _flat(lists)
-    start = np.cumsum(n) - n
-    out = np.empty((len(lists), BANDS), np.uint64)
-    for band, factors in enumerate(_FACTORS):
-        key = np.full(len(lists), band, np.uint64)
-        for factor in factors:
-            key = _mixed(key ^ np.minimum.reduceat(flat * factor, start))
-        out[:, band] = key
-    return out
-
-
-def _by_group(work, names: tuple[str, ...], schema: pa.Schema):
-    """Calls ``work`` with the rows of each value of the first column, which come in order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(n).to_pylist() for n in names)):
-                if held and held[0][0] != row[0]:
-                    out += work(held) if len(held) > 1 else []
-                    held = []
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        out = work(held) if len(held) > 1 else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return run
-
-
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _compared(least: float):
-    """Spanning links of a family's texts that share at least ``least`` of their shingles."""
-    def work(rows: list[tuple]) -> list[tuple[int, int]]:
-        same = rows[0][0][1] == rows[0][0][2]
-        fp = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(-1, LONG)
-        # Those nearest to the family's middle come first: what others were copied from links most of them at once.
-        share = _bits(fp).mean(0)
-        middle = np.packbits(share > 0.5, bitorder="little").view(np.uint64)
-        order = np.argsort(np.bitwise_count(fp ^ middle).sum(1), kind="stable")
-        fp, rows = fp[order], [rows[i] for i in order]
-        block = np.array([r[1] for r in rows])
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        label, out = np.arange(len(rows)), []
-        for i in range(1, len(rows)):
-            near = (np.bitwise_count(fp[:i] ^ fp[i]).sum(1) <= APART) & (label[:i] != label[i])
-            if not same:
-                near &= block[:i] != block[i]
-            for j in np.flatnonzero(near).tolist():
-                if label[j] == label[i]:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                either = len(sets[i]) + len(sets[j]) - both
-                if either and both >= least * either:
-                    out.append((rows[j][2], rows[i][2]))
-                    label[label == max(label[i], label[j])] = min(label[i], label[j])
-        return out
-
-    return work
-
-
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, family: int = FAMILY) -> DataFrame:
-    """``(doc_id, component_id)`` of every row: texts that share ``least`` of their shingles of ``words`` words are linked.
-
-    Words are as in :func:`fingerprints`; a text of fewer words is one shingle. Texts of equal words are one
-    class, null and blank ones too. Candidates are texts with a band of shingle minima in common; families of these are
-    compared, and each link is confirmed on the whole shingle sets. A component's id is its smallest ``doc_id``; rows
-    without one get that of their class. Repeated rows stay. An empty table gives no rows.
-    """
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = texts_of(part)
-                same = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "replace").lower().split())) for t in texts]
-                lists = [shingle_hashes(t, words) for t in texts]
-                keys = iter(band_keys(some)) if (some := [x for x in lists if x]) else None
-                bands = [next(keys).tobytes() if x else b"" for x in lists]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(same), pa.array(bands)], ["doc_id", "same", "bands"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stored(rows.mapInArrow(marked, "doc_id long, same binary, bands binary"), "marked")
-    classes = told.where("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
-    classes = stored(classes, "classes")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                bands = part.column("bands").to_pylist()
-                node = np.repeat(np.asarray(part.column("node")), [len(x) // 8 for x in bands])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bands), np.int64)), pa.array(node)], ["bucket", "node"])
-
-    # Each text of a bucket is linked to the smallest one: sums and a join, no bucket is gathered.
-    buckets = classes.select("node", "bands").mapInArrow(keyed, "bucket long, node long")
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("bucket", "hub")
-    met = buckets.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    families = stored(components(met), "families")
-    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-    members = families.join(sizes, "component")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sets = [np.unique(np.array(shingle_hashes(t, words), np.uint64)) for t in texts_of(part)]
-                fp = [x.tobytes() for x in _long(sets)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("component", "node", "members")), pa.array(fp), pa.array([x.tobytes() for x in sets])],
-                    ["component", "node", "members", "fp", "sets"],
-                )
-
-    # One text of each class that has a near one; repeated ids of one text are reduced to one by the aggregate.
-    texts = rows.join(members, rows["doc_id"] == members["node"]).select("component", "node", "members", "text")
-    sets = texts.mapInArrow(shingled, "component long, node long, members long, fp binary, sets binary")
-    parts_of = F.ceil(F.col("members") / family).cast("int")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), parts_of).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts_of - 1)))
-    sets = sets.select(
-        F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("work"), "block", "node", "fp", "sets"
-    )
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compare = _compared(least)
-        turn = lambda rows: compare([((r[0]["component"], r[0]["i"], r[0]["j"]), *r[1:]) for r in rows])
-        return _by_group(turn, ("work", "block", "node", "fp", "sets"), _PAIRS)(batches)
-
-    links = sets.repartition("work").sortWithinPartitions("work").mapInArrow(grouped, "a long, b long")
-    found = components(links)
-    classes = classes.join(found, "node", "left").select(F.col("same").alias("class"), F.coalesce("component", "node").alias("component_id"))
-    return told.join(classes, F.col("same") == F.col("class"), "left").select("doc_id", "component_id")

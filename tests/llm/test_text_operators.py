@@ -311,89 +311,3 @@ def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
             assert (int(r.fingerprint, 16), r.component_id) == (fps[r.doc_id], comp[r.doc_id])
     assert next(r for r in found if r.doc_id is None).component_id == comp[203]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-
-
-def brute_copies(texts, words=5, least=0.8):
-    def shingles(text):
-        w = (text or "").encode().lower().split()
-        return {b" ".join(w[i:i + words]) for i in range(max(1, len(w) - words + 1))}
-
-    ids, comp = sorted(texts), {i: i for i in texts}
-    sets = {i: shingles(t) for i, t in texts.items()}
-    near = {i: [j for j in ids if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])] for i in ids}
-    changed = True
-    while changed:
-        changed = False
-        for i in ids:
-            low = min(comp[j] for j in near[i])
-            changed |= low != comp[i]
-            comp[i] = low
-    return comp
-
-
-@pytest.mark.parametrize("family", [5000, 9])
-def test_near_copies_equal_brute_force(spark, family):
-    dice, texts = random.Random(21), {}
-    for k in range(40):
-        texts[k] = prose(dice, "xyz"[k % 3], dice.randint(40, 300))
-    for k in range(40, 160):  # copies with more and more changes, on both sides of the threshold
-        words = texts[k % 5].split()
-        for _ in range(dice.randint(0, max(1, len(words) // 25))):
-            words[dice.randrange(len(words))] = dice.choice(["other", "word", "here"])
-        texts[k] = " ".join(words)
-    texts |= {200: None, 201: "", 202: " \n", 203: "One two", 204: "one  TWO", 205: "one three"}
-    docs = spark.createDataFrame([(k, t, "c") for k, t in texts.items()] + [(205, "one three", "c"), (None, "One two", "c")], "doc_id long, text string, same string")
-    found = simhash.near_copies(docs, family=family).collect()
-    comp = brute_copies(texts)
-    assert len(set(comp.values())) < 120 and len(found) == len(texts) + 2
-    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == comp
-    assert next(r for r in found if r.doc_id is None).component_id == 203
-    assert simhash.near_copies(docs.limit(0)).count() == 0
-
-
-def test_long_fingerprints_tell_near_from_far():
-    dice = random.Random(3)
-    near, far = [], []
-    for _ in range(40):
-        a = prose(dice, "x", 400).split()
-        b = list(a)
-        for _ in range(8):
-            b[dice.randrange(len(b))] = "changed"
-        c = prose(dice, "x", 400).split()
-        fa, fb, fc = simhash.long_fingerprints([" ".join(t) for t in (a, b, c)])
-        near.append(int(np.bitwise_count(fa ^ fb).sum()))
-        far.append(int(np.bitwise_count(fa ^ fc).sum()))
-    assert max(near) <= simhash.APART < min(far)
-
-
-def passages(dice, kind, k):
-    """A text and a near copy with a passage more or less, at 0.80 to 0.87 of common five-word shingles."""
-    a = prose(dice, "xyz"[k % 3], dice.randint(150, 500)).split()
-    more = prose(dice, "xyz"[(k + 1) % 3], int(len(a) * dice.uniform(0.16, 0.23))).split()
-    return " ".join(a), " ".join({"appended": a + more, "prepended": more + a, "removed": a[:100] + a[100 + len(more) * 4 // 5:]}[kind])
-
-
-@pytest.mark.parametrize("kind", ["appended", "prepended", "removed"])
-def test_near_copies_with_a_passage_more_or_less(spark, kind):
-    dice, texts = random.Random(31), {}
-    for k in range(40):
-        texts[2 * k], texts[2 * k + 1] = passages(dice, kind, k)
-    comp = brute_copies(texts)
-    assert sum(comp[2 * k + 1] == 2 * k for k in range(40)) > 30
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == comp
-
-
-def test_bands_and_fingerprints_at_the_threshold():
-    dice = np.random.default_rng(6)
-    for n in (9, 90, 900):
-        shared, bits = [], []
-        for _ in range(60):
-            h = dice.integers(0, 2**63, n + n // 9, np.uint64) * np.uint64(2)
-            a, b = h[:n], h[n // 9:]  # 8 of 10 hashes in common
-            x, y = simhash.band_keys([a, b])
-            shared.append(int((x == y).sum()))
-            fx, fy = simhash._long([a, b])
-            bits.append(int(np.bitwise_count(fx ^ fy).sum()))
-        assert min(shared) > 0 and np.mean(shared) == pytest.approx(simhash.BANDS * 0.8**simhash.DEEP, rel=0.15)
-        assert max(bits) <= simhash.APART - 20

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stratalens.llm import common, grouping_pack, gru_lm, hnsw, lattice, ordinal, queries
@@ -161,7 +162,7 @@ def test_neighbours_against_brute_force(spark):
     assert set(by) == {i for i in ids.tolist() if i % 50 == 0}
     for q, got in by.items():
         got.sort()
-        assert [g[0] for g in got] == list(range(1, 11))
+        assert [g[0] for g in got] == list(range(1, 14))
         far = np.sqrt(((all_x - all_x[ids == q][0]) ** 2).sum(1))
         order = [k for k in np.lexsort((ids, far)) if ids[k] != q][:10]
         hit += len({g[1] for g in got} & set(ids[order].tolist()))
@@ -294,7 +295,7 @@ def test_likelihoods(spark):
 
 def test_stages_against_plain_versions(spark, tmp_path):
     import corpus_pipeline
-    from .test_text_operators import brute_copies, prose
+    from .test_text_operators import brute_components, brute_fingerprint, prose
 
     dice, docs, labels = random.Random(12), [], []
     for k in range(240):
@@ -317,12 +318,25 @@ def test_stages_against_plain_versions(spark, tmp_path):
     gone = {r.doc_id for r in table.collect()} - {r.doc_id for r in told.collect()}
     assert {400, 401, 402} <= gone and len(gone) < 8
     single = common.stored(corpus_pipeline.near_duplicates(spark, told, str(tmp_path)), "s")
-    comp = brute_copies({r.doc_id: r.text for r in told.collect()})
+    comp = brute_components({r.doc_id: brute_fingerprint(r.text) for r in told.collect()})
     assert sorted(r.doc_id for r in single.collect()) == sorted(set(comp.values()))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 2048
     assert {r.doc_id for r in rows} <= {r.doc_id for r in single.collect()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d", "m"), (1, "a b c d", "k"), (1, "a b c d", "k"), (2, "A b c d", "m"), (3, "other words here", None),
+            (None, "a b c d", "m"), (None, "no id", "m"), (4, None, None), (5, " ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").withColumns({"row": F.lit(0), "fp": F.lit("c"), "component_id": F.lit(9)})
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text, r.n) for r in kept.collect()), key=str) == sorted(
+        [(1, "a b c d", "k"), (3, "other words here", None), (None, "no id", "m"), (4, None, None)], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_queries_are_named_after_their_operators():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
