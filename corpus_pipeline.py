@@ -33,17 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked fingerprints (three-word shingles, two bits or fewer apart) the document with the smallest id stays.
 
     Null and blank texts are one group. Rows of one id are one document: of these the first in the order of all their
-    columns stays. Rows without an id cannot stand for a group; they go where their group has an id and stay where it has none.
+    columns stays. Rows without an id cannot be told apart and all stay.
     An empty table gives no rows.
     """
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = whole.join(kept, F.col("row.doc_id").eqNullSafe(F.col("doc_id")))
-    alone = (F.col("n") == 1) | F.col("doc_id").isNull()
+    rows = whole.join(kept, F.col("row.doc_id") == F.col("doc_id"))
     # Copies of one id are merged before the shuffle, so that many of them never meet in one task.
-    first = rows.where(~alone).groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return rows.where(alone).select("row").unionByName(first.select("row")).select("row.*")
+    first = rows.where("n > 1").groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    unnamed = whole.where("row.doc_id is null")
+    return rows.where("n = 1").select("row").unionByName(first.select("row")).unionByName(unnamed).select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
