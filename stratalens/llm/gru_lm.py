@@ -1,9 +1,9 @@
 """Log-likelihood of documents under a gated recurrent language model with class-factored output.
 
 The most frequent words have embeddings and a softmax inside their class; all other words share
-classes by their last two bytes and follow their counts inside a class. So a word's probability
-is that of its class given the state, times that of the word in the class, and all words
-together with one unseen word for each class of rare words sum to one. Counts cover the whole training text. The
+classes by their last two bytes and follow their counts inside a class. A gate tells the two kinds apart. So a word's
+probability is that of its kind given the state, times that of its class among those of the kind, times that of the word in
+the class, and all words together with one unseen word for each class of rare words sum to one. Counts cover the whole training text. The
 network starts at the counts' distribution and is trained by truncated backpropagation in the tasks, which
 learn from their documents side by side and are averaged after each round.
 """
@@ -12,18 +12,18 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.common import rows_of, slices_of, stored, texts_of
+from stratalens.llm.common import rows_of, slices_of, stored
 
 #: Words whose counts every task holds; the first ``NEURAL`` of them have weights of their own.
 HEAD, NEURAL, CLASS = 131_072, 4096, 64
@@ -36,12 +36,28 @@ WINDOW, LANES, FILLED, ROUNDS = 24, 128, 288, 3
 
 def words_of(text: str) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case. One over 64 bytes is named by its digest, a blank in front, and its ending."""
-    words = text.encode("utf-8", "replace").lower().split()
+    return named(text.encode("utf-8", "replace").lower().split())
+
+
+def named(words: list[bytes]) -> list[bytes]:
     if max(map(len, words), default=0) > 64:
         words = [w if len(w) <= 64 else b" " + hashlib.sha256(w).hexdigest().encode() + w[-2:] for w in words]
     return words
 
 
+def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of ``words_of`` in all texts, the place of each word there, text after text, and the words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten().dictionary_encode()
+    names, codes = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+    if b"" in names:  # before or after white space at the ends, or a text without words
+        there = codes != names.index(b"")
+        size = np.bincount(np.repeat(np.arange(len(size)), size)[there], minlength=len(size))
+        codes = codes[there]
+    return named(names), codes, size
+
+
 @dataclass
 class Vocabulary:
     """Numbers: 0 the end, then head words by count, then the classes of endings for all others."""
@@ -79,9 +95,19 @@ class Vocabulary:
         get, ending, head, other = self.words.get, self.endings.get, self.head, len(self.ending_tokens) - 1
         return [get(w) or head + ending(w[-2:], other) for w in words] + [0]
 
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Numbers of all texts end to end, their sizes, each with its end, the different words and the place of each among them, -1 for an end."""
+        names, codes, size = coded(texts)
+        spot = np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)
+        place = np.full(len(codes) + len(size), -1, np.int32)
+        place[spot] = codes
+        return np.array(self.numbers(names), np.int32)[place], size + 1, names, place
+
 
 @dataclass
 class Network:
+    """``group_w`` and ``group_b`` hold the neural classes, the endings and, last, the gate: the log odds of a neural word."""
+
     e: np.ndarray
     w: np.ndarray
     u: np.ndarray
@@ -113,51 +139,63 @@ def fresh(vocabulary: Vocabulary, seed: int = 17) -> Network:
     word_b = np.full(v.classes * CLASS, -30.0)
     word_b[:neural] = np.log(mass[:neural])
     group_mass = np.concatenate([mass.reshape(v.classes, CLASS).sum(1), v.ending_tokens + 0.5 * (v.ending_distinct + 1)])
+    own, others = group_mass[:v.classes].sum(), group_mass[v.classes:].sum()
+    share = np.log(group_mass / np.repeat([own, others], [v.classes, endings]))
     e = small(neural + endings, EMBED)
     return Network(
         e * 4, small(EMBED, 3 * HIDDEN) * 2, small(HIDDEN, 3 * HIDDEN) * 2, np.zeros(3 * HIDDEN, np.float32),
-        small(HIDDEN, groups), np.log(group_mass / group_mass.sum()).astype(np.float32),
+        small(HIDDEN, groups + 1), np.append(share, np.log(own / others)).astype(np.float32),
         small(v.classes, HIDDEN, CLASS), word_b.reshape(v.classes, CLASS).astype(np.float32),
     )
 
 
-def _gates(a: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    g = h @ u
-    zr = a[:, :2 * HIDDEN] + g[:, :2 * HIDDEN]
+def _step(a: np.ndarray, h: np.ndarray, u: np.ndarray, g: np.ndarray, zr: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The next states into ``out``; what the cell computes on the way stays in ``g``, ``zr`` and ``n``."""
+    np.matmul(h, u, out=g)
+    np.add(a[:, :2 * HIDDEN], g[:, :2 * HIDDEN], out=zr)
     np.negative(zr, out=zr)
     np.exp(zr, out=zr)
     zr += 1
     np.reciprocal(zr, out=zr)
-    z, r, g = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN:]
-    n = r * g
+    np.multiply(zr[:, HIDDEN:], g[:, 2 * HIDDEN:], out=n)
     n += a[:, 2 * HIDDEN:]
     np.tanh(n, out=n)
-    return z, r, n, g
+    np.subtract(h, n, out=out)
+    out *= zr[:, :HIDDEN]
+    out += n
+    return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Softmax of each row, in place."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
+def _exp(x: np.ndarray) -> np.ndarray:
+    """exp of logits, in place. Trained ones stay far from the limits of exp, so no row's largest is taken off."""
+    if x.size and x.max() > 80:
+        np.minimum(x, 80, out=x)
+    return np.exp(x, out=x)
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One logarithm of each row's softmax; ``x`` is overwritten. Trained logits stay far from the limits of exp."""
+    """One logarithm of each row's softmax; ``x`` is overwritten."""
     chosen = x[np.arange(len(x)), at]
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    return chosen - np.log(x.sum(1))
+    return chosen - np.log(_row_sums(_exp(x)))
+
+
+def _miss(x: np.ndarray, at: np.ndarray, scale: float) -> np.ndarray:
+    """Softmax of each row less the chosen one, times ``scale``, in place: the gradient of the logits."""
+    _exp(x)
+    x *= (scale / _row_sums(x))[:, None]
+    x[np.arange(len(x)), at] -= scale
+    return x
 
 
-def _by_class(group: np.ndarray, inside: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Neural classes and where they occur."""
-    at = np.flatnonzero(inside >= 0)
-    at = at[np.argsort(group[at], kind="stable")]
-    names, first = np.unique(group[at], return_index=True)
-    for k, a, b in zip(names.tolist(), first.tolist(), [*first.tolist()[1:], len(at)]):
-        yield k, at[a:b]
+def _by_class(group: np.ndarray, classes: int) -> tuple[np.ndarray, int, list[tuple[int, int, int]]]:
+    """An order by class, the number of neural words, which come first, and the neural classes with their ranges."""
+    order = np.argsort(group.astype(np.int16), kind="stable")  # a radix sort
+    ends = np.cumsum(np.bincount(group, minlength=classes)[:classes]).tolist()
+    return order, ends[-1], [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
 
 
 def in_lanes(texts: Iterable[list[int]]) -> Iterator[tuple[list[int], list[list[int]]]]:
@@ -207,37 +245,51 @@ def train_windows(
         enter = v.enter[np.maximum(x, 0)]
         emb = net.e[enter]
         a = emb @ net.w + net.b
-        before, states, z, r, n, g = (np.empty((steps, width, HIDDEN), kind) for _ in range(6))
+        before, states, n, zr, g = (np.empty((steps, width, k * HIDDEN), kind) for k in (1, 1, 1, 2, 3))
+        begin = begins.any(1).tolist()
         for t in range(steps):
-            np.multiply(h, keep[t], out=before[t])
-            z[t], r[t], n[t], g[t] = _gates(a[t], before[t], net.u)
-            np.subtract(before[t], n[t], out=states[t])
-            states[t] *= z[t]
-            states[t] += n[t]
-            h = states[t]
-        s = states[learns]
+            if begin[t]:
+                np.multiply(h, keep[t], out=before[t])
+            else:
+                before[t] = h
+            h = _step(a[t], before[t], net.u, g[t], zr[t], n[t], states[t])
+        z, r, g = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:], g[:, :, 2 * HIDDEN:]
         number = y[learns]
-        group, inside = v.group[number], v.inside[number]
+        order, own, ranges = _by_class(v.group[number], v.classes)
+        number = number[order]
+        spot = np.flatnonzero(learns)[order]
+        s = states.reshape(-1, HIDDEN)[spot]
+        group, inside = v.group[number], v.inside[number[:own]]
         scale = 1 / len(number)
         grad = {k: np.zeros_like(getattr(net, k)) for k in ("group_w", "group_b", "word_w", "word_b", "e")}
         d = np.empty_like(s)
-        for k in range(0, len(s), 1024):  # parts that stay in the cache
-            part = s[k:k + 1024]
-            p = _softmax(part @ net.group_w + net.group_b)
-            p[np.arange(len(p)), group[k:k + 1024]] -= 1
-            p *= scale
-            np.matmul(p, net.group_w.T, out=d[k:k + 1024])
-            grad["group_w"] += part.T @ p
-            grad["group_b"] += p.sum(0)
-        for k, at in _by_class(group, inside):
-            own = s[at]
-            q = _softmax(own @ net.word_w[k] + net.word_b[k])
-            q[np.arange(len(at)), inside[at]] -= 1
-            q *= scale
-            d[at] += q @ net.word_w[k].T
-            grad["word_w"][k], grad["word_b"][k] = own.T @ q, q.sum(0)
+        for first, last, lowest, highest in ((0, own, 0, v.classes), (own, len(s), v.classes, len(net.group_b) - 1)):
+            for k in range(first, last, 2048):  # parts that stay in the cache
+                rows, part = slice(k, min(k + 2048, last)), slice(lowest, highest)
+                p = s[rows] @ net.group_w[:, part]
+                p += net.group_b[part]
+                _miss(p, group[rows] - lowest, scale)
+                np.matmul(p, net.group_w[:, part].T, out=d[rows])
+                grad["group_w"][:, part] += s[rows].T @ p
+                grad["group_b"][part] += np.ones(len(p), kind) @ p
+        gate = 1 / (1 + np.exp(-(s @ net.group_w[:, -1] + net.group_b[-1])))
+        gate[:own] -= 1
+        gate *= scale
+        d += gate[:, None] * net.group_w[:, -1]
+        grad["group_w"][:, -1], grad["group_b"][-1] = gate @ s, gate.sum()
+        q, back = np.empty((own, CLASS), kind), np.empty((own, HIDDEN), kind)
+        for k, first, last in ranges:
+            np.matmul(s[first:last], net.word_w[k], out=q[first:last])
+            q[first:last] += net.word_b[k]
+        _miss(q, inside, scale)
+        for k, first, last in ranges:
+            np.matmul(q[first:last], net.word_w[k].T, out=back[first:last])
+            np.matmul(s[first:last].T, q[first:last], out=grad["word_w"][k])
+        if ranges:
+            grad["word_b"][[k for k, _, _ in ranges]] = np.add.reduceat(q, [first for _, first, _ in ranges])
+        d[:own] += back
         d_states = np.zeros_like(states)
-        d_states[learns] = d
+        d_states.reshape(-1, HIDDEN)[spot] = d
         # What a state's gradient is multiplied by on its way to each gate; the steps then only pass it back.
         to_n = (1 - z) * (1 - n * n)
         to_r = to_n * g * r * (1 - r)
@@ -248,25 +300,25 @@ def train_windows(
             np.multiply(to[t], d_states[t][:, None], out=d_g[t])
             back = d_g[t].reshape(width, -1) @ net.u.T
             back += d_states[t] * z[t]
-            back *= keep[t]
+            if begin[t]:
+                back *= keep[t]
         to_n *= d_states
         flat = np.concatenate([d_g[:, :, 0], d_g[:, :, 1], to_n], 2).reshape(-1, 3 * HIDDEN)
         grad["u"], grad["b"] = before.reshape(-1, HIDDEN).T @ d_g.reshape(-1, 3 * HIDDEN), flat.sum(0)
         grad["w"] = emb.reshape(-1, EMBED).T @ flat
-        order = np.argsort(enter, None, kind="stable")
+        order = np.argsort(enter.ravel().astype(np.int16), kind="stable")
         entered, first = np.unique(enter.ravel()[order], return_index=True)
         grad["e"][entered] = np.add.reduceat((flat @ net.w.T)[order], first)
-        norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in grad.values()))
         memory["t"] = memory.get("t", 0) + 1
         fix = np.sqrt(1 - 0.99 ** memory["t"]) / (1 - 0.9 ** memory["t"])
         for name, x in grad.items():
-            x *= min(1.0, 1.0 / max(norm, 1e-9))
+            x *= 0.1 * min(1.0, 1.0 / max(norm, 1e-9))
             m, q = memory.setdefault(name, (np.zeros_like(x), np.zeros_like(x)))
             m *= 0.9
-            m += 0.1 * x
+            m += x
+            x *= x  # a hundredth of the gradient's square
             q *= 0.99
-            x *= x
-            x *= 0.01
             q += x
             np.sqrt(q, out=x)
             x += 1e-6
@@ -294,37 +346,58 @@ def score_texts(net: Network, v: Vocabulary, texts: list[list[int]], lanes: int
     length = np.array([len(texts[k]) for k in dealt], int)
     size = np.array([filled for filled, _ in free], int)
     start = np.cumsum(size) - size
-    target = np.fromiter(itertools.chain.from_iterable(texts[k] for k in dealt), np.int32, int(length.sum()))
+    target = np.concatenate([np.asarray(texts[k], np.int32) for k in dealt]) if dealt else np.zeros(0, np.int32)
     owner = np.repeat(np.array(dealt, np.int32), length)
+    enter = np.empty(len(target), np.int32)
+    enter[1:] = v.enter[target[:-1]]
+    begins = np.cumsum(length) - length
+    enter[begins] = v.enter[0]
     first = np.zeros(len(target), bool)
-    first[np.cumsum(length) - length] = True
+    first[begins] = True
     longest = int(size[0]) if len(size) else 0
-    running = np.searchsorted(-size, -np.arange(longest), "left").tolist()
+    running = np.searchsorted(-size, -np.arange(longest), "left")
+    # All in the order of the steps, within a step by lane.
+    step = np.cumsum(running) - running
+    place = step[np.arange(len(target)) - np.repeat(start, size)] + np.repeat(np.arange(len(size)), size)
+    at = np.empty(len(target), np.int64)
+    at[place] = np.arange(len(target))
+    target, owner, enter, first = target[at], owner[at], enter[at], first[at]
+    fresh_lanes = np.add.reduceat(first, step) if longest else []
+    del at, place
+    most = 32_768 + len(rows)
+    states, into, g, zr, n = (np.empty((k, w * HIDDEN), np.float32) for k, w in ((most, 1), (len(rows), 3), (len(rows), 3), (len(rows), 2), (len(rows), 1)))
     h = np.zeros((len(rows), HIDDEN), np.float32)
-    # Steps with few lanes left are gathered longer, so that the outputs are computed for many tokens at once.
-    states, ys, owners, held = [], [], [], 0
-    for t in range(longest):
-        live = running[t]
-        h = h[:live]
-        here = start[:live] + t
-        new = first[here]
-        enter = v.enter[np.where(new, 0, target[here - 1])]
-        if new.any():
-            h = np.where(new[:, None], np.float32(0), h)
-        z, _, n, _ = _gates(a_of[enter], h, net.u)
-        h = n + z * (h - n)
-        states.append(h)
-        ys.append(target[here])
-        owners.append(owner[here])
+    held = 0  # steps are gathered, so that the outputs are computed for many tokens at once
+    for t, (live, here, new) in enumerate(zip(running.tolist(), step.tolist(), fresh_lanes)):
+        h, end = h[:live], here + live
+        if new:
+            h = np.where(first[here:end, None], np.float32(0), h)
+        np.take(a_of, enter[here:end], axis=0, out=into[:live], mode="clip")
+        h = _step(into[:live], h, net.u, g[:live], zr[:live], n[:live], states[held:held + live])
         held += live
         if held < 32_768 and t < longest - 1:
             continue
-        s, y, own = np.concatenate(states), np.concatenate(ys), np.concatenate(owners)
-        states, ys, owners, held = [], [], [], 0
+        s, y, own = states[:held], target[end - held:end], owner[end - held:end]
+        h, held = h.copy(), 0
+        order, neural, ranges = _by_class(v.group[y], v.classes)
+        s, y, own = s[order], y[order], own[order]
         group, inside = v.group[y], v.inside[y]
-        log_p = _log_share(s @ net.group_w + net.group_b, group).astype(float)
-        for k, at in _by_class(group, inside):
-            log_p[at] += _log_share(s[at] @ net.word_w[k] + net.word_b[k], inside[at])
+        log_p = np.empty(len(y))
+        for a, b, lowest, highest in ((0, neural, 0, v.classes), (neural, len(y), v.classes, len(net.group_b) - 1)):
+            for k in range(a, b, 2048):
+                rows, part = slice(k, min(k + 2048, b)), slice(lowest, highest)
+                x = s[rows] @ net.group_w[:, part]
+                x += net.group_b[part]
+                log_p[rows] = _log_share(x, group[rows] - lowest)
+        gate = s @ net.group_w[:, -1] + net.group_b[-1]
+        gate[:neural] *= -1
+        log_p -= np.logaddexp(0, gate)
+        for k, a, b in ranges:
+            for j in range(a, b, 2048):
+                rows = slice(j, min(j + 2048, b))
+                x = s[rows] @ net.word_w[k]
+                x += net.word_b[k]
+                log_p[rows] += _log_share(x, inside[rows])
         out += np.bincount(own, log_p, minlength=len(out))
     return out
 
@@ -336,8 +409,10 @@ def word_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
         have: Counter = Counter()
         for batch in batches:
             for part in slices_of(batch, "text"):
-                for text in texts_of(part):
-                    have.update(words_of(text))
+                names, codes, _ = coded(part.column("text"))
+                for word, c in zip(names, np.bincount(codes, minlength=len(names)).tolist()):
+                    if c:
+                        have[word] += c
                 if len(have) > most:
                     yield from rows_of(schema, [list(have.keys()), list(have.values())])
                     have.clear()
@@ -398,8 +473,17 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, rate: f
             v, own = known.value, here.value.filled(here.value.flat())
             state, memory = np.zeros((LANES, HIDDEN), np.float32), {}
             seen = most = 0
-            texts = ([-1, *v.numbers(words_of(text))] for batch in batches for part in slices_of(batch, "text") for text in texts_of(part))
-            for live, some in in_lanes(texts):
+
+            def texts() -> Iterator[list[int]]:
+                for batch in batches:
+                    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+                    # The longest first, so that few lanes are left alone at the end.
+                    for part in slices_of(batch.take(pa.array(np.argsort(-size, kind="stable"))), "text"):
+                        flat, size, *_ = v.of_texts(part.column("text"))
+                        for text in np.split(flat, np.cumsum(size)[:-1]):
+                            yield [-1, *text.tolist()]
+
+            for live, some in in_lanes(texts()):
                 seen += sum(map(len, some))
                 most = max(most, len(live))
                 state[live] = train_windows(own, v, some, memory, rate * len(live) / most, state[live])
@@ -450,12 +534,10 @@ def likelihoods(docs: DataFrame, held_out: Column) -> DataFrame:
         """A row for each document, numbered within the task, and one for each word in it that is not in the head."""
         v, after = known.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices_of(batch, "text"):
-                words = [words_of(t) for t in texts_of(part)]
-                texts = [v.numbers(w) for w in words]
-                size = np.array([len(t) for t in texts])
+            for part in slices_of(batch, "text", 16_000_000):
+                flat, size, words, place = v.of_texts(part.column("text"))
                 start = np.cumsum(size) - size
-                flat = np.fromiter(itertools.chain.from_iterable(texts), np.int64, int(size.sum()))
+                texts = np.split(flat, start[1:])
                 log_count = np.add.reduceat(v.log_count[flat], start)
                 plain = v.plain[flat]
                 mass = np.where(plain, v.log_mass[np.where(plain, v.group[flat] - v.classes, 0)], 0.0)
@@ -472,12 +554,12 @@ def likelihoods(docs: DataFrame, held_out: Column) -> DataFrame:
                 met = np.flatnonzero(flat >= v.head)
                 if len(met):
                     of = np.repeat(np.arange(len(texts)), size)[met]
-                    found = pa.table([pa.array(row[of]), pa.array([words[k][j] for k, j in zip(of.tolist(), (met - start[of]).tolist())], pa.binary())], ["row", "word"])
-                    found = found.group_by(["row", "word"]).aggregate([([], "count_all")])
+                    found = pa.table([pa.array(row[of]), pa.array(place[met])], ["row", "word"]).group_by(["row", "word"]).aggregate([([], "count_all")])
+                    met_words = pa.array(words, pa.binary()).take(found["word"].combine_chunks())
                     blank = [pa.nulls(found.num_rows).cast(t) for t in (part.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                     yield from rows_of(
                         pa.schema(list(zip(names, [pa.int64(), *(b.type for b in blank), pa.binary(), pa.int64()]))),
-                        [found["row"].combine_chunks(), *blank, found["word"].combine_chunks(), found["count_all"].combine_chunks()],
+                        [found["row"].combine_chunks(), *blank, met_words, found["count_all"].combine_chunks()],
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()

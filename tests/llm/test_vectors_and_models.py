@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,17 @@ def test_long_words_are_named_by_a_digest():
     assert words[1] != words[3] and words[3].endswith(b"bd") and gru_lm.words_of("B" * 65)[0] == words[1]
 
 
+def test_words_of_many_texts_at_once():
+    texts = [None, "", " ", "a", " a B  ", "x\x0by\x0cZ\x1cd\x85e\u3000f", "z" * 70 + " Z" + "z" * 69, "\n\n", *(f"a{chr(k)}B" for k in range(300))]
+    names, codes, size = gru_lm.coded(pa.array(texts, pa.string()))
+    assert size.tolist() == [len(gru_lm.words_of(t or "")) for t in texts]
+    assert [names[k] for k in codes] == [w for t in texts for w in gru_lm.words_of(t or "")]
+    v = small_vocabulary()
+    flat, size, names, place = v.of_texts(pa.array(texts, pa.string()))
+    assert flat.tolist() == [k for t in texts for k in v.numbers(gru_lm.words_of(t or ""))] and size.sum() == len(flat)
+    assert [names[k] if k >= 0 else None for k in place] == [w for t in texts for w in [*gru_lm.words_of(t or ""), None]]
+
+
 def test_every_token_is_learnt_once_in_its_text(monkeypatch):
     monkeypatch.setattr(gru_lm, "LANES", 4)
     dice, number = random.Random(5), iter(range(1, 10**6))
