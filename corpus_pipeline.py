@@ -30,13 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints (three-word shingles, two bits or fewer apart) the document with the smallest id stays.
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Linked are fingerprints two bits or fewer apart (three-word shingles), and texts that share 0.8 of their five-word shingles.
 
     Null and blank texts are one group. Rows of one id are one document: of these the first in the order of all their
     columns stays. Rows without an id cannot be told apart and all stay.
     An empty table gives no rows.
     """
-    found = simhash.near_duplicates(docs)
+    found = simhash.near_copies(docs)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = whole.join(kept, F.col("row.doc_id") == F.col("doc_id"))

@@ -3,7 +3,8 @@
 Correlated bits are grouped into partitions; dynamic programming on estimated candidate counts
 gives each partition its own threshold, such that two fingerprints within the distance
 meet in at least one partition (Qin et al., 2018: thresholds sum to distance - partitions + 1,
--1 leaves a partition out). What meets is compared bit by bit.
+-1 leaves a partition out). What meets is compared bit by bit. Texts that share most of their shingles but differ in
+more bits are found by minima of the shingle hashes and an exact comparison.
 """
 
 from __future__ import annotations
@@ -284,10 +285,191 @@ def near_duplicates(docs: DataFrame, distance: int = 2, words: int = 3) -> DataF
     the component of their class; a class of such rows alone has a null one. Repeated rows stay. An empty table gives no rows.
     """
     marked = stored(fingerprints(docs, words), "marked")
+    return _grouped(marked, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(marked: DataFrame, distance: int) -> DataFrame:
+    """``(doc_id, fp, component_id)`` of every row of ``(doc_id, fp)``."""
     classes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
     found = components(near_links(classes, distance))
     classes = classes.join(found, "node", "left").select(
         F.col("fp").alias("class_fp"), F.coalesce("component", "node").alias("component_id")
     )
-    rows = marked.join(classes, F.col("fp") == F.col("class_fp"), "left")
-    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marked.join(classes, F.col("fp") == F.col("class_fp"), "left").select("doc_id", "fp", "component_id")
+
+
+# Near copies by the share of common shingles: met by minima of the shingle hashes, confirmed on the whole shingle sets.
+
+#: Bands and minima in a band. A pair that shares a part J of its shingles has a band in common but for a chance of
+#: (1 - J ** DEEP) ** BANDS: 2e-10 at 0.8, wherever the texts differ. At 0.1 it meets with a chance of 6e-4.
+BANDS, DEEP = 56, 5
+#: Texts of a block; a bucket of more is divided into pairs of blocks.
+PAIRED = 1000
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (BANDS, DEEP), np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def band_keys(lists: list[list[int]]) -> np.ndarray:
+    """Lists x ``BANDS``: each key stands for ``DEEP`` minima of a list's hashes, each minimum under its own order. No list may be empty."""
+    n = np.array([len(x) for x in lists], np.int64)
+    flat = np.fromiter(itertools.chain.from_iterable(lists), np.uint64, int(n.sum()))
+    start = np.cumsum(n) - n
+    out = np.empty((len(lists), BANDS), np.uint64)
+    for band, factors in enumerate(_FACTORS):
+        key = np.full(len(lists), band, np.uint64)
+        for factor in factors:
+            key = _mixed(key ^ np.minimum.reduceat(flat * factor, start))
+        out[:, band] = key
+    return out
+
+
+def _words_digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "replace").lower().split()))
+
+
+def _sharing(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose shingle sets share ``least`` of all shingles in either."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("either"))
+    return both.where(F.col("common") >= F.lit(least) * F.col("either")).select("a", "b")
+
+
+def _confirmed(least: float):
+    """Rows ordered by ``work`` to spanning links of the texts of each work that share ``least`` of their shingles, across components."""
+    def spanned(node: list[int], c: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        label = np.unique(np.array(c), return_inverse=True)[1]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        holders = owner[np.argsort(code, kind="stable")]  # of each shingle, one shingle behind the other
+        ends = np.cumsum(np.bincount(code))
+        starts, code = ends - np.bincount(code), np.split(code, np.cumsum(size)[:-1])
+        out = []
+        # Pairs inside the largest component need no comparison.
+        for i in np.flatnonzero(label != np.bincount(label).argmax()).tolist():
+            met = np.concatenate([holders[x:y] for x, y in zip(starts[code[i]].tolist(), ends[code[i]].tolist())])
+            common = np.bincount(met, minlength=len(sets))
+            near = (common >= least * (size + size[i] - common)) & (label != label[i])
+            for j in np.flatnonzero(near).tolist():
+                if label[j] != label[i]:
+                    out.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in itertools.chain(batches, [None]):
+            some = zip(*(batch.column(x).to_pylist() for x in ("work", "node", "c")), _lists(batch.column("shingles"))) if batch is not None else [(None,)]
+            out = []
+            for row in some:
+                if held and held[0][0] != row[0]:
+                    out += spanned(*map(list, list(zip(*held))[1:]))
+                    held = []
+                held.append(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    return run
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Copies, as a batch's memory is used again."""
+    ends, values = np.asarray(column.offsets), np.asarray(column.values)
+    return [values[x:y].copy() for x, y in zip(ends[:-1], ends[1:])]
+
+
+def _sharing_links(sets: DataFrame, shared: DataFrame, least: float, paired: int) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all pairs in a common bucket that share ``least`` of their shingles.
+
+    Every bucket first compares the one of its texts that has most bucket mates, as an original has, with all others: work linear in the
+    members. Buckets that still hold several components then compare across these, large ones divided into pairs of blocks.
+    """
+    mates = shared.groupBy("node").agg(F.sum("n").alias("mates"))
+    rows = shared.join(mates, "node")
+    hubs = rows.groupBy("bucket").agg(F.max(F.struct("mates", "node"))["node"].alias("hub"))
+    rows = shared.join(hubs, "bucket")
+    pairs = stored(rows.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "met")
+    links = stored(_sharing(pairs, sets, least), "sharing")
+
+    rows = shared.where("n > 2").join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("c"))
+    several = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    parts = F.ceil(F.col("n") / paired).cast("int")
+    rows = rows.join(several, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("work"), "node", "c"
+    )
+    works = rows.join(sets, "node").repartition("work").sortWithinPartitions("work")
+    return links.union(works.select("work", "node", "c", "shingles").mapInArrow(_confirmed(least), "a long, b long"))
+
+
+def near_copies(docs: DataFrame, distance: int = 2, words: int = 3, run_words: int = 5, least: float = 0.8, paired: int = PAIRED) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every row, as :func:`near_duplicates`, where two more kinds of texts are linked.
+
+    Linked are also texts that share ``least`` of all different runs of ``run_words`` words in either, wherever they differ; a text of fewer
+    words is one run. Two bits miss most of these, above all where a passage was added or removed. Texts without words take no part in this.
+    Candidates have a band of shingle minima in common, each link is confirmed on the whole sets of both texts.
+    """
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = texts_of(part)
+                fp = majority([shingle_hashes(t, words) for t in texts])
+                lists = [shingle_hashes(t, run_words) for t in texts]
+                keys = iter(band_keys(some)) if (some := [x for x in lists if x]) else None
+                bands = pa.array([next(keys).tobytes() if x else None for x in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(fp.view(np.int64)), pa.array([_words_digest(t) for t in texts]), bands], ["doc_id", "fp", "same", "bands"]
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = stored(docs.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, fp long, same binary, bands binary"), "marked")
+    found = stored(_grouped(marked.select("doc_id", "fp"), distance), "grouped")
+
+    # Texts of equal words are one class.
+    classes = marked.where("doc_id is not null and bands is not null").groupBy("same").agg(
+        F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("bands").alias("bands")
+    ).withColumn("node", F.monotonically_increasing_id())
+    classes = stored(classes, "classes")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                node = np.repeat(np.asarray(part.column("node")), BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(part.column("bands").to_pylist()), np.int64)), pa.array(node)], ["bucket", "node"])
+
+    buckets = classes.select("node", "bands").mapInArrow(keyed, "bucket long, node long")
+    shared = stored(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "shared-buckets")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                # Of rows with one id only that of the class counts.
+                own = [(k, t) for k, t, s in zip(part.column("node").to_pylist(), texts_of(part), part.column("same").to_pylist()) if _words_digest(t) == s]
+                sets = [np.unique(np.array(shingle_hashes(t, run_words), np.uint64)).view(np.int64) for _, t in own]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    asked = classes.join(shared.select("node").distinct(), "node").select("node", "same", F.col("doc_id").alias("class_id"))
+    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("class_id")).select("node", "same", "text")
+    sets = texts.mapInArrow(shingled, "node long, shingles array<long>")
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    links = _sharing_links(sets, shared, least, paired)
+    group = found.where("doc_id is not null").groupBy("fp").agg(F.min("component_id").cast("long").alias("group"))
+    group = classes.select("node", "fp").join(group, "fp").select("node", "group")
+    across = links.join(group.select(F.col("node").alias("a"), F.col("group").alias("x")), "a").join(group.select(F.col("node").alias("b"), F.col("group").alias("y")), "b")
+    joined = components(across.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rows = found.join(joined, found["component_id"] == joined["node"], "left")
+    return rows.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "component_id").alias("component_id")
+    )

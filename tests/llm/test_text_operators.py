@@ -311,3 +311,69 @@ def test_near_duplicates_equal_brute_force(spark, block, monkeypatch):
             assert (int(r.fingerprint, 16), r.component_id) == (fps[r.doc_id], comp[r.doc_id])
     assert next(r for r in found if r.doc_id is None).component_id == comp[203]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_copies(texts, least=0.8):
+    """Components of fingerprints two bits or fewer apart and of texts that share 0.8 of their five-word shingles."""
+    ids, comp = sorted(texts), {i: i for i in texts}
+    fps, sets = {i: brute_fingerprint(t) for i, t in texts.items()}, {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    near = {i: [j for j in ids if (fps[i] ^ fps[j]).bit_count() <= 2 or sets[i] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])] for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for i in ids:
+            low = min(comp[j] for j in near[i])
+            changed |= low != comp[i]
+            comp[i] = low
+    return comp
+
+
+@pytest.mark.parametrize("paired", [1000, 4])
+def test_near_copies_equal_brute_force(spark, paired):
+    dice, texts = random.Random(21), {}
+    for k in range(40):
+        texts[k] = prose(dice, "xyz"[k % 3], dice.randint(40, 300))
+    for k in range(40, 160):  # copies with more and more changes, on both sides of the threshold
+        words = texts[k % 5].split()
+        for _ in range(dice.randint(0, max(1, len(words) // 25))):
+            words[dice.randrange(len(words))] = dice.choice(["other", "word", "here"])
+        texts[k] = " ".join(words)
+    texts |= {200: None, 201: "", 202: " \n", 203: "One two", 204: "one  TWO", 205: "one three"}
+    docs = spark.createDataFrame([(k, t, "c") for k, t in texts.items()] + [(205, "one three", "c"), (None, "One two", "c")], "doc_id long, text string, same string")
+    found = simhash.near_copies(docs, paired=paired).collect()
+    comp = brute_copies(texts)
+    assert len(set(comp.values())) < 120 and len(found) == len(texts) + 2
+    assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == comp
+    assert next(r for r in found if r.doc_id is None).component_id == 203
+    assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["appended", "prepended", "removed"])
+def test_stage_finds_copies_with_a_passage_more_or_less(spark, kind):
+    import corpus_pipeline
+
+    dice, texts = random.Random(31), {}
+    for k in range(40):
+        a = prose(dice, "xyz"[k % 3], dice.randint(150, 500)).split()
+        more = prose(dice, "xyz"[(k + 1) % 3], int(len(a) * dice.uniform(0.16, 0.23))).split()
+        b = {"appended": a + more, "prepended": more + a, "removed": a[:100] + a[100 + len(more) * 4 // 5:]}[kind]
+        texts[2 * k], texts[2 * k + 1] = " ".join(a), " ".join(b)
+    comp = brute_copies(texts)
+    assert sum(comp[2 * k + 1] == 2 * k for k in range(40)) > 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(comp.values()))
+
+
+def test_texts_far_from_the_middle_of_a_family_are_linked_to_each_other(spark):
+    dice = random.Random(5)
+    text, texts = prose(dice, "x", 300).split(), {}
+    for k in range(60):  # most are near the original, some near one another only
+        own = prose(random.Random(k % 10), "y", 60).split() if k < 20 else []
+        texts[k] = " ".join([*text[:250 + k // 10], *own, *prose(random.Random(100 + k), "z", 6).split()])
+    comp = brute_copies(texts)
+    assert 3 < len(set(comp.values())) < 30
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, paired=25).collect()} == comp
