@@ -118,6 +118,9 @@ class Page:
     def _read(self, source: str, by_name: bool) -> None:
         # Of each open element: tag, number, path, whether it is left out, whether it is in an article or a link.
         stack = [("#", 0, "", False, False, False)]
+        # Where each tag is open in the stack, and where all that are not inline are: no search runs through the stack.
+        places: defaultdict[str, list[int]] = defaultdict(list)
+        blocks = [0]
         buffer: list[str] = []
         links = [0, 0]
         at = 0
@@ -126,7 +129,7 @@ class Page:
             if buffer:
                 text = " ".join("".join(buffer).split())
                 if text:
-                    k = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE)
+                    k = blocks[-1]
                     self.text.append(text)
                     self.path.append(stack[k][2])
                     self.element.append(stack[k][1])
@@ -142,10 +145,17 @@ class Page:
                 links[0] += len(text) * stack[-1][5]
 
         def pop(to: int) -> None:
-            if any(s[0] not in INLINE for s in stack[to:]):
+            if blocks[-1] >= to:
                 close_block()
+            while blocks[-1] >= to:
+                blocks.pop()
+            for s in stack[to:]:
+                places[s[0]].pop()
             del stack[to:]
 
+        def nearest(tags: tuple[str, ...]) -> int:
+            return max((places[t][-1] for t in tags if places[t]), default=0)
+
         size, last = len(source), source.rfind(">")
         while at < size:
             m = _TOKEN.search(source, at) if at <= last or source.find("<!", at) >= 0 else None
@@ -161,10 +171,8 @@ class Page:
                 continue
             tag = tag.lower()
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        pop(k)
-                        break
+                if places[tag]:
+                    pop(places[tag][-1])
                 continue
             if tag in RAW and not attributes.endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
@@ -176,19 +184,14 @@ class Page:
                 elif tag == "hr":
                     close_block()
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            for k in range(len(stack) - 1, 0, -1) if tag in SAME_CLOSES else ():
-                if stack[k][0] in SAME_CLOSES[tag]:
-                    pop(k)
-                    if tag != "tr" or stack[-1][0] not in ("tr", "td", "th"):
-                        break
-                elif stack[k][0] in HOLDS[tag]:
+            if tag in CLOSES_P and stack[blocks[-1]][0] == "p":
+                pop(blocks[-1])
+            while tag in SAME_CLOSES:
+                k = nearest(SAME_CLOSES[tag] + HOLDS[tag])
+                if stack[k][0] not in SAME_CLOSES[tag]:
+                    break
+                pop(k)
+                if tag != "tr" or stack[-1][0] not in ("tr", "td", "th"):
                     break
             above = stack[-1]
             in_article = above[4] or tag in ("article", "main")
@@ -203,9 +206,13 @@ class Page:
             else:
                 number = above[1]
             out = above[3] or aside == "kind" or aside == "name" and tag in INLINE
-            if len(stack) < 300:  # deeper elements count as their ancestor
-                path = above[2] if tag in INLINE else f"{above[2]}/{tag}"
-                stack.append((tag, number, path, out, in_article, above[5] or tag == "a"))
+            places[tag].append(len(stack))
+            path = above[2]
+            if tag not in INLINE:
+                blocks.append(len(stack))
+                if len(blocks) <= 300:  # deeper blocks have the path of their ancestor
+                    path = f"{path}/{tag}"
+            stack.append((tag, number, path, out, in_article, above[5] or tag == "a"))
         close_block()
 
 
@@ -243,10 +250,9 @@ def main_text(source: str, strictness: float = 0.5) -> str:
     passes = ratio >= min(strictness * ratio.std(), 0.5 * ratio.max())
     weight = np.zeros(len(page.tag))
     for k in np.flatnonzero(passes):
-        at = page.element[k]
-        while at >= 0:
-            weight[at] += len(page.text[k]) * (1 - page.linked[k])
-            at = page.parent[at]
+        weight[page.element[k]] += len(page.text[k]) * (1 - page.linked[k])
+    for at in range(len(page.tag) - 1, 0, -1):
+        weight[page.parent[at]] += weight[at]
     best = 0
     for at in range(1, len(page.tag)):  # parents come before their children
         if weight[at] >= 0.7 * weight[0] and page.parent[at] == best and page.tag[at] not in LEAVES:
@@ -258,14 +264,14 @@ def main_text(source: str, strictness: float = 0.5) -> str:
         at = page.parent[at]
     best = best if whole is None else whole
     siblings = {page.parent[page.element[k]] for k in np.flatnonzero(passes)}
+    inside = [at == best for at in range(len(page.tag))]
+    for at in range(best + 1, len(page.tag)):
+        inside[at] = inside[page.parent[at]]
     out = []
     for k, text in enumerate(page.text):
-        at = page.element[k]
-        while at > best:
-            at = page.parent[at]
-        if at != best:
-            continue
         element = page.element[k]
+        if not inside[element]:
+            continue
         # Links are part of an article: menus in it are told by their element or name, which has left them out by now.
         if whole is not None or page.tag[element] in HEADINGS:
             out.append(text)

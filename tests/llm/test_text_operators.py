@@ -73,6 +73,13 @@ def test_long_comments_do_not_become_the_article():
     assert "like it" not in path_ratios.main_text(page) and "long paragraph" in path_ratios.main_text(page)
 
 
+@pytest.mark.parametrize("opens, closes", [("<div>" * 320, "</div>" * 320), ("<font>" * 320, ""), ("<div><b>" * 200, "</div>" * 200)])
+def test_deep_elements_are_told_like_others(opens, closes):
+    page = f"<body><article><p>Before, the start.</p>{opens}<section><p>Deep text, still here.</p><nav>Menu</nav><section><p>Inner.</p></section>"
+    page += f"<div class=advert><div>Buy now.</div></div>Tail.</section>{closes}<p>After, the end.</p></article><p>Outside.</p></body>"
+    assert path_ratios.main_text(page) == "Before, the start.\nDeep text, still here.\nInner.\nTail.\nAfter, the end."
+
+
 def test_long_and_hostile_pages_end():
     assert path_ratios.main_text("<div>" * 50_000 + "x") == "x"
     assert path_ratios.main_text("<a b='" * 20_000) != "x"
